@@ -71,17 +71,19 @@ def ewma_sql(values: str, alpha: float) -> str:
 
 
 HIST_SQL = f"""rated AS (SELECT *, total_60s / 60.0::DOUBLE AS r FROM wins),
-lagged AS (SELECT *, lag(r, 1) OVER ({ORDER}) AS y FROM rated),
+lagged AS (
+  SELECT *, lag(r, 1) OVER ({ORDER}) AS prev, lag(total_60s, 1) OVER ({ORDER})::DOUBLE AS y,
+         CASE WHEN lag(total_60s, 1) OVER ({ORDER}) IS NOT NULL THEN total_60s::DOUBLE END AS x FROM rated),
 hist AS (
   SELECT *,
     list(r) OVER ({ORDER} ROWS BETWEEN {ewma_reach(0.3)} PRECEDING AND CURRENT ROW) AS h3,
     list(r) OVER ({ORDER} ROWS BETWEEN {ewma_reach(0.7)} PRECEDING AND CURRENT ROW) AS h7,
-    count(y) OVER f AS n, sum(CASE WHEN y IS NOT NULL THEN r END) OVER f AS sx, sum(y) OVER f AS sy,
-    sum(r * y) OVER f AS sxy, sum(CASE WHEN y IS NOT NULL THEN r * r END) OVER f AS sxx, sum(y * y) OVER f AS syy
+    count(y) OVER f AS n, sum(x) OVER f AS sx, sum(y) OVER f AS sy,
+    sum(x * y) OVER f AS sxy, sum(x * x) OVER f AS sxx, sum(y * y) OVER f AS syy
   FROM lagged WINDOW f AS ({ORDER} ROWS BETWEEN 58 PRECEDING AND CURRENT ROW))"""
 
 EWMA3, EWMA7 = ewma_sql("h3", 0.3), ewma_sql("h7", 0.7)
-ROC = "(r - coalesce(y, 0.0)) / greatest(coalesce(y, 0.0), 1.0)"
+ROC = "(r - coalesce(prev, 0.0)) / greatest(coalesce(prev, 0.0), 1.0)"
 AUTOCORR = _corr_sql("n", "sx", "sy", "sxy", "sxx", "syy")
 
 

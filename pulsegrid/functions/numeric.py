@@ -42,6 +42,11 @@ def ewma_fold(values: Column, alpha: float) -> Column:
         lambda e, x: F.lit(alpha) * x + F.lit(1.0 - alpha) * e)
 
 
+def tail(values: Column, n: int) -> Column:
+    """The last ``n`` elements of an array (all of them if it is shorter)."""
+    return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), n)
+
+
 def ewma_reach(alpha: float, weight: float = 1e-16) -> int:
     """How many earlier rows carry more than ``weight`` of the average."""
     import math

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.calendar import calendar_features
-from pulsegrid.functions.numeric import correlation_from_sums, ewma_fold, ewma_reach
+from pulsegrid.functions.numeric import correlation_from_sums, ewma_fold, ewma_reach, tail
 from pulsegrid.operators.ordered import over_blocks, running_before
 from pulsegrid.schema import FEATURE_COLS
 
@@ -54,52 +54,67 @@ def per_second(events: DataFrame) -> DataFrame:
 
 
 def _frames(seconds: DataFrame) -> DataFrame:
-    """Totals, maxima and latency moments of the seconds *before* each second, for both possible
-    lower edges: an event exactly on a second still sees the bucket ``w`` seconds back (``_c``
-    closed), any later event does not (``_o`` open)."""
+    """For each second: totals, maxima and latency moments of the seconds before it.
+
+    The frames leave out the bucket exactly ``w`` seconds back (it counts only for an event that
+    falls exactly on a second); that bucket comes along as ``edge<w>`` and is added where due.
+    ``events_before`` is the number of earlier events of the endpoint: a running count inside the
+    slice plus the totals of earlier slices.
+    """
     own = F.floor(F.col("sec") / SLICE)
-    sliced = seconds.withColumn("_own", own).withColumn(
-        "_slice", F.explode(F.array_distinct(F.array(own, F.floor((F.col("sec") + HALO) / SLICE)))))
+    halo = F.floor((F.col("sec") + HALO) / SLICE)
+    sliced = seconds.withColumn("_own", own).withColumn("_slice", F.explode(F.array_distinct(F.array(own, halo))))
     w = W.partitionBy("endpoint", "_slice").orderBy("sec")
-    running = sliced.withColumn("_run", F.sum("cnt").over(w.rangeBetween(W.unboundedPreceding, 0)))
+    upto = w.rangeBetween(W.unboundedPreceding, 0)
+    running = sliced.select(
+        "*",
+        F.struct(
+            F.sum("cnt").over(upto).alias("n"),
+            F.count("last_latency").over(upto).alias("k"),
+            F.sum("last_latency").over(upto).alias("x"),
+        ).alias("_run"),
+        F.sum(F.when(F.col("_own") == F.col("_slice"), F.col("cnt"))).over(upto).alias("_in"))
 
     cols: dict[str, Column] = {}
-    before = F.col("_run") - F.col("cnt")
+    last = F.lag("_run", 1).over(w)
     for n in RATE_WINDOWS:
-        for edge, back in (("c", n), ("o", n - 1)):
-            # growing frame: the running count left of the window, O(1) per row
-            left = F.last("_run").over(w.rangeBetween(W.unboundedPreceding, -(back + 1)))
-            cols[f"tot{n}_{edge}"] = before - F.coalesce(left, F.lit(0))
+        # growing frame: the running sums left of the window, O(1) per row
+        left = F.last("_run").over(w.rangeBetween(W.unboundedPreceding, -n))
+        cols[f"left{n}"] = left
+        cols[f"edge{n}"] = F.max(F.struct("cnt", "last_latency")).over(w.rangeBetween(-n, -n))
     for n in MAX_WINDOWS:
-        for edge, back in (("c", n), ("o", n - 1)):
-            cols[f"max{n}_{edge}"] = F.coalesce(F.max("cnt").over(w.rangeBetween(-back, -1)), F.lit(0))
+        cols[f"peak{n}"] = F.max("cnt").over(w.rangeBetween(-(n - 1), -1))
     for n in STD_WINDOWS:
-        for edge, back in (("c", n), ("o", n - 1)):
-            f = w.rangeBetween(-back, -1)
-            cols[f"lat{n}_{edge}"] = F.struct(
-                F.count("last_latency").over(f).cast("double").alias("n"),
-                F.coalesce(F.avg("last_latency").over(f), F.lit(0.0)).alias("mean"),
-                F.coalesce(F.var_pop("last_latency").over(f), F.lit(0.0)).alias("var"))
-    return running.select("*", *[c.alias(k) for k, c in cols.items()]).filter(
-        F.col("_slice") == F.col("_own")).drop("_slice", "_own", "_run", "last_latency")
-
-
-def _offsets(seconds: DataFrame) -> DataFrame:
-    """Events of the endpoint before each second: running count inside a slice plus slice totals."""
-    sliced = seconds.select("endpoint", "sec", "cnt", F.floor(F.col("sec") / SLICE).alias("_slice"))
-    totals = sliced.groupBy("endpoint", "_slice").agg(F.sum("cnt").alias("_n"))
-    carried = running_before(totals, ["endpoint"], ["_slice"], "_n", "_off").drop("_n")
-    inside = running_before(sliced, ["endpoint", "_slice"], ["sec"], "cnt", "_in")
-    return inside.join(carried, ["endpoint", "_slice"]).select(
-        "endpoint", "sec", (F.col("_off") + F.col("_in")).alias("events_before"))
+        cols[f"var{n}"] = F.var_pop("last_latency").over(w.rangeBetween(-(n - 1), -1))
+    framed = running.select("*", last.alias("_last"), *[c.alias(k) for k, c in cols.items()]).filter(
+        F.col("_slice") == F.col("_own"))
 
+    zero = F.lit(0)
 
-def _latency_std(moments: Column, x: Column) -> Column:
-    """Sample deviation of the earlier seconds plus the current event as one more point."""
-    n, mean, var = moments["n"], moments["mean"], moments["var"]
+    def since(n: int, field: str) -> Column:
+        return F.coalesce(F.col(f"_last.{field}"), zero) - F.coalesce(F.col(f"left{n}.{field}"), zero)
+
+    totals = seconds.groupBy("endpoint", own.alias("_slice")).agg(F.sum("cnt").alias("_n"))
+    carried = running_before(totals, ["endpoint"], ["_slice"], "_n", "_off").drop("_n")
+    return framed.join(carried, ["endpoint", "_slice"]).select(
+        "endpoint", "sec", "cnt",
+        (F.col("_off") + F.col("_in") - F.col("cnt")).alias("events_before"),
+        *[since(n, "n").alias(f"tot{n}") for n in RATE_WINDOWS],
+        *[F.coalesce(F.col(f"peak{n}"), zero).alias(f"peak{n}") for n in MAX_WINDOWS],
+        *[F.struct(
+            since(n, "k").cast("double").alias("n"),
+            F.coalesce(F.try_divide(since(n, "x"), since(n, "k")), F.lit(0.0)).alias("mean"),
+            F.coalesce(F.col(f"var{n}"), F.lit(0.0)).alias("var")).alias(f"lat{n}") for n in STD_WINDOWS],
+        *[f"edge{n}" for n in RATE_WINDOWS])
+
+
+def _add_point(n: Column, mean: Column, m2: Column, x: Column) -> tuple[Column, Column, Column]:
+    """Count, mean and squared deviations after one more value; NULL adds nothing."""
+    k = n + 1.0
     d = x - mean
-    m2 = n * var + d * d * n / (n + 1.0)
-    return F.when(n < 1, F.lit(0.0)).otherwise(F.sqrt(F.try_divide(m2, n)))
+    return (F.when(x.isNull(), n).otherwise(k),
+            F.when(x.isNull(), mean).otherwise(mean + d / k),
+            F.when(x.isNull(), m2).otherwise(m2 + d * d * n / k))
 
 
 def trailing_windows(events: DataFrame, *, hot_second: int = HOT_SECOND) -> DataFrame:
@@ -107,7 +122,6 @@ def trailing_windows(events: DataFrame, *, hot_second: int = HOT_SECOND) -> Data
     event's 0-based position ``idx`` within its endpoint."""
     stamped = with_second(events)
     seconds = per_second(events)
-    table = _frames(seconds).join(_offsets(seconds), ["endpoint", "sec"])
 
     # Hot seconds number at most (all events / hot_second): bounded, hence safe to broadcast.
     hot = seconds.filter(F.col("cnt") > hot_second).select("endpoint", "sec", F.lit(True).alias("_hot"))
@@ -116,14 +130,15 @@ def trailing_windows(events: DataFrame, *, hot_second: int = HOT_SECOND) -> Data
         .withColumn("_ms", F.when(F.col("_hot"), F.col("ms")).otherwise(F.lit(-1)))
         .withColumn("_blk", F.when(F.col("_hot"), F.shiftright("event_id", ID_BLOCK_BITS)).otherwise(F.lit(-1)))
     )
-    parts = split.filter(F.col("_hot")).groupBy("endpoint", "sec", "_ms", "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    parts = (
+        stamped.join(F.broadcast(hot), ["endpoint", "sec"])
+        .groupBy("endpoint", "sec", F.col("ms").alias("_ms"),
+                 F.shiftright("event_id", ID_BLOCK_BITS).alias("_blk"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
     parts = running_before(parts, ["endpoint", "sec"], ["_ms", "_blk"], "_n", "_skip").drop("_n")
-    whole = F.lit(-1).cast("long")
-    table = (
-        table.filter(F.col("cnt") <= hot_second)
-        .withColumn("_ms", whole).withColumn("_blk", whole).withColumn("_skip", F.lit(0).cast("long"))
-        .unionByName(table.filter(F.col("cnt") > hot_second).join(parts, ["endpoint", "sec"]))
-    ).drop("cnt")
+    table = _frames(seconds).join(parts, ["endpoint", "sec"], "left").withColumns({
+        c: F.coalesce(c, F.lit(v).cast("long")) for c, v in (("_ms", -1), ("_blk", -1), ("_skip", 0))}).drop("cnt")
 
     group = ["endpoint", "sec", "_ms", "_blk"]
     rank = F.row_number().over(W.partitionBy(*group).orderBy("ms", "event_id"))
@@ -131,12 +146,16 @@ def trailing_windows(events: DataFrame, *, hot_second: int = HOT_SECOND) -> Data
     rn = F.col("_skip") + F.col("_rn")
     on_edge = F.col("ms") % 1000 == 0
 
-    def pick(name: str) -> Column:
-        return F.when(on_edge, F.col(name + "_c")).otherwise(F.col(name + "_o"))
+    def edge(n: int, field: str) -> Column:
+        return F.when(on_edge, F.col(f"edge{n}.{field}"))
 
-    out = {f"total_{n}s": pick(f"tot{n}") + rn for n in RATE_WINDOWS}
-    out |= {f"max_{n}s": F.greatest(pick(f"max{n}"), rn) for n in MAX_WINDOWS}
-    out |= {f"latency_std_{n}s": _latency_std(pick(f"lat{n}"), F.col("latency_ms")) for n in STD_WINDOWS}
+    out = {f"total_{n}s": F.col(f"tot{n}") + F.coalesce(edge(n, "cnt"), F.lit(0)) + rn for n in RATE_WINDOWS}
+    out |= {f"max_{n}s": F.greatest(F.col(f"peak{n}"), edge(n, "cnt"), rn) for n in MAX_WINDOWS}
+    for n in STD_WINDOWS:
+        k, mean, var = (F.col(f"lat{n}.{f}") for f in ("n", "mean", "var"))
+        k, mean, m2 = _add_point(k, mean, k * var, edge(n, "last_latency"))
+        k, _, m2 = _add_point(k, mean, m2, F.col("latency_ms"))
+        out[f"latency_std_{n}s"] = F.when(k < 2, F.lit(0.0)).otherwise(F.sqrt(F.try_divide(m2, k - 1)))
     return ranked.select(*events.columns, "ms", (F.col("events_before") + rn - 1).alias("idx"),
                          *[c.alias(k) for k, c in out.items()])
 
@@ -147,19 +166,20 @@ def rates(windows: DataFrame) -> DataFrame:
     return windows.withColumns({k: F.col(f"total_{n}s") / F.lit(float(n)) for k, n in named.items()})
 
 
-def _rate_stages(rate: str) -> tuple[dict, dict]:
-    r, y = F.col(rate), F.col("_prev")
-    back = {a: ewma_reach(a) for a in (0.3, 0.7)}
+def _rate_stages(rate: str, count: str) -> tuple[dict, dict]:
+    r, x, y = F.col(rate), F.col("_x"), F.col("_y")
     pairs = HISTORY - 1
 
     def over(expr: Column, rows: int):
         return lambda w: expr.over(w.rowsBetween(-rows, 0))
 
-    x = F.when(y.isNotNull(), r)
-    first = {"_prev": lambda w: F.lag(r, 1).over(w)}
+    first = {
+        "_prev": lambda w: F.lag(r, 1).over(w),
+        "_y": lambda w: F.lag(F.col(count), 1).over(w).cast("double"),
+        "_x": lambda w: F.when(F.lag(F.col(count), 1).over(w).isNotNull(), F.col(count).cast("double")),
+    }
     second = {
-        "_h3": over(F.collect_list(r), back[0.3]),
-        "_h7": over(F.collect_list(r), back[0.7]),
+        "_h": over(F.collect_list(r), ewma_reach(0.3)),
         "_n": over(F.count(y), pairs - 1),
         "_sx": over(F.sum(x), pairs - 1),
         "_sy": over(F.sum(y), pairs - 1),
@@ -170,17 +190,22 @@ def _rate_stages(rate: str) -> tuple[dict, dict]:
     return first, second
 
 
-def rate_history(rated: DataFrame, rate: str = "req_rate_1m", rows: int | None = None) -> DataFrame:
-    """Per event, over the endpoint's earlier events: both averages, change, autocorrelation."""
-    stages = _rate_stages(rate)
-    out = over_blocks(rated, *stages, keys=["endpoint"], trailing=ewma_reach(0.3) + 1, rows=rows)
+def rate_history(rated: DataFrame, rate: str = "req_rate_1m", count: str = "total_60s",
+                 rows: int | None = None) -> DataFrame:
+    """Per event, over the endpoint's earlier events: both averages, change, autocorrelation.
+
+    The autocorrelation is taken on the whole-number counts behind the rates: same value, and sums
+    of whole numbers are exact, so a flat history is recognised as flat.
+    """
+    out = over_blocks(rated, *_rate_stages(rate, count), keys=["endpoint"], trailing=ewma_reach(0.3) + 1, rows=rows)
     prev = F.coalesce("_prev", F.lit(0.0))
+    sums = [F.col(c) for c in ("_n", "_sx", "_sy", "_sxy", "_sxx", "_syy")]
     return out.withColumns({
-        "ewma_03": ewma_fold(F.col("_h3"), 0.3),
-        "ewma_07": ewma_fold(F.col("_h7"), 0.7),
+        "ewma_03": ewma_fold(F.col("_h"), 0.3),
+        "ewma_07": ewma_fold(tail(F.col("_h"), ewma_reach(0.7) + 1), 0.7),
         "rate_of_change": (F.col(rate) - prev) / F.greatest(prev, F.lit(1.0)),
-        "autocorr_lag1": correlation_from_sums(*[F.col(c) for c in ("_n", "_sx", "_sy", "_sxy", "_sxx", "_syy")]),
-    }).drop("_prev", "_h3", "_h7", "_n", "_sx", "_sy", "_sxy", "_sxx", "_syy")
+        "autocorr_lag1": correlation_from_sums(*sums),
+    }).drop("_prev", "_x", "_y", "_h", "_n", "_sx", "_sy", "_sxy", "_sxx", "_syy")
 
 
 def feature_vectors(events: DataFrame, *, infra: dict[str, float] | None = None,
