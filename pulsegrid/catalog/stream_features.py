@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pulsegrid.catalog.inputs import EVC_SQL, r6, request_events, tidy
 from pulsegrid.catalog.registry import query
 from pulsegrid.functions.calendar import calendar_features
-from pulsegrid.functions.numeric import ewma_reach
 from pulsegrid.plans import event_features as ef
 from pulsegrid.schema import FEATURE_COLS
 
 WINDOWS = (60, 300, 900, 1800)
+REACH = {0.3: 104, 0.7: 31}  # rows that weigh more than 1e-16
 
 SEC_SQL = """secs AS (
   SELECT endpoint, sec, count(*)::BIGINT AS cnt, arg_max(latency_ms, (ms, event_id)) AS last_lat
@@ -76,8 +76,8 @@ lagged AS (
          CASE WHEN lag(total_60s, 1) OVER ({ORDER}) IS NOT NULL THEN total_60s::DOUBLE END AS x FROM rated),
 hist AS (
   SELECT *,
-    list(r) OVER ({ORDER} ROWS BETWEEN {ewma_reach(0.3)} PRECEDING AND CURRENT ROW) AS h3,
-    list(r) OVER ({ORDER} ROWS BETWEEN {ewma_reach(0.7)} PRECEDING AND CURRENT ROW) AS h7,
+    list(r) OVER ({ORDER} ROWS BETWEEN {REACH[0.3]} PRECEDING AND CURRENT ROW) AS h3,
+    list(r) OVER ({ORDER} ROWS BETWEEN {REACH[0.7]} PRECEDING AND CURRENT ROW) AS h7,
     count(y) OVER f AS n, sum(x) OVER f AS sx, sum(y) OVER f AS sy,
     sum(x * y) OVER f AS sxy, sum(x * x) OVER f AS sxx, sum(y * y) OVER f AS syy
   FROM lagged WINDOW f AS ({ORDER} ROWS BETWEEN 58 PRECEDING AND CURRENT ROW))"""

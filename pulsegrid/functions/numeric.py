@@ -34,26 +34,6 @@ def correlation_from_sums(n: Column, sx: Column, sy: Column, sxy: Column, sxx: C
         F.try_divide(n * sxy - sx * sy, F.sqrt(vx) * F.sqrt(vy)))
 
 
-def ewma_fold(values: Column, alpha: float) -> Column:
-    """Recursive exponential average over an array, seeded with its first element."""
-    return F.aggregate(
-        F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))),
-        values[0],
-        lambda e, x: F.lit(alpha) * x + F.lit(1.0 - alpha) * e)
-
-
-def tail(values: Column, n: int) -> Column:
-    """The last ``n`` elements of an array (all of them if it is shorter)."""
-    return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), n)
-
-
-def ewma_reach(alpha: float, weight: float = 1e-16) -> int:
-    """How many earlier rows carry more than ``weight`` of the average."""
-    import math
-
-    return math.ceil(math.log(weight) / math.log(1.0 - alpha))
-
-
 def q6(c: Column) -> Column:
     """Six decimals, no negative zero: the form results are compared in."""
     return F.round(c, 6) + F.lit(0.0)

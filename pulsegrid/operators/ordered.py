@@ -18,6 +18,7 @@ from pulsegrid.session import materialise
 
 DAY = 86_400
 MIN_BLOCK = 16_384
+SUB = 128  # rows per sub-block of the exponential averages
 
 
 def slice_of(ts: Column, seconds: int = DAY) -> Column:
@@ -99,11 +100,48 @@ def over_blocks(df: DataFrame, *stages: Mapping[str, Callable[[W], Column]], key
     may reach ``trailing`` rows back and ``leading`` rows ahead.
     """
     rows = rows or max(MIN_BLOCK, 16 * (trailing + leading))
-    halo = with_halo(df, idx, rows, trailing, leading)
-    w = W.partitionBy(*keys, "_block").orderBy(idx)
+    rows += -rows % SUB  # whole sub-blocks
+    halo = with_halo(df, idx, rows, trailing, leading).withColumn("_sub", F.floor(F.col(idx) / SUB))
+    # ordering by (_sub, idx) is ordering by idx; it lets windows over a sub-block share the sort
+    w = W.partitionBy(*keys, "_block").orderBy("_sub", idx)
     for stage in stages:
         halo = halo.select("*", *[fn(w).alias(name) for name, fn in stage.items()])
-    return halo.filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
+    return halo.filter(F.col("_own") == F.col("_block")).drop("_own", "_block", "_sub")
+
+
+def ewma_stages(value: Column, alphas: Mapping[str, float], *, keys: Sequence[str] = (),
+                idx: str = "idx", adjust: bool = False) -> tuple[list[dict], int, list[str]]:
+    """Stages for :func:`over_blocks` that compute exponential averages in O(1) per row.
+
+    Inside a sub-block of ``SUB`` rows the average is a running sum of values scaled by the inverse
+    decay; the previous sub-block enters through its last value. What lies further back weighs less
+    than (1-alpha)**SUB, below double precision for alpha >= 0.3. Returns the stages, the rows of
+    halo they need and the helper columns to drop. ``adjust`` divides by the sum of the weights
+    instead of seeding with the first value.
+    """
+    if min(alphas.values()) < 0.25:
+        raise ValueError("alpha below 0.25 reaches further back than one sub-block")
+    position = F.col(idx) % SUB
+    local = W.partitionBy(*keys, "_block", "_sub").orderBy(idx).rowsBetween(W.unboundedPreceding, 0)
+
+    def earlier(w):
+        return w.rowsBetween(W.unboundedPreceding, -1)
+
+    sums, carries, final, helpers = {}, {}, {}, []
+    for name, alpha in alphas.items():
+        q = F.lit(1.0 - alpha)
+        seed = F.lit(1.0) if not adjust else F.lit(alpha)
+        weight = F.when(F.col(idx) == 0, seed).otherwise(F.lit(alpha)) * F.pow(q, -position)
+        s, p = f"_s_{name}", f"_p_{name}"
+        sums[s] = lambda w, x=weight * value, q=q: F.pow(q, position) * F.sum(x).over(local)
+        carries[p] = lambda w, s=s: F.last(
+            F.when(position == SUB - 1, F.col(s)), ignorenulls=True).over(earlier(w))
+        average = F.col(s) + F.pow(q, position + 1) * F.coalesce(F.col(p), F.lit(0.0))
+        if adjust:  # total weight of i+1 rows: 1 - (1-alpha)^(i+1)
+            average = average / (F.lit(1.0) - F.pow(q, F.col(idx) + 1))
+        final[name] = lambda w, c=average: c
+        helpers += [s, p]
+    return [sums, carries, final], SUB, helpers
 
 
 def fill_from_neighbours(df: DataFrame, value: str, *, ts: str = "timestamp", keys: Sequence[str] = (),

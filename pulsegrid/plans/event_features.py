@@ -19,8 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.calendar import calendar_features
-from pulsegrid.functions.numeric import correlation_from_sums, ewma_fold, ewma_reach, tail
-from pulsegrid.operators.ordered import over_blocks, running_before
+from pulsegrid.functions.numeric import correlation_from_sums
+from pulsegrid.operators.ordered import ewma_stages, over_blocks, running_before
 from pulsegrid.schema import FEATURE_COLS
 
 # Trailing windows in seconds, and the rows of rate history kept.
@@ -71,8 +71,9 @@ def _frames(seconds: DataFrame) -> DataFrame:
         F.struct(
             F.sum("cnt").over(upto).alias("n"),
             F.count("last_latency").over(upto).alias("k"),
-            F.sum("last_latency").over(upto).alias("x"),
         ).alias("_run"),
+        F.first("last_latency", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, W.unboundedFollowing))
+        .alias("_mid"),
         F.sum(F.when(F.col("_own") == F.col("_slice"), F.col("cnt"))).over(upto).alias("_in"))
 
     cols: dict[str, Column] = {}
@@ -85,7 +86,10 @@ def _frames(seconds: DataFrame) -> DataFrame:
     for n in MAX_WINDOWS:
         cols[f"peak{n}"] = F.max("cnt").over(w.rangeBetween(-(n - 1), -1))
     for n in STD_WINDOWS:
-        cols[f"var{n}"] = F.var_pop("last_latency").over(w.rangeBetween(-(n - 1), -1))
+        # sums around a value of the slice: cheaper per row than a variance, and no cancellation
+        shifted = F.col("last_latency") - F.col("_mid")
+        cols[f"x{n}"] = F.sum(shifted).over(w.rangeBetween(-(n - 1), -1))
+        cols[f"xx{n}"] = F.sum(shifted * shifted).over(w.rangeBetween(-(n - 1), -1))
     framed = running.select("*", last.alias("_last"), *[c.alias(k) for k, c in cols.items()]).filter(
         F.col("_slice") == F.col("_own"))
 
@@ -94,6 +98,12 @@ def _frames(seconds: DataFrame) -> DataFrame:
     def since(n: int, field: str) -> Column:
         return F.coalesce(F.col(f"_last.{field}"), zero) - F.coalesce(F.col(f"left{n}.{field}"), zero)
 
+    def moments(n: int) -> Column:
+        k, x = since(n, "k").cast("double"), F.coalesce(F.col(f"x{n}"), F.lit(0.0))
+        mean = F.coalesce(F.try_divide(x, k), F.lit(0.0))
+        m2 = F.greatest(F.coalesce(F.col(f"xx{n}"), F.lit(0.0)) - x * mean, F.lit(0.0))
+        return F.struct(k.alias("n"), (F.col("_mid") + mean).alias("mean"), m2.alias("m2"))
+
     totals = seconds.groupBy("endpoint", own.alias("_slice")).agg(F.sum("cnt").alias("_n"))
     carried = running_before(totals, ["endpoint"], ["_slice"], "_n", "_off").drop("_n")
     return framed.join(carried, ["endpoint", "_slice"]).select(
@@ -101,10 +111,7 @@ def _frames(seconds: DataFrame) -> DataFrame:
         (F.col("_off") + F.col("_in") - F.col("cnt")).alias("events_before"),
         *[since(n, "n").alias(f"tot{n}") for n in RATE_WINDOWS],
         *[F.coalesce(F.col(f"peak{n}"), zero).alias(f"peak{n}") for n in MAX_WINDOWS],
-        *[F.struct(
-            since(n, "k").cast("double").alias("n"),
-            F.coalesce(F.try_divide(since(n, "x"), since(n, "k")), F.lit(0.0)).alias("mean"),
-            F.coalesce(F.col(f"var{n}"), F.lit(0.0)).alias("var")).alias(f"lat{n}") for n in STD_WINDOWS],
+        *[moments(n).alias(f"lat{n}") for n in STD_WINDOWS],
         *[f"edge{n}" for n in RATE_WINDOWS])
 
 
@@ -152,8 +159,8 @@ def trailing_windows(events: DataFrame, *, hot_second: int = HOT_SECOND) -> Data
     out = {f"total_{n}s": F.col(f"tot{n}") + F.coalesce(edge(n, "cnt"), F.lit(0)) + rn for n in RATE_WINDOWS}
     out |= {f"max_{n}s": F.greatest(F.col(f"peak{n}"), edge(n, "cnt"), rn) for n in MAX_WINDOWS}
     for n in STD_WINDOWS:
-        k, mean, var = (F.col(f"lat{n}.{f}") for f in ("n", "mean", "var"))
-        k, mean, m2 = _add_point(k, mean, k * var, edge(n, "last_latency"))
+        k, mean, m2 = (F.col(f"lat{n}.{f}") for f in ("n", "mean", "m2"))
+        k, mean, m2 = _add_point(k, mean, m2, edge(n, "last_latency"))
         k, _, m2 = _add_point(k, mean, m2, F.col("latency_ms"))
         out[f"latency_std_{n}s"] = F.when(k < 2, F.lit(0.0)).otherwise(F.sqrt(F.try_divide(m2, k - 1)))
     return ranked.select(*events.columns, "ms", (F.col("events_before") + rn - 1).alias("idx"),
@@ -179,7 +186,6 @@ def _rate_stages(rate: str, count: str) -> tuple[dict, dict]:
         "_x": lambda w: F.when(F.lag(F.col(count), 1).over(w).isNotNull(), F.col(count).cast("double")),
     }
     second = {
-        "_h": over(F.collect_list(r), ewma_reach(0.3)),
         "_n": over(F.count(y), pairs - 1),
         "_sx": over(F.sum(x), pairs - 1),
         "_sy": over(F.sum(y), pairs - 1),
@@ -197,15 +203,15 @@ def rate_history(rated: DataFrame, rate: str = "req_rate_1m", count: str = "tota
     The autocorrelation is taken on the whole-number counts behind the rates: same value, and sums
     of whole numbers are exact, so a flat history is recognised as flat.
     """
-    out = over_blocks(rated, *_rate_stages(rate, count), keys=["endpoint"], trailing=ewma_reach(0.3) + 1, rows=rows)
+    averages, reach, helpers = ewma_stages(F.col(rate), {"ewma_03": 0.3, "ewma_07": 0.7}, keys=["endpoint"])
+    out = over_blocks(rated, *_rate_stages(rate, count), *averages, keys=["endpoint"],
+                      trailing=max(reach, HISTORY), rows=rows)
     prev = F.coalesce("_prev", F.lit(0.0))
     sums = [F.col(c) for c in ("_n", "_sx", "_sy", "_sxy", "_sxx", "_syy")]
     return out.withColumns({
-        "ewma_03": ewma_fold(F.col("_h"), 0.3),
-        "ewma_07": ewma_fold(tail(F.col("_h"), ewma_reach(0.7) + 1), 0.7),
         "rate_of_change": (F.col(rate) - prev) / F.greatest(prev, F.lit(1.0)),
         "autocorr_lag1": correlation_from_sums(*sums),
-    }).drop("_prev", "_x", "_y", "_h", "_n", "_sx", "_sy", "_sxy", "_sxx", "_syy")
+    }).drop(*helpers, "_prev", "_x", "_y", "_n", "_sx", "_sy", "_sxy", "_sxx", "_syy")
 
 
 def feature_vectors(events: DataFrame, *, infra: dict[str, float] | None = None,
