@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.numeric import correlation_from_sums
@@ -93,7 +94,7 @@ def future_mean(name: str = "future", value: str = RATE, rows: int = 300) -> Fea
 
 def count_means(sizes: dict[str, int], value: str) -> Feature:
     """Rolling means of whole-number counts through one running sum: O(1) per row for any size."""
-    run = {"_run": lambda w: F.sum(value).over(w.rowsBetween(w.unboundedPreceding, 0))}
+    run = {"_run": lambda w: F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0))}
 
     def mean(n):
         def over(w):
