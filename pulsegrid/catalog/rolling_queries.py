@@ -116,8 +116,8 @@ def w10(spark, sf):
     out = R.apply(
         _seconds(spark, sf),
         R.count_means({f"req_rate_{k // 60}m": k for k in (60, 300, 900, 1800)}, "req_count"),
-        R.rolling_max({f"req_max_{k // 60}m": k for k in (300, 900)}, "req_count"),
-        R.rolling_std({f"latency_std_{k // 60}m": k for k in (300, 900)}, "latency"),
+        R.wide_max({f"req_max_{k // 60}m": k for k in (300, 900)}, "req_count", keys=["endpoint"]),
+        R.wide_std({f"latency_std_{k // 60}m": k for k in (300, 900)}, "latency", keys=["endpoint"]),
         keys=["endpoint"])
     cols = [c for c in out.columns if c.startswith(("req_rate", "req_max", "latency_std"))]
     return tidy(out.select("endpoint", "timestamp", *[F.col(c).cast("double").alias(c) for c in cols]))

@@ -155,17 +155,19 @@ def fill_from_neighbours(df: DataFrame, value: str, *, ts: str = "timestamp", ke
     sliced = df.withColumn("_slice", slice_of(F.col(ts), seconds)).withColumn("_k", known)
     edges = sliced.groupBy(*keys, "_slice").agg(F.max("_k").alias("_last"), F.min("_k").alias("_first"))
     back = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    ahead = W.partitionBy(*keys).orderBy("_slice").rowsBetween(1, W.unboundedFollowing)
+    # backwards scans: a frame that grows is O(1) per row, one open to the end would be rescanned
+    ahead = W.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
     carry = edges.select(
         *keys, "_slice",
         F.last("_last", ignorenulls=True).over(back).alias("_in"),
-        F.first("_first", ignorenulls=True).over(ahead).alias("_out"),
+        F.last("_first", ignorenulls=True).over(ahead).alias("_out"),
     )
-    own = W.partitionBy(*keys, "_slice").orderBy(ts)
+    own = W.partitionBy(*keys, "_slice")
+    growing = (W.unboundedPreceding, 0)
     return (
         sliced
-        .withColumn("_p", F.last("_k", ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("_n", F.first("_k", ignorenulls=True).over(own.rowsBetween(0, W.unboundedFollowing)))
+        .withColumn("_p", F.last("_k", ignorenulls=True).over(own.orderBy(ts).rowsBetween(*growing)))
+        .withColumn("_n", F.last("_k", ignorenulls=True).over(own.orderBy(F.desc(ts)).rowsBetween(*growing)))
         .join(carry, [*keys, "_slice"])
         .withColumn("_p", F.coalesce("_p", "_in"))
         .withColumn("_n", F.coalesce("_n", "_out"))

@@ -105,6 +105,44 @@ def count_means(sizes: dict[str, int], value: str) -> Feature:
     return Feature([run, {k: mean(n) for k, n in sizes.items()}], max(sizes.values()), helpers=["_run"])
 
 
+def wide_max(sizes: dict[str, int], value: str, *, keys: Sequence[str] = ()) -> Feature:
+    """Rolling maximum in O(1) per row for windows of any size. Panes as long as the window are
+    scanned forwards and backwards; a window is the end of one pane and the start of the next."""
+    return _paned(sizes, keys, {"m": F.max(value)},
+                  lambda new, old, joined: F.greatest(new["m"], F.when(joined, old["m"])))
+
+
+def wide_std(sizes: dict[str, int], value: str, *, keys: Sequence[str] = ()) -> Feature:
+    """Rolling sample deviation in O(1) per row, merging the moments of two panes (no cancellation);
+    0 while there is only one value."""
+    def merge(new, old, joined):
+        na, nb = (F.coalesce(F.when(c, s["n"]), F.lit(0)).cast("double") for c, s in ((F.lit(True), new), (joined, old)))
+        n = na + nb
+        d = F.coalesce(F.when(joined, old["avg"]), F.lit(0.0)) - F.coalesce(new["avg"], F.lit(0.0))
+        m2 = na * F.coalesce(new["var"], F.lit(0.0)) + nb * F.coalesce(F.when(joined, old["var"]), F.lit(0.0)) \
+            + F.coalesce(F.try_divide(d * d * na * nb, n), F.lit(0.0))
+        return F.when(n < 2, F.lit(0.0)).otherwise(F.sqrt(F.try_divide(m2, n - 1)))
+
+    return _paned(sizes, keys, {"n": F.count(value), "avg": F.avg(value), "var": F.var_pop(value)}, merge)
+
+
+def _paned(sizes, keys, aggregates, merge) -> Feature:
+    names = {out: f"_{out}" for out in sizes}
+    panes, scans, ends, final = {}, {}, {}, {}
+    for out, n in sizes.items():
+        h = names[out]
+        panes[h + "_p"] = lambda w, n=n: F.floor(F.col("idx") / n)
+        for suffix, order in (("_f", F.col("idx").asc()), ("_b", F.col("idx").desc())):
+            over = W.partitionBy(*keys, "_block", h + "_p").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+            scans[h + suffix] = lambda w, over=over: F.struct(
+                *[a.over(over).alias(k) for k, a in aggregates.items()])
+        ends[h + "_o"] = lambda w, h=h, n=n: F.lag(h + "_b", n - 1).over(w)
+        joined = F.col(h + "_o").isNotNull() & (F.col("idx") % n != n - 1)
+        final[out] = lambda w, h=h, j=joined: merge(F.col(h + "_f"), F.col(h + "_o"), j)
+    helpers = [h + s for h in names.values() for s in ("_p", "_f", "_b", "_o")]
+    return Feature([panes, scans, ends, final], max(sizes.values()), helpers=helpers)
+
+
 def rolling_median_spread(value: str, window: int = 60) -> Feature:
     """``_med`` and ``_std`` of the trailing window (deviation 1 for a single row)."""
     return Feature([{
