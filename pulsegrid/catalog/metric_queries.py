@@ -18,7 +18,7 @@ from pulsegrid.operators import series as S
 from pulsegrid.plans import event_features as ef
 from pulsegrid.plans.training import build_features
 from pulsegrid.schema import FEATURE_COLS
-from pulsegrid.session import scratch
+from pulsegrid.session import materialise, scratch
 from pulsegrid.sources.manifest import contributions, ingest
 from pulsegrid.sources.sinks import write_report
 
@@ -132,7 +132,7 @@ _DESCRIBE = " UNION ALL ".join(
   f AS (SELECT r, coalesce(lead(r, 5) OVER (ORDER BY idx), (SELECT arg_max(r, timestamp) FROM m)) AS fut,
     CASE WHEN r > greatest(1, 3 * (SELECT median(r) FROM m)) THEN 1.0::DOUBLE ELSE 0.0 END AS surge FROM m) {_DESCRIBE}""")
 def a20(spark, sf):
-    return tidy(M.describe(build_features(minutes(spark, sf)), ["req_rate_1m", "future_req_rate_5m", "is_surge"]))
+    return tidy(M.describe(materialise(build_features(minutes(spark, sf))), ["req_rate_1m", "future_req_rate_5m", "is_surge"]))
 
 
 @query("a21_gauge_timeline", f"""WITH RECURSIVE {AUDIT_SQL},
@@ -252,7 +252,7 @@ def q07(spark, sf):
     {r6('0')} AS max_gap_seconds, 0::BIGINT AS duplicate_timestamps, {r6('(SELECT outlier_ratio FROM o)')} AS outlier_ratio,
     count(*) AS source_rows, {r6('100')} AS percent, true AS null_free FROM m""")
 def s19(spark, sf):
-    series = minutes(spark, sf)
+    series = materialise(minutes(spark, sf))
     source = series.select(F.lit("traffic").alias("source"))
     path = scratch(spark, "report")
     write_report(Q.report(series.drop("idx"), contributions(source)), path)

@@ -13,6 +13,7 @@ from pulsegrid.operators import rolling as R
 from pulsegrid.operators import series as S
 from pulsegrid.plans.training import build_features, future_rate
 from pulsegrid.schema import FEATURE_COLS, LABEL_COLS
+from pulsegrid.session import materialise
 
 SER = f"""{EVS.replace("event_type AS source, ", "")}, {dense_sql('d', 's', M1, 'sum')},
   m AS (SELECT timestamp, idx, value AS r FROM d)"""
@@ -77,7 +78,7 @@ _simple("w07b_autocorrelation_full", lambda: [R.autocorrelation(full=True)],
 @query("w08_future_lead", f"""WITH {SER} SELECT timestamp, {r6('r')} AS req_rate_1m,
   {r6(f'coalesce(lead(r, 5) OVER ({O}), (SELECT arg_max(r, timestamp) FROM m))')} AS future_req_rate_5m FROM m""")
 def w08(spark, sf):
-    return tidy(future_rate(minutes(spark, sf)).select("timestamp", R.RATE, "future_req_rate_5m"))
+    return tidy(future_rate(materialise(minutes(spark, sf))).select("timestamp", R.RATE, "future_req_rate_5m"))
 
 
 @query("w09_future_mean", f"""WITH {SER} SELECT timestamp, {r6('v')} AS future FROM (

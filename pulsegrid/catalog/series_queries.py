@@ -10,6 +10,7 @@ from pulsegrid.catalog.inputs import r6, raw_events, table, tidy
 from pulsegrid.catalog.registry import query
 from pulsegrid.operators import series as S
 from pulsegrid.plans.training import surge_flags
+from pulsegrid.session import materialise
 
 
 def event_series(spark, sf, kind: str | None = None):
@@ -201,7 +202,7 @@ def a09(spark, sf):
     {r6('CASE WHEN value > greatest(1, 3 * m) THEN 1 ELSE 0 END')} AS is_surge FROM d JOIN m USING (source)""")
 def a10(spark, sf):
     d = S.resample(event_series(spark, sf), "1h", "sum", keys=["source"]).withColumnRenamed("value", "req_rate_1m")
-    return tidy(surge_flags(d.drop("idx"), keys=["source"]))
+    return tidy(surge_flags(materialise(d.drop("idx")), keys=["source"]))
 
 
 @query("j01_align_by_position", f"""

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.calendar import calendar_features
 from pulsegrid.functions.numeric import clip
 from pulsegrid.operators import rolling as R
 from pulsegrid.operators.ordered import time_index
+from pulsegrid.operators.quality import report
 from pulsegrid.operators.quantiles import exact_median
+from pulsegrid.operators.series import fuse
 from pulsegrid.schema import FEATURE_COLS, LABEL_COLS
+from pulsegrid.session import materialise
+from pulsegrid.sources.manifest import contributions, ingest, load_manifest
+from pulsegrid.sources.sinks import write_report, write_training_table
 
 # Surge factor and floor.
 SURGE_FACTOR, SURGE_FLOOR = 3.0, 1.0
@@ -47,7 +52,9 @@ def build_features(fused: DataFrame, *, keys: Sequence[str] = (), latency: str |
     lists those present), else from fixed functions of the load.
     """
     keys = list(keys)
-    indexed = fused if "idx" in fused.columns else time_index(fused, keys=keys)
+    # one row per bin, read by the scalars, the median and the frames: written down once instead of
+    # going back to the raw data for each
+    indexed = materialise(fused if "idx" in fused.columns else time_index(fused, keys=keys))
     scalars = indexed.groupBy(*keys).agg(
         F.max(R.RATE).alias("_top"), F.max_by(R.RATE, "timestamp").alias("_final"))
     scalars = scalars.join(exact_median(indexed, R.RATE, keys, "_median"), keys) if keys else \
@@ -79,3 +86,20 @@ def build_features(fused: DataFrame, *, keys: Sequence[str] = (), latency: str |
         "future_req_rate_5m": F.coalesce("_ahead", "_final"),
         "is_surge": (r > limit).cast("double"),
     }).select(*keys, "timestamp", *FEATURE_COLS, *LABEL_COLS)
+
+
+def build_training_table(spark: SparkSession, manifest: str | dict) -> tuple[DataFrame, DataFrame]:
+    """Manifest to ``(features and labels, quality report)``. Writes both where the manifest names
+    paths; the report looks at the fused series."""
+    cfg = load_manifest(manifest)
+    tagged = materialise(ingest(spark, cfg))
+    if tagged.isEmpty():
+        raise RuntimeError("no source of the manifest has usable rows")
+    fused = materialise(fuse(tagged, cfg.get("fusion_mode", "sum")))
+    features = build_features(fused)
+    quality = report(fused, contributions(tagged))
+    if cfg.get("output_path"):
+        write_training_table(features, cfg["output_path"])
+    if cfg.get("quality_report_path"):
+        write_report(quality, cfg["quality_report_path"])
+    return features, quality
