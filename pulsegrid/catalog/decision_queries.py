@@ -170,7 +170,7 @@ def policy(spark, sf):
   SELECT service, timestamp, {r6('rate')} AS predicted_rate, act AS scale_action, was::INTEGER AS current_replicas,
     cur::INTEGER AS target_replicas, why AS scale_reason FROM run WHERE rn > 0""")
 def m06(spark, sf):
-    return tidy(policy(spark, sf))
+    return tidy(policy(spark, sf).drop(*D.STATE_COLS))
 
 
 def audit(spark, sf):

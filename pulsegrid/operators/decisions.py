@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -150,18 +150,23 @@ def policy_step(state: PolicyState, second: int, rate: float,
     return PolicyState(target, second, None), "SCALE_IN", target, why
 
 
-def fold_policy(state: PolicyState, rows: Iterable[tuple[int, float]],
-                limits: PolicyLimits) -> tuple[PolicyState, list[tuple[str, int, int, str]]]:
-    out = []
-    for second, rate in rows:
-        before = state.replicas
-        state, action, target, reason = policy_step(state, second, rate, limits)
-        out.append((action, before, target, reason))
-    return state, out
+STATE_COLS = ("replicas", "acted", "low_since")
+
+
+def _restore(row: pd.Series) -> PolicyState:
+    replicas, acted, low = (None if pd.isna(v) else int(v) for v in row)
+    return PolicyState() if replicas is None else PolicyState(replicas, acted, low)
+
+
+def policy_state(outcome: DataFrame) -> DataFrame:
+    """State of each service after its last row."""
+    last = outcome.groupBy("service").agg(F.max_by(F.struct(*STATE_COLS), "timestamp").alias("_s"))
+    return last.select("service", "_s.*")
 
 
 POLICY_SCHEMA = ("service string, timestamp timestamp, predicted_rate double, scale_action string, "
-                 "current_replicas int, target_replicas int, scale_reason string")
+                 "current_replicas int, target_replicas int, scale_reason string, "
+                 "replicas int, acted long, low_since long")
 
 
 def newest_per_cycle(df: DataFrame, key: str = "service", *, seconds: int = 5, ts: str = "timestamp",
@@ -175,26 +180,37 @@ def newest_per_cycle(df: DataFrame, key: str = "service", *, seconds: int = 5, t
 
 
 def scaling_policy(dispatched: DataFrame, limits: PolicyLimits = PolicyLimits(), *,
-                   order: Sequence[str] = ("timestamp",)) -> DataFrame:
+                   order: Sequence[str] = ("timestamp",), state: DataFrame | None = None) -> DataFrame:
     """Run the policy over each service's predictions in time order.
 
     Inherently sequential per service, so input is expected at scheduler cadence (see
     :func:`newest_per_cycle`); rows stream through in sorted batches and only the state is kept.
+    ``state`` continues an earlier run (see :func:`policy_state`).
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = PolicyState()
+        now = None
         for b in batches:
-            seconds = b["second"].tolist()
-            state, rows = fold_policy(state, zip(seconds, b["predicted_rate"].tolist()), limits)
+            if now is None:
+                now = _restore(b[["_replicas", "_acted", "_low_since"]].iloc[0])
             out = b[["service", "timestamp", "predicted_rate"]].copy()
-            out[["scale_action", "current_replicas", "target_replicas", "scale_reason"]] = pd.DataFrame(
-                rows, index=out.index, columns=["a", "c", "t", "r"])
-            yield out
+            rows = []
+            for second, rate in zip(b["second"].tolist(), b["predicted_rate"].tolist()):
+                before = now.replicas
+                now, action, target, reason = policy_step(now, second, rate, limits)
+                rows.append((action, before, target, reason, now.replicas, now.acted, now.low_since))
+            names = ["scale_action", "current_replicas", "target_replicas", "scale_reason", *STATE_COLS]
+            out[names] = pd.DataFrame(rows, index=out.index, columns=names)
+            yield out.astype({"acted": "Int64", "low_since": "Int64"})
 
     run.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
     extra = [c for c in order if c not in ("timestamp",)]
-    ordered = dispatched.select("service", "timestamp", "predicted_rate", F.unix_seconds("timestamp").alias("second"),
-                                *extra).repartition("service").sortWithinPartitions("service", *order)
+    rows = dispatched.select("service", "timestamp", "predicted_rate", F.unix_seconds("timestamp").alias("second"), *extra)
+    if state is None:
+        rows = rows.withColumns({"_replicas": F.lit(None).cast("int"), "_acted": F.lit(None).cast("long"),
+                                 "_low_since": F.lit(None).cast("long")})
+    else:
+        rows = rows.join(state.select("service", *[F.col(c).alias("_" + c) for c in STATE_COLS]), "service", "left")
+    ordered = rows.repartition("service").sortWithinPartitions("service", *order)
     return ordered.groupBy("service").applyInPandas(run, POLICY_SCHEMA)
 
 

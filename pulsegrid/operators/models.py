@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators.ordered import time_index
 from pulsegrid.operators.quantiles import exact_median, exact_percentiles
 from pulsegrid.schema import FEATURE_COLS
+from pulsegrid.session import materialise
 
 # Hyper-parameters of the forecaster and the anomaly model.
 FORECAST_PARAMS = {"maxIter": 200, "maxDepth": 8, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42}
@@ -210,7 +211,8 @@ def fit_isolation_forest(train: DataFrame, key: str, *, features: Sequence[str]
     nodes = draws.join(pool, "_pos").groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
     pool.unpersist()
     forest = IsolationForest(nodes, sample, None, list(features))
-    forest.offset = exact_percentiles(forest.score(train), "anomaly_score", {"q": contamination}).first()[0]
+    scores = materialise(forest.score(train).select("anomaly_score"))  # scored once, read twice
+    forest.offset = exact_percentiles(scores, "anomaly_score", {"q": contamination}).first()[0]
     return forest
 
 

@@ -14,6 +14,8 @@ Order of events within an endpoint is (epoch millisecond, event_id). Plan:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,6 +55,18 @@ def per_second(events: DataFrame) -> DataFrame:
         F.max_by("latency_ms", F.struct("ms", "event_id")).alias("last_latency"))
 
 
+def combine_seconds(fresh: DataFrame, carried: DataFrame | None) -> DataFrame:
+    """Seconds of this run on top of those kept from earlier ones: ``cnt`` is the total, ``old`` the
+    part that was there before; the newest latency wins."""
+    if carried is None:
+        return fresh.withColumn("old", F.lit(0).cast("long"))
+    both = fresh.select("endpoint", "sec", "cnt", "last_latency", F.lit(1).alias("_new")).unionByName(
+        carried.select("endpoint", "sec", "cnt", "last_latency", F.lit(0).alias("_new")))
+    return both.groupBy("endpoint", "sec").agg(
+        F.sum("cnt").alias("cnt"), F.max_by("last_latency", "_new").alias("last_latency"),
+        F.coalesce(F.sum(F.when(F.col("_new") == 0, F.col("cnt"))), F.lit(0).cast("long")).alias("old"))
+
+
 def _frames(seconds: DataFrame) -> DataFrame:
     """For each second: totals, maxima and latency moments of the seconds before it.
 
@@ -74,7 +88,7 @@ def _frames(seconds: DataFrame) -> DataFrame:
         ).alias("_run"),
         F.first("last_latency", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, W.unboundedFollowing))
         .alias("_mid"),
-        F.sum(F.when(F.col("_own") == F.col("_slice"), F.col("cnt"))).over(upto).alias("_in"))
+        F.sum(F.when(F.col("_own") == F.col("_slice"), F.col("cnt") - F.col("old"))).over(upto).alias("_in"))
 
     cols: dict[str, Column] = {}
     last = F.lag("_run", 1).over(w)
@@ -104,11 +118,11 @@ def _frames(seconds: DataFrame) -> DataFrame:
         m2 = F.greatest(F.coalesce(F.col(f"xx{n}"), F.lit(0.0)) - x * mean, F.lit(0.0))
         return F.struct(k.alias("n"), (F.col("_mid") + mean).alias("mean"), m2.alias("m2"))
 
-    totals = seconds.groupBy("endpoint", own.alias("_slice")).agg(F.sum("cnt").alias("_n"))
+    totals = seconds.groupBy("endpoint", own.alias("_slice")).agg(F.sum(F.col("cnt") - F.col("old")).alias("_n"))
     carried = running_before(totals, ["endpoint"], ["_slice"], "_n", "_off").drop("_n")
     return framed.join(carried, ["endpoint", "_slice"]).select(
-        "endpoint", "sec", "cnt",
-        (F.col("_off") + F.col("_in") - F.col("cnt")).alias("events_before"),
+        "endpoint", "sec", "old",
+        (F.col("_off") + F.col("_in") - (F.col("cnt") - F.col("old"))).alias("events_before"),
         *[since(n, "n").alias(f"tot{n}") for n in RATE_WINDOWS],
         *[F.coalesce(F.col(f"peak{n}"), zero).alias(f"peak{n}") for n in MAX_WINDOWS],
         *[moments(n).alias(f"lat{n}") for n in STD_WINDOWS],
@@ -124,9 +138,11 @@ def _add_point(n: Column, mean: Column, m2: Column, x: Column) -> tuple[Column,
             F.when(x.isNull(), m2).otherwise(m2 + d * d * n / k))
 
 
-def trailing_windows(events: DataFrame, *, hot_second: int = HOT_SECOND) -> DataFrame:
+def trailing_windows(events: DataFrame, *, carried: DataFrame | None = None,
+                     hot_second: int = HOT_SECOND) -> DataFrame:
     """Per event: totals and per-second maxima of the trailing windows, latency deviation, and the
-    event's 0-based position ``idx`` within its endpoint."""
+    event's 0-based position ``idx`` within its endpoint. ``carried`` holds the seconds of earlier
+    events (see :func:`per_second`) when the events continue a stream."""
     stamped = with_second(events)
     seconds = per_second(events)
 
@@ -144,13 +160,14 @@ def trailing_windows(events: DataFrame, *, hot_second: int = HOT_SECOND) -> Data
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     parts = running_before(parts, ["endpoint", "sec"], ["_ms", "_blk"], "_n", "_skip").drop("_n")
-    table = _frames(seconds).join(parts, ["endpoint", "sec"], "left").withColumns({
-        c: F.coalesce(c, F.lit(v).cast("long")) for c, v in (("_ms", -1), ("_blk", -1), ("_skip", 0))}).drop("cnt")
+    table = _frames(combine_seconds(seconds, carried)).join(parts, ["endpoint", "sec"], "left").withColumns({
+        c: F.coalesce(c, F.lit(v).cast("long")) for c, v in (("_ms", -1), ("_blk", -1), ("_skip", 0))})
 
     group = ["endpoint", "sec", "_ms", "_blk"]
     rank = F.row_number().over(W.partitionBy(*group).orderBy("ms", "event_id"))
     ranked = split.withColumn("_rn", rank).join(table, group)
-    rn = F.col("_skip") + F.col("_rn")
+    fresh = F.col("_skip") + F.col("_rn")
+    rn = F.col("old") + fresh
     on_edge = F.col("ms") % 1000 == 0
 
     def edge(n: int, field: str) -> Column:
@@ -163,7 +180,7 @@ def trailing_windows(events: DataFrame, *, hot_second: int = HOT_SECOND) -> Data
         k, mean, m2 = _add_point(k, mean, m2, edge(n, "last_latency"))
         k, _, m2 = _add_point(k, mean, m2, F.col("latency_ms"))
         out[f"latency_std_{n}s"] = F.when(k < 2, F.lit(0.0)).otherwise(F.sqrt(F.try_divide(m2, k - 1)))
-    return ranked.select(*events.columns, "ms", (F.col("events_before") + rn - 1).alias("idx"),
+    return ranked.select(*events.columns, "ms", (F.col("events_before") + fresh - 1).alias("idx"),
                          *[c.alias(k) for k, c in out.items()])
 
 
@@ -196,16 +213,33 @@ def _rate_stages(rate: str, count: str) -> tuple[dict, dict]:
     return first, second
 
 
-def rate_history(rated: DataFrame, rate: str = "req_rate_1m", count: str = "total_60s",
-                 rows: int | None = None) -> DataFrame:
+KEPT_RATES = 256  # rates per endpoint a later run needs to continue averages and autocorrelation
+
+
+def rate_history(rated: DataFrame, rate: str = "req_rate_1m", count: str = "total_60s", *,
+                 history: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """Per event, over the endpoint's earlier events: both averages, change, autocorrelation.
 
     The autocorrelation is taken on the whole-number counts behind the rates: same value, and sums
-    of whole numbers are exact, so a flat history is recognised as flat.
+    of whole numbers are exact, so a flat history is recognised as flat. ``history`` holds the last
+    ``KEPT_RATES`` rates of earlier events (``endpoint, seq`` and the two columns); with it, ``seq``
+    numbers the events onwards.
     """
+    series = rated.withColumn("seq", F.col("idx"))
+    if history is not None:
+        ends = history.groupBy("endpoint").agg(F.min("seq").alias("_lo"), (F.max("seq") + 1).alias("_next"))
+        shifted = series.join(ends, "endpoint", "left").withColumns({
+            "seq": F.col("idx") + F.coalesce("_next", F.lit(0)),
+            "idx": F.col("idx") + F.coalesce(F.col("_next") - F.col("_lo"), F.lit(0)), "_old": F.lit(False),
+        }).drop("_lo", "_next")
+        older = history.join(ends, "endpoint").select(
+            "endpoint", "seq", rate, count, (F.col("seq") - F.col("_lo")).alias("idx"), F.lit(True).alias("_old"))
+        series = shifted.unionByName(older, allowMissingColumns=True)
     averages, reach, helpers = ewma_stages(F.col(rate), {"ewma_03": 0.3, "ewma_07": 0.7}, keys=["endpoint"])
-    out = over_blocks(rated, *_rate_stages(rate, count), *averages, keys=["endpoint"],
+    out = over_blocks(series, *_rate_stages(rate, count), *averages, keys=["endpoint"],
                       trailing=max(reach, HISTORY), rows=rows)
+    if history is not None:
+        out = out.filter(~F.col("_old")).drop("_old")
     prev = F.coalesce("_prev", F.lit(0.0))
     sums = [F.col(c) for c in ("_n", "_sx", "_sy", "_sxy", "_sxx", "_syy")]
     return out.withColumns({
@@ -214,18 +248,20 @@ def rate_history(rated: DataFrame, rate: str = "req_rate_1m", count: str = "tota
     }).drop(*helpers, "_prev", "_x", "_y", "_n", "_sx", "_sy", "_sxy", "_sxx", "_syy")
 
 
-def feature_vectors(events: DataFrame, *, infra: dict[str, float] | None = None,
+def feature_vectors(events: DataFrame, *, infra: dict[str, float] | None = None, carried: DataFrame | None = None,
+                    history: DataFrame | None = None, extra: Sequence[str] = (),
                     hot_second: int = HOT_SECOND, rows: int | None = None) -> DataFrame:
     """One feature vector per event: ``event_id, endpoint, timestamp`` and the 26 features."""
-    windows = rates(trailing_windows(events.select("event_id", "ts", "endpoint", "latency_ms"), hot_second=hot_second))
-    full = rate_history(windows, rows=rows)
+    windows = rates(trailing_windows(
+        events.select("event_id", "ts", "endpoint", "latency_ms"), carried=carried, hot_second=hot_second))
+    full = rate_history(windows, history=history, rows=rows)
     renamed = {
         "latency_std_5m": F.col("latency_std_300s"), "latency_std_15m": F.col("latency_std_900s"),
         "req_max_5m": F.col("max_300s").cast("double"), "req_max_15m": F.col("max_900s").cast("double"),
     }
     constants = {k: F.lit(float(v)) for k, v in {**INFRA_DEFAULTS, **(infra or {})}.items()}
     ready = full.withColumns({**renamed, **constants, **calendar_features(F.col("ts"), monday=1)})
-    return ready.select("event_id", "endpoint", F.timestamp_millis("ms").alias("timestamp"), *FEATURE_COLS)
+    return ready.select("event_id", "endpoint", F.timestamp_millis("ms").alias("timestamp"), *FEATURE_COLS, *extra)
 
 
 def with_infra(events: DataFrame, per_minute: DataFrame | None = None, *, ts: str = "ts",
