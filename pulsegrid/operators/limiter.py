@@ -14,7 +14,7 @@ every group bounded however busy a client is:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,7 @@ LIMIT = 1000  # fixed value: requests per window
 WINDOW_MS = 60_000  # fixed value
 CHUNK_MS = 3_600_000
 ID_BLOCK_BITS = 20
+NO_WINDOW = -1
 
 
 def _next_index(times: np.ndarray, index: np.ndarray, window: int) -> np.ndarray:
@@ -67,6 +68,37 @@ def window_anchors(times: np.ndarray, free_at: int | None, window: int = WINDOW_
     return anchors
 
 
+def sorted_groups(batches: Iterator[pd.DataFrame],
+                  keys: Sequence[str]) -> Iterator[list[tuple[tuple, dict[str, np.ndarray]]]]:
+    """Complete groups out of batches sorted by ``keys``; only the group at a batch edge is held."""
+    rest = None
+
+    def split(b: pd.DataFrame):
+        columns = {c: b[c].to_numpy() for c in b.columns}
+        changed = np.zeros(len(b) - 1, dtype=bool)
+        for k in keys:
+            changed |= columns[k][1:] != columns[k][:-1]
+        edges = np.concatenate([[0], np.flatnonzero(changed) + 1, [len(b)]])
+        return [(tuple(columns[k][i] for k in keys), {c: v[i:j] for c, v in columns.items()})
+                for i, j in zip(edges[:-1], edges[1:])], edges
+
+    for b in batches:
+        if b.empty:
+            continue
+        if rest is not None:
+            b = pd.concat([rest, b], ignore_index=True)
+        groups, edges = split(b)
+        rest = b.iloc[edges[-2]:]
+        if len(groups) > 1:
+            yield groups[:-1]
+    if rest is not None:
+        yield split(rest)[0]
+
+
+def _frame(parts: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(names)})
+
+
 def rate_limit(requests: DataFrame, *, limit: int = LIMIT, window_ms: int = WINDOW_MS,
                path: str | None = "path", chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Adds ``allowed`` and ``window_count`` (NULL for paths the limiter leaves alone) to
@@ -78,36 +110,46 @@ def rate_limit(requests: DataFrame, *, limit: int = LIMIT, window_ms: int = WIND
     blocks = counted.groupBy("client_id", "_ms", "_blk").agg(F.count(F.lit(1)).alias("_n"))
     times = blocks.select("client_id", "_ms", F.floor(F.col("_ms") / chunk_ms).alias("_chunk")).distinct()
 
-    def tabulate(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        upto, out = window_transitions(np.sort(pdf["_ms"].to_numpy()), int(key[1]) * chunk_ms, window_ms)
-        return pd.DataFrame({"client_id": key[0], "_chunk": key[1], "upto": upto, "out": out})
+    def tabulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for groups in sorted_groups(batches, ["client_id", "_chunk"]):
+            parts = []
+            for (client, chunk), g in groups:
+                upto, out = window_transitions(g["_ms"], int(chunk) * chunk_ms, window_ms)
+                parts.append((np.repeat(client, len(out)), np.repeat(chunk, len(out)), upto, out))
+            yield _frame(parts, ["client_id", "_chunk", "upto", "out"])
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        free, chunk, settled = None, None, True
+        at, free, incoming, settled = None, None, None, True
         for b in batches:
             rows = []
-            for client, c, upto, out in zip(b["client_id"], b["_chunk"], b["upto"], b["out"]):
-                if c != chunk:
-                    chunk, incoming, settled = c, free, False
-                    rows.append((client, c, incoming))
+            for client, chunk, upto, out in zip(b["client_id"], b["_chunk"], b["upto"], b["out"]):
+                if at is None or client != at[0]:
+                    free = None
+                if (client, chunk) != at:
+                    at, incoming, settled = (client, chunk), free, False
+                    rows.append((client, chunk, incoming))
                 if not settled and (incoming is None or incoming <= upto):
                     free, settled = out, True
             yield pd.DataFrame(rows, columns=["client_id", "_chunk", "_free"]).astype({"_free": "Int64"})
 
-    walk.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-
-    def lay_out(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_ms"].to_numpy())
-        free = pdf["_free"].iloc[0]
-        return pd.DataFrame({"client_id": key[0], "_ms": t,
-                             "_anchor": window_anchors(t, None if pd.isna(free) else int(free), window_ms)})
-
-    steps = times.groupBy("client_id", "_chunk").applyInPandas(
-        tabulate, "client_id string, _chunk long, upto long, out long")
-    entries = steps.repartition("client_id").sortWithinPartitions("client_id", "_chunk", "upto") \
-        .groupBy("client_id").applyInPandas(walk, "client_id string, _chunk long, _free long")
-    anchors = times.join(entries, ["client_id", "_chunk"]).groupBy("client_id", "_chunk").applyInPandas(
-        lay_out, "client_id string, _ms long, _anchor long")
+    def lay_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for groups in sorted_groups(batches, ["client_id", "_chunk"]):
+            parts = []
+            for (client, _), g in groups:
+                free = g["_free"][0]
+                anchors = window_anchors(g["_ms"], None if free == NO_WINDOW else int(free), window_ms)
+                parts.append((np.repeat(client, len(anchors)), g["_ms"], anchors))
+            yield _frame(parts, ["client_id", "_ms", "_anchor"])
+
+    def arranged(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+        return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    chunk = ["client_id", "_chunk"]
+    steps = arranged(times, chunk, "_ms").mapInPandas(tabulate, "client_id string, _chunk long, upto long, out long")
+    entries = arranged(steps, ["client_id"], "_chunk", "upto").mapInPandas(
+        walk, "client_id string, _chunk long, _free long")
+    entered = times.join(entries, chunk).withColumn("_free", F.coalesce("_free", F.lit(NO_WINDOW)))
+    anchors = arranged(entered, chunk, "_ms").mapInPandas(lay_out, "client_id string, _ms long, _anchor long")
     placed = running_before(
         blocks.join(anchors, ["client_id", "_ms"]), ["client_id", "_anchor"], ["_ms", "_blk"], "_n", "_before")
 
