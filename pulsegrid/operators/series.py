@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pulsegrid.functions.calendar import interval_seconds
 from pulsegrid.functions.numeric import clean_double, clip
 from pulsegrid.operators.ordered import DAY, fill_from_neighbours, over_blocks, row_index, time_index
+from pulsegrid.session import materialise
 
 MICROS = 1_000_000
 OFFSET_SUFFIX = r"(Z|[+-]\d{2}:?\d{2})$"
@@ -84,8 +85,9 @@ def resample(df: DataFrame, interval: str = "1min", agg: str = "sum", *, keys: S
     fine = math.gcd(step, DAY)
     micros = F.unix_micros(ts)
     grid = F.floor(micros / F.lit(fine * MICROS)) * F.lit(fine * MICROS)
-    parts = df.groupBy(*keys, grid.alias("_bin")).agg(
-        F.sum(value).alias("_s"), F.count(value).alias("_k"), F.min(value).alias("_min"), F.max(value).alias("_max"))
+    # one row per bin, written down: bounds and values both read it, the source is scanned once
+    parts = materialise(df.groupBy(*keys, grid.alias("_bin")).agg(
+        F.sum(value).alias("_s"), F.count(value).alias("_k"), F.min(value).alias("_min"), F.max(value).alias("_max")))
     bounds = parts.groupBy(*keys).agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"))
     if fine != step:
         day = F.lit(DAY * MICROS)

@@ -3,7 +3,7 @@
 Order of events within an endpoint is (epoch millisecond, event_id). Plan:
 
 1. count events and keep the last latency per (endpoint, second) -- partial aggregation before the
-   only shuffle of this step;
+   only shuffle of this step -- and write that table down;
 2. run the 1/5/15/30-minute frames on those seconds, partitioned by (endpoint, time slice) with a
    30-minute halo, so that a hot endpoint spreads over as many tasks as it has slices;
 3. join the frames back to the events on (endpoint, second) and rank the events inside the second;
@@ -15,6 +15,7 @@ Order of events within an endpoint is (epoch millisecond, event_id). Plan:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +25,7 @@ from pulsegrid.functions.calendar import calendar_features
 from pulsegrid.functions.numeric import correlation_from_sums
 from pulsegrid.operators.ordered import ewma_stages, over_blocks, running_before
 from pulsegrid.schema import FEATURE_COLS
+from pulsegrid.session import materialise
 
 # Trailing windows in seconds, and the rows of rate history kept.
 RATE_WINDOWS = (60, 300, 900, 1800)
@@ -48,11 +50,16 @@ def with_second(events: DataFrame) -> DataFrame:
     return events.withColumn("ms", ms).withColumn("sec", F.floor(ms / F.lit(1000)))
 
 
+# Spreads milliseconds further apart than any two 64-bit ids: (ms, event_id) order as one number.
+# Unlike a struct it fits a hash aggregate, so the events need no sort before the partial step.
+ID_SPAN = Decimal(1 << 64)
+
+
 def per_second(events: DataFrame) -> DataFrame:
     """Event count and last latency per (endpoint, second)."""
+    order = (F.col("ms") % 1000).cast("decimal(4,0)") * F.lit(ID_SPAN) + F.col("event_id").cast("decimal(19,0)")
     return with_second(events).groupBy("endpoint", "sec").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.max_by("latency_ms", F.struct("ms", "event_id")).alias("last_latency"))
+        F.count(F.lit(1)).alias("cnt"), F.max_by("latency_ms", order).alias("last_latency"))
 
 
 def combine_seconds(fresh: DataFrame, carried: DataFrame | None) -> DataFrame:
@@ -138,34 +145,38 @@ def _add_point(n: Column, mean: Column, m2: Column, x: Column) -> tuple[Column,
             F.when(x.isNull(), m2).otherwise(m2 + d * d * n / k))
 
 
-def trailing_windows(events: DataFrame, *, carried: DataFrame | None = None,
+def trailing_windows(events: DataFrame, *, carried: DataFrame | None = None, seconds: DataFrame | None = None,
                      hot_second: int = HOT_SECOND) -> DataFrame:
     """Per event: totals and per-second maxima of the trailing windows, latency deviation, and the
     event's 0-based position ``idx`` within its endpoint. ``carried`` holds the seconds of earlier
-    events (see :func:`per_second`) when the events continue a stream."""
-    stamped = with_second(events)
-    seconds = per_second(events)
+    events (see :func:`per_second`) when the events continue a stream.
 
-    # Hot seconds number at most (all events / hot_second): bounded, hence safe to broadcast.
+    The per-second table is written down once: frames, offsets and the search for hot seconds all
+    read it, and the events themselves are scanned twice in all.
+    """
+    stamped = with_second(events)
+    seconds = materialise(per_second(events)) if seconds is None else seconds
+    table = _frames(combine_seconds(seconds, carried))
+    group = ["endpoint", "sec"]
     hot = seconds.filter(F.col("cnt") > hot_second).select("endpoint", "sec", F.lit(True).alias("_hot"))
-    split = (
-        stamped.join(F.broadcast(hot), ["endpoint", "sec"], "left")
-        .withColumn("_ms", F.when(F.col("_hot"), F.col("ms")).otherwise(F.lit(-1)))
-        .withColumn("_blk", F.when(F.col("_hot"), F.shiftright("event_id", ID_BLOCK_BITS)).otherwise(F.lit(-1)))
-    )
-    parts = (
-        stamped.join(F.broadcast(hot), ["endpoint", "sec"])
-        .groupBy("endpoint", "sec", F.col("ms").alias("_ms"),
-                 F.shiftright("event_id", ID_BLOCK_BITS).alias("_blk"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    parts = running_before(parts, ["endpoint", "sec"], ["_ms", "_blk"], "_n", "_skip").drop("_n")
-    table = _frames(combine_seconds(seconds, carried)).join(parts, ["endpoint", "sec"], "left").withColumns({
-        c: F.coalesce(c, F.lit(v).cast("long")) for c, v in (("_ms", -1), ("_blk", -1), ("_skip", 0))})
-
-    group = ["endpoint", "sec", "_ms", "_blk"]
+    if hot.isEmpty():
+        table = table.withColumn("_skip", F.lit(0).cast("long"))
+    else:
+        # at most (all events / hot_second) rows: bounded, hence safe to broadcast
+        block = F.shiftright("event_id", ID_BLOCK_BITS)
+        marked = stamped.join(F.broadcast(hot), group, "left")
+        parts = marked.filter("_hot").groupBy(*group, F.col("ms").alias("_ms"), block.alias("_blk")).agg(
+            F.count(F.lit(1)).alias("_n"))
+        parts = running_before(parts, group, ["_ms", "_blk"], "_n", "_skip").drop("_n")
+        table = table.join(parts, group, "left").withColumns({
+            c: F.coalesce(c, F.lit(v).cast("long")) for c, v in (("_ms", -1), ("_blk", -1), ("_skip", 0))})
+        stamped = marked.withColumns({
+            "_ms": F.when(F.col("_hot"), F.col("ms")).otherwise(F.lit(-1)),
+            "_blk": F.when(F.col("_hot"), block).otherwise(F.lit(-1))})
+        group = [*group, "_ms", "_blk"]
+
     rank = F.row_number().over(W.partitionBy(*group).orderBy("ms", "event_id"))
-    ranked = split.withColumn("_rn", rank).join(table, group)
+    ranked = stamped.withColumn("_rn", rank).join(table, group)
     fresh = F.col("_skip") + F.col("_rn")
     rn = F.col("old") + fresh
     on_edge = F.col("ms") % 1000 == 0
@@ -249,11 +260,12 @@ def rate_history(rated: DataFrame, rate: str = "req_rate_1m", count: str = "tota
 
 
 def feature_vectors(events: DataFrame, *, infra: dict[str, float] | None = None, carried: DataFrame | None = None,
-                    history: DataFrame | None = None, extra: Sequence[str] = (),
+                    history: DataFrame | None = None, seconds: DataFrame | None = None, extra: Sequence[str] = (),
                     hot_second: int = HOT_SECOND, rows: int | None = None) -> DataFrame:
     """One feature vector per event: ``event_id, endpoint, timestamp`` and the 26 features."""
     windows = rates(trailing_windows(
-        events.select("event_id", "ts", "endpoint", "latency_ms"), carried=carried, hot_second=hot_second))
+        events.select("event_id", "ts", "endpoint", "latency_ms"), carried=carried, seconds=seconds,
+        hot_second=hot_second))
     full = rate_history(windows, history=history, rows=rows)
     renamed = {
         "latency_std_5m": F.col("latency_std_300s"), "latency_std_15m": F.col("latency_std_900s"),

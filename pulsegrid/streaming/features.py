@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid.plans import event_features as ef
 from pulsegrid.schema import FEATURE_COLS
+from pulsegrid.session import materialise
 from pulsegrid.streaming.state import StateTable, write_batch
 
 COUNT_RETENTION = 1800  # fixed value: seconds of counts kept
@@ -57,12 +58,14 @@ def feature_batch(output: str, state: str, *, late: str | None = None, late_afte
             write_batch(marked.filter("_late").drop("_top", "_late"), late, batch_id)
             usable = marked.filter(~F.col("_late")).drop("_top", "_late")
 
-        vectors = ef.feature_vectors(usable, carried=carried, history=history, extra=["seq", "total_60s"], rows=rows)
+        fresh = materialise(ef.per_second(usable))
+        vectors = ef.feature_vectors(usable, carried=carried, history=history, seconds=fresh,
+                                     extra=["seq", "total_60s"], rows=rows)
         write_batch(vectors, output, batch_id)
         if sink is not None:
             sink(spark.read.parquet(f"{output}/batch_id={batch_id}").drop("seq", "total_60s"), batch_id)
 
-        seconds = ef.combine_seconds(ef.per_second(usable), carried)
+        seconds = ef.combine_seconds(fresh, carried)
         seconds_table.after(batch_id, retain_seconds(seconds, idle_ttl=idle_ttl))
         known = spark.read.parquet(f"{output}/batch_id={batch_id}").select("endpoint", "seq", "req_rate_1m", "total_60s")
         if history is not None:
