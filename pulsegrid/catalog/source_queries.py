@@ -130,29 +130,33 @@ def _plain(name, source, columns, sql, suffix=".csv", cfg=None, **options):
     return run
 
 
-_TS = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+def _text_time():
+    return F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+
 _ALL = f"SELECT ts AS timestamp, {r6('value')} AS value FROM events"
 
-_plain("s07_delimited_csv", traces.delimited, lambda e: e.select(_TS.alias("when"), "value", "event_type"), _ALL,
+_plain("s07_delimited_csv", traces.delimited, lambda e: e.select(_text_time().alias("when"), "value", "event_type"), _ALL,
        cfg={"timestamp_col": "when", "value_col": "value"})
-_plain("s07_delimited_tsv", traces.delimited, lambda e: e.select(_TS.alias("timestamp"), "value"), _ALL,
+_plain("s07_delimited_tsv", traces.delimited, lambda e: e.select(_text_time().alias("timestamp"), "value"), _ALL,
        suffix=".tsv", sep="\t")
 _plain("s07_parquet", traces.delimited, lambda e: e.select(F.col("ts").alias("timestamp"), "value"), _ALL,
        suffix=".parquet")
 _plain("s08_column_resolution", traces.function_invocations,
-       lambda e: e.select("event_id", _TS.alias("Timestamp"), F.col("value").alias("Count")), _ALL)
+       lambda e: e.select("event_id", _text_time().alias("Timestamp"), F.col("value").alias("Count")), _ALL)
 _plain("s09_function_trace", traces.function_invocations,
-       lambda e: e.select(_TS.alias("end_timestamp"), F.col("event_id").alias("invocations"), "event_type"),
+       lambda e: e.select(_text_time().alias("end_timestamp"), F.col("event_id").alias("invocations"), "event_type"),
        f"SELECT ts AS timestamp, {r6('event_id')} AS value FROM events")
 _plain("s10_vm_trace", traces.vm_utilisation,
-       lambda e: e.select(_TS.alias("timestamp_vm"), F.col("value").alias("avg_cpu")), _ALL)
+       lambda e: e.select(_text_time().alias("timestamp_vm"), F.col("value").alias("avg_cpu")), _ALL)
 _plain("s11_google_micros", traces.google_cluster,
        lambda e: e.select(F.unix_micros("ts").alias("start_time"), F.col("value").alias("average_usage.cpus")), _ALL)
 _plain("s11_google_millis", traces.google_cluster,
        lambda e: e.select(F.unix_millis("ts").alias("start_time"), F.col("value").alias("avg_cpu")),
        f"SELECT epoch_ms(epoch_us(ts) // 1000) AS timestamp, {r6('value')} AS value FROM events")
 _plain("s11_google_text", traces.google_cluster,
-       lambda e: e.select(_TS.alias("start_time"), F.col("value").alias("avg_cpu")), _ALL)
+       lambda e: e.select(_text_time().alias("start_time"), F.col("value").alias("avg_cpu")), _ALL)
 _plain("s12_alibaba_seconds", traces.alibaba_cluster,
        lambda e: e.select(F.unix_seconds("ts").alias("time_stamp"), F.col("value").alias("cpu_util_percent")),
        f"SELECT date_trunc('second', ts) AS timestamp, {r6('value')} AS value FROM events")
@@ -188,7 +192,7 @@ def s14(spark, sf):
 
 
 _plain("s15_pageview_table", traces.pageviews,
-       lambda e: e.select(_TS.alias("timestamp"), F.col("event_id").alias("views")),
+       lambda e: e.select(_text_time().alias("timestamp"), F.col("event_id").alias("views")),
        f"SELECT ts AS timestamp, {r6('event_id')} AS value FROM events")
 
 
@@ -216,7 +220,7 @@ def manifest_for(spark, sf):
         "fusion_mode": "weighted_mean",
         "sources": [
             {"name": "traffic", "enabled": True, "adapter": "generic", "resample": "1h", "agg": "sum",
-             "path": _file(spark, ev.select(_TS.alias("timestamp"), "value"), "traffic"), "weight": 2.0,
+             "path": _file(spark, ev.select(_text_time().alias("timestamp"), "value"), "traffic"), "weight": 2.0,
              "multiplier": 3.0, "clip_min": 10.0, "clip_max": 5000.0, "missing_data_policy": "interpolate"},
             {"name": "orders", "enabled": True, "adapter": "azure_functions", "resample": "1h", "agg": "mean",
              "path": _file(spark, orders, "orders"), "filter_start": "1997-01-01", "filter_end": "1997-12-31",
