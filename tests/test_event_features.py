@@ -48,8 +48,8 @@ def model(events: pd.DataFrame) -> pd.DataFrame:
 @pytest.fixture(scope="module")
 def events():
     rng = np.random.default_rng(11)
-    n = 1200
-    ms = np.sort(rng.integers(0, 7_200_000, n))
+    n = 700
+    ms = np.sort(rng.integers(0, 4_200_000, n))
     ms[100:160] = ms[100]  # a burst in one millisecond
     ms[::7] -= ms[::7] % 1000  # events exactly on a second
     ms = np.sort(ms) + 1_709_500_000_000
@@ -82,7 +82,7 @@ def test_small_slices(spark, events, monkeypatch):
 def test_stream_in_parts_matches_model(spark, events, tmp_path):
     """Micro-batches cut inside a second and right after a burst; one of them is replayed."""
     step = sf.feature_batch(str(tmp_path / "out"), str(tmp_path / "state"), rows=256)
-    cuts = [0, 130, 131, 500, 1200]
+    cuts = [0, 130, 131, 400, 700]
     ordered = events.sort_values(["ms", "event_id"]).drop(columns="ms")
     for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
         part = spark.createDataFrame(ordered.iloc[a:b])

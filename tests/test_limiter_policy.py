@@ -41,7 +41,7 @@ def test_chunks_do_not_change_decisions(spark, chunk_ms):
     ms = rng.integers(0, 3_000_000, 3000)
     ms[:200] = 77_000
     clients = np.where(rng.random(3000) < 0.4, "busy", rng.integers(0, 20, 3000).astype(str))
-    rows = [(i, c, "/api/x", int(t)) for i, (c, t) in enumerate(zip(clients, ms))]
+    rows = [(i, str(c), "/api/x", int(t)) for i, (c, t) in enumerate(zip(clients, ms))]
     assert run_limiter(spark, rows, limit=5, chunk_ms=chunk_ms)["allowed"].tolist() == plain(rows, 5)
 
 
