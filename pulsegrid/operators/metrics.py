@@ -116,10 +116,11 @@ def phase_summary(samples: DataFrame, phase: str = "phase", *, latency: str = "l
 
 def replica_status(lines: DataFrame, value: str = "value") -> DataFrame:
     """Total and running instances per service from JSON lines; unreadable lines are skipped."""
-    v = F.try_parse_json(value)
+    v = F.col("_v")
+    parsed = lines.select(F.explode(F.array(F.try_parse_json(value))).alias("_v"))  # parsed once per line
     service = F.coalesce(F.try_variant_get(v, "$.Service", "string"), F.lit(""))
     state = F.lower(F.coalesce(F.try_variant_get(v, "$.State", "string"), F.lit("")))
-    return lines.filter(v.isNotNull()).groupBy(service.alias("service")).agg(
+    return parsed.filter(v.isNotNull()).groupBy(service.alias("service")).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(state == "running").alias("running"))
 
 

@@ -35,7 +35,9 @@ def decode(df: DataFrame, value: str = "value", record_time: str = "record_time"
     itself. A message that is no JSON, or whose textual timestamp is no instant, is malformed.
     """
     v = F.col("_v")
-    parsed = df.withColumn("_v", F.try_parse_json(value))
+    # exploding a one-element array keeps the row and pins the parse: a filter on the result cannot
+    # copy it below, so each message is parsed once
+    parsed = df.withColumn("_v", F.explode(F.array(F.try_parse_json(value))))
     stamp = _get(v, "timestamp", "variant")
     textual = F.coalesce(F.schema_of_variant(stamp) == "STRING", F.lit(False))
     text = _get(v, "timestamp", "string")
