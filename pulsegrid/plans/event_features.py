@@ -201,27 +201,30 @@ def rates(windows: DataFrame) -> DataFrame:
     return windows.withColumns({k: F.col(f"total_{n}s") / F.lit(float(n)) for k, n in named.items()})
 
 
-def _rate_stages(rate: str, count: str) -> tuple[dict, dict]:
-    r, x, y = F.col(rate), F.col("_x"), F.col("_y")
+_SUMS = ("n", "sx", "sy", "sxy", "sxx", "syy")
+
+
+def _rate_stages(rate: str, count: str) -> list[dict]:
+    """Previous rate, and the sums of the last ``HISTORY - 1`` (count, previous count) pairs as
+    differences of running sums. Counts are whole numbers taken relative to one of their block, so
+    the differences are exact."""
     pairs = HISTORY - 1
+    x, y, paired = F.col("_x"), F.col("_y"), F.col("_y").isNotNull()
 
-    def over(expr: Column, rows: int):
-        return lambda w: expr.over(w.rowsBetween(-rows, 0))
+    def running(w):
+        return w.rowsBetween(W.unboundedPreceding, 0)
 
+    levels = {"_mid": lambda w: F.first(count).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))}
     first = {
-        "_prev": lambda w: F.lag(r, 1).over(w),
-        "_y": lambda w: F.lag(F.col(count), 1).over(w).cast("double"),
-        "_x": lambda w: F.when(F.lag(F.col(count), 1).over(w).isNotNull(), F.col(count).cast("double")),
-    }
-    second = {
-        "_n": over(F.count(y), pairs - 1),
-        "_sx": over(F.sum(x), pairs - 1),
-        "_sy": over(F.sum(y), pairs - 1),
-        "_sxy": over(F.sum(x * y), pairs - 1),
-        "_sxx": over(F.sum(x * x), pairs - 1),
-        "_syy": over(F.sum(y * y), pairs - 1),
+        "_prev": lambda w: F.lag(rate, 1).over(w),
+        "_y": lambda w: (F.lag(count, 1).over(w) - F.col("_mid")).cast("double"),
+        "_x": lambda w: (F.col(count) - F.col("_mid")).cast("double"),
     }
-    return first, second
+    terms = {"n": F.lit(1.0), "sx": x, "sy": y, "sxy": x * y, "sxx": x * x, "syy": y * y}
+    second = {"_run": lambda w: F.struct(
+        *[F.coalesce(F.sum(F.when(paired, t)).over(running(w)), F.lit(0.0)).alias(k) for k, t in terms.items()])}
+    third = {"_left": lambda w: F.lag("_run", pairs).over(w)}
+    return [levels, first, second, third]
 
 
 KEPT_RATES = 256  # rates per endpoint a later run needs to continue averages and autocorrelation
@@ -252,11 +255,11 @@ def rate_history(rated: DataFrame, rate: str = "req_rate_1m", count: str = "tota
     if history is not None:
         out = out.filter(~F.col("_old")).drop("_old")
     prev = F.coalesce("_prev", F.lit(0.0))
-    sums = [F.col(c) for c in ("_n", "_sx", "_sy", "_sxy", "_sxx", "_syy")]
+    sums = [F.col(f"_run.{c}") - F.coalesce(F.col(f"_left.{c}"), F.lit(0.0)) for c in _SUMS]
     return out.withColumns({
         "rate_of_change": (F.col(rate) - prev) / F.greatest(prev, F.lit(1.0)),
         "autocorr_lag1": correlation_from_sums(*sums),
-    }).drop(*helpers, "_prev", "_x", "_y", "_n", "_sx", "_sy", "_sxy", "_sxx", "_syy")
+    }).drop(*helpers, "_mid", "_prev", "_x", "_y", "_run", "_left")
 
 
 def feature_vectors(events: DataFrame, *, infra: dict[str, float] | None = None, carried: DataFrame | None = None,
