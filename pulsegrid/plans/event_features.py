@@ -74,6 +74,28 @@ def combine_seconds(fresh: DataFrame, carried: DataFrame | None) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("_new") == 0, F.col("cnt"))), F.lit(0).cast("long")).alias("old"))
 
 
+PANED = sorted({*MAX_WINDOWS, *STD_WINDOWS})
+
+
+def _pane(sec: Column, n: int) -> Column:
+    return F.floor(sec / F.lit(n - 1))
+
+
+def _merge(parts: list[tuple[Column, Column]]) -> Column:
+    """Moments and peak of disjoint stretches, each a ``(struct, whether it counts)``."""
+    n, mean, m2, peak = F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0).cast("long")
+    for stretch, counts in parts:
+        def part(field: str, empty: Column, stretch=stretch, counts=counts) -> Column:
+            return F.coalesce(F.when(counts, stretch[field]), empty)
+
+        k, avg = part("n", F.lit(0).cast("long")).cast("double"), part("mean", F.lit(0.0))
+        d, total = avg - mean, n + k
+        m2 = m2 + k * part("var", F.lit(0.0)) + F.coalesce(F.try_divide(d * d * n * k, total), F.lit(0.0))
+        mean = mean + F.coalesce(F.try_divide(d * k, total), F.lit(0.0))
+        n, peak = total, F.greatest(peak, part("peak", F.lit(0).cast("long")))
+    return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"), peak.alias("peak"))
+
+
 def _frames(seconds: DataFrame) -> DataFrame:
     """For each second: totals, maxima and latency moments of the seconds before it.
 
@@ -81,58 +103,60 @@ def _frames(seconds: DataFrame) -> DataFrame:
     falls exactly on a second); that bucket comes along as ``edge<w>`` and is added where due.
     ``events_before`` is the number of earlier events of the endpoint: a running count inside the
     slice plus the totals of earlier slices.
+
+    All frames cost O(1) per row. Totals are differences of running counts. For maxima and moments,
+    panes as long as the window are scanned forwards and backwards: the window is the rest of one
+    pane, from its first second on, and the start of the next.
     """
     own = F.floor(F.col("sec") / SLICE)
     halo = F.floor((F.col("sec") + HALO) / SLICE)
-    sliced = seconds.withColumn("_own", own).withColumn("_slice", F.explode(F.array_distinct(F.array(own, halo))))
-    w = W.partitionBy("endpoint", "_slice").orderBy("sec")
-    upto = w.rangeBetween(W.unboundedPreceding, 0)
-    running = sliced.select(
-        "*",
-        F.struct(
-            F.sum("cnt").over(upto).alias("n"),
-            F.count("last_latency").over(upto).alias("k"),
-        ).alias("_run"),
-        F.first("last_latency", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, W.unboundedFollowing))
-        .alias("_mid"),
-        F.sum(F.when(F.col("_own") == F.col("_slice"), F.col("cnt") - F.col("old"))).over(upto).alias("_in"))
-
-    cols: dict[str, Column] = {}
-    last = F.lag("_run", 1).over(w)
-    for n in RATE_WINDOWS:
-        # growing frame: the running sums left of the window, O(1) per row
-        left = F.last("_run").over(w.rangeBetween(W.unboundedPreceding, -n))
-        cols[f"left{n}"] = left
-        cols[f"edge{n}"] = F.max(F.struct("cnt", "last_latency")).over(w.rangeBetween(-n, -n))
-    for n in MAX_WINDOWS:
-        cols[f"peak{n}"] = F.max("cnt").over(w.rangeBetween(-(n - 1), -1))
-    for n in STD_WINDOWS:
-        # sums around a value of the slice: cheaper per row than a variance, and no cancellation
-        shifted = F.col("last_latency") - F.col("_mid")
-        cols[f"x{n}"] = F.sum(shifted).over(w.rangeBetween(-(n - 1), -1))
-        cols[f"xx{n}"] = F.sum(shifted * shifted).over(w.rangeBetween(-(n - 1), -1))
-    framed = running.select("*", last.alias("_last"), *[c.alias(k) for k, c in cols.items()]).filter(
-        F.col("_slice") == F.col("_own"))
-
-    zero = F.lit(0)
-
-    def since(n: int, field: str) -> Column:
-        return F.coalesce(F.col(f"_last.{field}"), zero) - F.coalesce(F.col(f"left{n}.{field}"), zero)
+    sliced = seconds.withColumn("_own", own).withColumn(
+        "_slice", F.explode(F.array_distinct(F.array(own, halo)))).withColumns(
+        {f"_pane{n}": _pane(F.col("sec"), n) for n in PANED})
+    key = W.partitionBy("endpoint", "_slice")
+    w = key.orderBy("sec")
+    growing = (W.unboundedPreceding, 0)
+
+    def scan(n: int, order: Column) -> Column:
+        over = W.partitionBy("endpoint", "_slice", f"_pane{n}").orderBy(order).rowsBetween(*growing)
+        return F.struct(
+            F.col(f"_pane{n}").alias("pane"), F.count("last_latency").over(over).alias("n"),
+            F.avg("last_latency").over(over).alias("mean"), F.var_pop("last_latency").over(over).alias("var"),
+            F.max("cnt").over(over).alias("peak"))
+
+    scanned = sliced.select(
+        "*", F.sum("cnt").over(w.rowsBetween(*growing)).alias("_run"),
+        F.sum(F.when(F.col("_own") == F.col("_slice"), F.col("cnt") - F.col("old")))
+        .over(w.rowsBetween(*growing)).alias("_in"),
+        *[scan(n, F.col("sec").asc()).alias(f"_head{n}") for n in PANED],
+        *[scan(n, F.col("sec").desc()).alias(f"_rest{n}") for n in PANED])
+    # what follows each row, so that the row just left of a window leads to the window's first row
+    followed = scanned.select(
+        "*", *[F.lead(f"_rest{n}", 1).over(w).alias(f"_next{n}") for n in PANED],
+        *[F.first(f"_rest{n}").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias(f"_first{n}")
+          for n in PANED])
+    reached = followed.select(
+        "endpoint", "sec", "cnt", "old", "_own", "_slice", "_in", "_run", *[f"_first{n}" for n in PANED],
+        *[F.lag(f"_head{n}", 1).over(w).alias(f"_before{n}") for n in PANED],
+        *[F.last(F.struct("_run", *([F.col(f"_next{n}").alias("next")] if n in PANED else [])))
+          .over(w.rangeBetween(W.unboundedPreceding, -n)).alias(f"_left{n}") for n in RATE_WINDOWS],
+        *[F.max(F.struct("cnt", "last_latency")).over(w.rangeBetween(-n, -n)).alias(f"edge{n}")
+          for n in RATE_WINDOWS]).filter(F.col("_slice") == F.col("_own"))
 
     def moments(n: int) -> Column:
-        k, x = since(n, "k").cast("double"), F.coalesce(F.col(f"x{n}"), F.lit(0.0))
-        mean = F.coalesce(F.try_divide(x, k), F.lit(0.0))
-        m2 = F.greatest(F.coalesce(F.col(f"xx{n}"), F.lit(0.0)) - x * mean, F.lit(0.0))
-        return F.struct(k.alias("n"), (F.col("_mid") + mean).alias("mean"), m2.alias("m2"))
+        current = _pane(F.col("sec") - 1, n)
+        head, left = F.col(f"_before{n}"), F.col(f"_left{n}")
+        start = F.when(left.isNull(), F.col(f"_first{n}")).otherwise(left["next"])
+        return _merge([(start, start["pane"] == current - 1), (head, head["pane"] == current)])
 
     totals = seconds.groupBy("endpoint", own.alias("_slice")).agg(F.sum(F.col("cnt") - F.col("old")).alias("_n"))
     carried = running_before(totals, ["endpoint"], ["_slice"], "_n", "_off").drop("_n")
-    return framed.join(carried, ["endpoint", "_slice"]).select(
+    return reached.join(carried, ["endpoint", "_slice"]).select(
         "endpoint", "sec", "old",
         (F.col("_off") + F.col("_in") - (F.col("cnt") - F.col("old"))).alias("events_before"),
-        *[since(n, "n").alias(f"tot{n}") for n in RATE_WINDOWS],
-        *[F.coalesce(F.col(f"peak{n}"), zero).alias(f"peak{n}") for n in MAX_WINDOWS],
-        *[moments(n).alias(f"lat{n}") for n in STD_WINDOWS],
+        *[(F.col("_run") - F.col("cnt") - F.coalesce(F.col(f"_left{n}._run"), F.lit(0))).alias(f"tot{n}")
+          for n in RATE_WINDOWS],
+        *[moments(n).alias(f"lat{n}") for n in PANED],
         *[f"edge{n}" for n in RATE_WINDOWS])
 
 
@@ -185,7 +209,7 @@ def trailing_windows(events: DataFrame, *, carried: DataFrame | None = None, sec
         return F.when(on_edge, F.col(f"edge{n}.{field}"))
 
     out = {f"total_{n}s": F.col(f"tot{n}") + F.coalesce(edge(n, "cnt"), F.lit(0)) + rn for n in RATE_WINDOWS}
-    out |= {f"max_{n}s": F.greatest(F.col(f"peak{n}"), edge(n, "cnt"), rn) for n in MAX_WINDOWS}
+    out |= {f"max_{n}s": F.greatest(F.col(f"lat{n}.peak"), edge(n, "cnt"), rn) for n in MAX_WINDOWS}
     for n in STD_WINDOWS:
         k, mean, m2 = (F.col(f"lat{n}.{f}") for f in ("n", "mean", "m2"))
         k, mean, m2 = _add_point(k, mean, m2, edge(n, "last_latency"))
