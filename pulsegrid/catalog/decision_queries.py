@@ -8,6 +8,7 @@ from pulsegrid.catalog.inputs import BASE_MS, r6, raw_events, request_events, ta
 from pulsegrid.catalog.registry import query
 from pulsegrid.catalog.stream_features import vector_sql
 from pulsegrid.functions import web
+from pulsegrid.functions.numeric import q6
 from pulsegrid.operators import decisions as D
 from pulsegrid.operators import limiter
 from pulsegrid.operators import metrics as M
@@ -86,7 +87,7 @@ def p08(spark, sf):
     {r6('req_rate_1m')} AS ninth FROM ({vector_sql()})""")
 def p09(spark, sf):
     v = ef.feature_vectors(request_events(spark, sf, compress=True))
-    rounded = v.select("event_id", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in FEATURE_COLS if c != "queue_depth"])
+    rounded = v.select("event_id", *[q6(F.col(c)).alias(c) for c in FEATURE_COLS if c != "queue_depth"])
     a = D.feature_array(rounded)
     return tidy(a.select(
         "event_id", F.size("features").cast("long").alias("n"),

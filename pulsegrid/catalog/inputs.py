@@ -67,4 +67,4 @@ def tidy(df: DataFrame) -> DataFrame:
 
 def r6(expr: str) -> str:
     """SQL twin of the rounding in :func:`tidy`."""
-    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0::DOUBLE"
+    return f"round(CAST({expr} AS DOUBLE) + 1e-9::DOUBLE, 6) + 0.0::DOUBLE"

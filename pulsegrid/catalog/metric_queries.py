@@ -8,7 +8,7 @@ from pulsegrid.catalog.decision_queries import AUDIT_SQL, _AUDIT_SELECT, audit
 from pulsegrid.catalog.inputs import EV_SQL, EVC_SQL, r6, raw_events, request_events, tidy
 from pulsegrid.catalog.registry import query
 from pulsegrid.catalog.rolling_queries import SER, minutes
-from pulsegrid.catalog.series_queries import EVS, event_series
+from pulsegrid.catalog.series_queries import event_series
 from pulsegrid.catalog.source_queries import _INGEST, manifest_for
 from pulsegrid.catalog.stream_features import vector_sql
 from pulsegrid.operators import latest as K

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.catalog.inputs import EV_SQL, r6, raw_events, request_events, table, tidy
 from pulsegrid.catalog.registry import query
 from pulsegrid.catalog.rolling_queries import SER, minutes, training_sql
-from pulsegrid.catalog.series_queries import EVS, H1, dense_sql
+from pulsegrid.catalog.series_queries import H1, dense_sql
 from pulsegrid.catalog.stream_features import vector_sql
 from pulsegrid.operators.series import fuse, localise, normalise
 from pulsegrid.plans import event_features as ef

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.catalog.decision_queries import AUDIT_SQL, LIMIT_TEST, LIMITED_SQL, POLICY_SPEEDUP, _AUDIT_SELECT
 from pulsegrid.catalog.inputs import BASE_MS, EVC_SQL, SPEEDUP, r6, tidy
-from pulsegrid.catalog.metric_queries import HIST_SQL, MIN, _quantile_sql
+from pulsegrid.catalog.metric_queries import HIST_SQL, _quantile_sql
 from pulsegrid.catalog.registry import query
 from pulsegrid.catalog.stream_features import vector_sql
 from pulsegrid.session import scratch, use_utc

@@ -5,7 +5,6 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from pulsegrid.plans import event_features as ef
 from pulsegrid.streaming import features as sf
