@@ -35,3 +35,53 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op8_pfair_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+         ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+URL_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, url, html, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+links AS (
+  SELECT url, unnest([regexp_extract(regexp_extract(html, '(?i)<link[^>]*rel=["'']?canonical["'']?[^>]*>'), '(?i)href=["'']?([^"''>\s]+)', 1),
+    regexp_extract(regexp_extract(html, '(?i)<meta[^>]*http-equiv=["'']?refresh["'']?[^>]*>'), '(?i)url=["'']?([^"''>\s;]+)', 1),
+    regexp_replace(regexp_replace(regexp_replace(url, '[?](utm_[a-z]+|fbclid|gclid)=[^&#]*(#|$)', '', 'g'), '(?s)#.*$', ''), '^http://', 'https://')]) AS target
+  FROM pages WHERE contains(url, '://')),
+edges AS (
+  SELECT url AS a, CASE WHEN contains(target, '://') THEN target
+    WHEN starts_with(target, '//') THEN regexp_extract(url, '^([^:/?#]*:)//', 1) || target
+    WHEN starts_with(target, '/') THEN regexp_extract(url, '^([^:/?#]*://[^/?#]*)', 1) || target END AS b FROM links),
+both_ways AS (SELECT a, b FROM edges WHERE b IS NOT NULL UNION SELECT b, a FROM edges WHERE b IS NOT NULL),
+urls AS (SELECT url FROM parts UNION SELECT a FROM both_ways),
+places AS (
+  SELECT url, translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path FROM urls WHERE instr(url, '://') > 0),
+rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+decided AS (
+  SELECT url, h || p AS rule, v AS decision FROM places, rules
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(h || p) DESC, length(h) DESC, v) = 1),
+hit AS (
+  SELECT url FROM decided WHERE decision = 'block'
+  UNION SELECT b FROM hit JOIN both_ways ON a = url)
+SELECT page_id, host, path, rule, coalesce(decision, CASE WHEN url IN (SELECT url FROM hit) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN decided USING (url)
+"""
+
+
+@query("op6_url_filters", URL_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.urls import judge, rules
+
+    return judge(table(spark, sf_dir, "pages"), rules(spark, RULES))
