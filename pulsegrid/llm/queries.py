@@ -85,3 +85,19 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.urls import judge, rules
 
     return judge(table(spark, sf_dir, "pages"), rules(spark, RULES))
+
+
+REVISIT_SQL = """
+WITH headers AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+judged AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes >= 1000) ELSE page_id END AS original FROM headers)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to, true AS digest_ok FROM judged
+"""
+
+
+@query("op3_revisit_resolution", REVISIT_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.warc import deduplicate
+    from pulsegrid.session import scratch
+
+    return deduplicate(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
