@@ -16,8 +16,10 @@ Only lengths are moved, never the ids. Rows out are the same on every run and on
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,58 +38,106 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-class WordIds:
-    """Ids of words by hash: texts are white-space separated words that the vocabulary splits alone.
+CHUNK = 200  # words to a call of the tokenizer
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,!?;:%*&$#")] = True
+
 
-    New words are sorted in after every slice; when more than ``CACHE`` are known, all are forgotten.
+def units(data: np.ndarray, offsets: np.ndarray) -> tx.Words:
+    """Words, cut once more where a run of ASCII letters or digits ends at a punctuation mark.
+
+    The vocabulary's pattern ends a match at both places whatever stands around, so the ids of a text are those
+    of its units. A-Z are lower-cased, as the vocabulary does, unless special tokens might stand in the text.
     """
+    special = data.tobytes().find(b"<|") >= 0
+    data = data if special else tx.LOWER[data]
+    starts, ends = tx.spans(data, offsets)
+    cut = np.flatnonzero(_ALNUM[data[:-1]] & _MARK[data[1:]]) + 1
+    cut = cut[~np.isin(cut, offsets)]
+    return tx.hashed(data, offsets, np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut])))
+
+
+class WordIds:
+    """Ids of units by hash. New ones are sorted in after every slice; beyond ``CACHE``, all are forgotten."""
 
     def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(names.values()) + 1, bool)  # ids that end a match of the pattern
+        self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.first, self.count = np.zeros(0, tx.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of words that are letters only: one match each, so many go in one call."""
+        flat, counts = [], []
+        for i in range(0, len(texts), CHUNK):
+            some = texts[i:i + CHUNK]
+            ids = self._encode([" ".join(some)])[0]
+            count = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+            if len(count) != len(some):  # letters that normalise to something else
+                each = self._encode(some)
+                ids, count = np.concatenate(each), np.array([len(x) for x in each])
+            flat.append(ids)
+            counts.append(count)
+        return np.concatenate(flat or [np.zeros(0, np.uint32)]), np.concatenate(counts or [np.zeros(0, np.int64)])
+
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) > CACHE:
-            self.clear()
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(count.sum()))
-        while self.used + len(flat) > len(self.ids):
+        alpha = np.fromiter(map(str.isalpha, texts), bool, len(texts))
+        ids, count = self._letters([t for t, a in zip(texts, alpha, strict=True) if a])
+        each = self._encode([t for t, a in zip(texts, alpha, strict=True) if not a])
+        new = np.concatenate([ids, *each])
+        counts, first = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        counts[alpha], counts[~alpha] = count, [len(x) for x in each]
+        order = np.concatenate([np.flatnonzero(alpha), np.flatnonzero(~alpha)])
+        first[order] = self.used + np.cumsum(counts[order]) - counts[order]
+        while self.used + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used:self.used + len(flat)] = flat
-        first = self.used + np.cumsum(count) - count
-        self.used += len(flat)
+        self.ids[self.used:self.used + len(new)] = new
+        self.used += len(new)
         at = np.searchsorted(self.keys, keys)
         self.keys, self.first, self.count = (np.insert(a, at, b) for a, b in (
-            (self.keys, keys), (self.first, first), (self.count, count)))
+            (self.keys, keys), (self.first, first), (self.count, counts)))
 
     def encode(self, w: tx.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in order, and how many each word has."""
+        """Ids of all units in order, and how many each has."""
         unique, where, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
         if not len(unique):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(self.keys) > CACHE:
+            self.clear()
         at = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
         new = self.keys[at] != unique if len(self.keys) else np.ones(len(unique), bool)
-        if new.any() and len(self.keys) > CACHE:
-            self.clear()
-            new[:] = True
         if new.any():
-            self._learn(unique[new], [w.word(i).decode() for i in where[new]])
+            self._learn(unique[new], w.texts(where[new]))
         at = np.searchsorted(self.keys, unique)
         first, count = self.first[at][inverse], self.count[at][inverse]
         ends = np.cumsum(count)
         return self.ids[np.arange(ends[-1]) + np.repeat(first - ends + count, count)], count
 
 
+@lru_cache(maxsize=1)
+def word_ids(vocabulary: str) -> WordIds:
+    """One table for each worker process."""
+    return WordIds(vocabulary)
+
+
 def tokenised(column: pa.Array, ids: WordIds) -> Iterator[tuple[int, np.ndarray]]:
     """``(row, ids)`` of each text, without special tokens."""
-    for i, j, w in tx.batches_of_words(column, lower=False):
+    data, offsets = tx.buffers(column)
+    for i, j in tx.slices(offsets):
+        w = units(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
         flat, count = ids.encode(w)
         ends = np.concatenate([[0], np.cumsum(count)])[w.bounds]
         for k in range(j - i):
@@ -96,7 +146,7 @@ def tokenised(column: pa.Array, ids: WordIds) -> Iterator[tuple[int, np.ndarray]
 
 def _pieces(vocabulary: str, window: int, separator: int) -> Callable:
     def run(batches):
-        words = WordIds(vocabulary)
+        words = word_ids(vocabulary)
         for batch in batches:
             doc, out = batch.column(0).to_pylist(), []
             for row, ids in tokenised(batch.column(1), words):

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE = 1_000_000
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C13  # 3 modulo 8: differences of its powers keep as few factors 2 as can be
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -89,8 +89,16 @@ class Words:
     hashes: np.ndarray
     bounds: np.ndarray
 
-    def word(self, i: int) -> bytes:
-        return self.data[self.starts[i]:self.ends[i]].tobytes()
+    def texts(self, chosen: np.ndarray) -> list[str]:
+        """The chosen words as strings."""
+        if not len(chosen):
+            return []
+        starts, sizes = self.starts[chosen], self.ends[chosen] - self.starts[chosen] + 1
+        stops = np.cumsum(sizes)
+        at = np.arange(stops[-1]) + np.repeat(starts - stops + sizes, sizes)
+        out = self.data[np.minimum(at, len(self.data) - 1)]
+        out[stops - 1] = 0x20
+        return out[:-1].tobytes().decode().split(" ")
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +130,10 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     if lower:
         data = LOWER[data]
-    starts, ends = spans(data, offsets)
+    return hashed(data, offsets, *spans(data, offsets))
+
+
+def hashed(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Words:
     return Words(data, starts, ends, range_hashes(data, starts, ends), np.searchsorted(starts, offsets))
 
 
@@ -143,7 +154,3 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
         for k in range(n):
             out = mix(out * U64(0x2545F4914F6CDD1D) + hashes[k:len(hashes) - n + 1 + k])
     return out
-
-
-def strings(values: list, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)
