@@ -101,3 +101,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.session import scratch
 
     return deduplicate(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+
+
+@query("op10_backoff_automaton")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.language_model import score
+
+    return score(table(spark, sf_dir, "documents"))
