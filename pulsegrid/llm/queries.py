@@ -108,3 +108,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.language_model import score
 
     return score(table(spark, sf_dir, "documents"))
+
+
+@query("op9_lookup_sketch")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.fingerprints import fingerprint
+
+    return fingerprint(table(spark, sf_dir, "documents"))
