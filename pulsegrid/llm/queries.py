@@ -115,3 +115,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.fingerprints import fingerprint
 
     return fingerprint(table(spark, sf_dir, "documents"))
+
+
+JOIN_SQL = r"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+           ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM split),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(list_sort(s), ' | ')) AS h, s FROM sets),
+distinct_sets AS (SELECT min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s FROM sizes WHERE n > 0 GROUP BY h),
+grams AS (SELECT id, n, unnest(s) AS g FROM distinct_sets),
+shared AS (SELECT a.id AS x, b.id AS y, count(*) AS both_, any_value(a.n) AS n1, any_value(b.n) AS n2
+           FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY ALL),
+links AS (SELECT x, y FROM shared WHERE 100 * both_ >= 90 * (n1 + n2 - both_)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x AS id, x AS r FROM both_ways UNION SELECT reach.id, y FROM reach JOIN both_ways ON r = x),
+least AS (SELECT id, min(r) AS component FROM reach GROUP BY id),
+classes AS (SELECT h, min(doc_id) AS id FROM sizes WHERE n > 0 GROUP BY h)
+SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE coalesce(component, classes.id) END AS component_id
+FROM sizes LEFT JOIN classes ON sizes.h = classes.h AND n > 0 LEFT JOIN least ON least.id = classes.id
+"""
+
+
+@query("op1_ngram_jaccard_join", JOIN_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.jaccard import link_components
+
+    return link_components(table(spark, sf_dir, "documents"))
