@@ -141,3 +141,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.jaccard import link_components
 
     return link_components(table(spark, sf_dir, "documents"))
+
+
+@query("op7_semi_markov_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.pii import detect
+
+    return detect(table(spark, sf_dir, "documents"))
