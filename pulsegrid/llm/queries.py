@@ -148,3 +148,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.pii import detect
 
     return detect(table(spark, sf_dir, "documents"))
+
+
+@query("op4_ordinal_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.quality import fit, rate
+
+    docs = table(spark, sf_dir, "documents")
+    return rate(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op2_collision_counting")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.vectors import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
