@@ -66,15 +66,15 @@ def t11(spark, sf):
 
 
 @query("t12b_rate_limit_stream", f"""WITH RECURSIVE {LIMITED_SQL}
-  SELECT event_id, client_id, window_count::BIGINT AS window_count, window_count <= {LIMIT_TEST} AS allowed
-  FROM lim WHERE path <> '/health'""")
+  SELECT event_id, client_id, coalesce(window_count, 0)::BIGINT AS window_count, coalesce(window_count <= {LIMIT_TEST}, true) AS allowed
+  FROM lim""")
 def t12b(spark, sf):
     ev = event_stream(spark, sf, 6000)
     path = F.when(F.col("endpoint") == "signup", "/health").otherwise(F.concat(F.lit("/api/"), "endpoint"))
-    out, cp = scratch(spark, "decisions"), scratch(spark, "cp")
-    decided = limiter.rate_limit_stream(ev.withColumn("path", path), limit=LIMIT_TEST)
-    _run(decided.writeStream.option("checkpointLocation", cp).trigger(availableNow=True).start(out, format="parquet"))
-    return spark.read.parquet(out).select("event_id", "client_id", "window_count", "allowed")
+    out, state, cp = (scratch(spark, n) for n in ("decisions", "windows", "cp"))
+    _run(limiter.start_limit_stream(ev.withColumn("path", path), out, state, cp, limit=LIMIT_TEST, available_now=True))
+    return limiter.read_decisions(spark, out).select(
+        "event_id", "client_id", F.coalesce("window_count", F.lit(0).cast("long")).alias("window_count"), "allowed")
 
 
 @query("t13_minute_metrics_stream", f"""WITH {EVC_SQL}, {HIST_SQL.replace('count(*) AS le_inf', "count(*) AS le_inf, count(*) FILTER (status >= 500) AS errors")}

@@ -1,50 +1,65 @@
-"""The request limiter as a keyed stateful operator: one open window per client."""
+"""The request limiter over a stream: every micro-batch is decided by the batch plan.
+
+What is carried from one micro-batch to the next is a table of the windows that clients have open. So the
+result depends neither on the order of rows nor on the size of Arrow batches, no client is pinned to one task,
+and clients that are idle for longer than a window drop out.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from pulsegrid.functions.web import gated
-from pulsegrid.operators.limiter import LIMIT, WINDOW_MS, window_anchors
-
-OUTPUT = "event_id long, client_id string, ts timestamp, window_count long, allowed boolean"
-STATE = "anchor long, used long"
-
-
-def limit_rows(times: np.ndarray, anchor: int | None, used: int, window: int = WINDOW_MS) -> tuple[np.ndarray, int, int]:
-    """Count of each request in its window, in arrival order, and the window left open. A request
-    that arrives behind the clock counts into the open window."""
-    clock = np.maximum.accumulate(times if anchor is None else np.maximum(times, anchor))
-    anchors = window_anchors(clock, None if anchor is None else anchor + window, window)
-    first = np.searchsorted(anchors, anchors, side="left")
-    counts = np.arange(len(times)) - first + 1
-    if anchor is not None:
-        counts = counts + np.where(anchors == anchor, used, 0)
-    return counts, int(anchors[-1]), int(counts[-1])
-
-
-def rate_limit_stream(requests: DataFrame, *, limit: int = LIMIT, window_ms: int = WINDOW_MS,
-                      path: str = "path") -> DataFrame:
-    """Decisions for the requests the limiter looks at; rows of a client stream through in Arrow
-    batches and only two numbers are kept per client."""
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        anchor, used = state.get if state.exists else (None, 0)
-        for b in batches:
-            b = b.sort_values(["ms", "event_id"], kind="stable")
-            if b.empty:
-                continue
-            counts, anchor, used = limit_rows(b["ms"].to_numpy(), anchor, used, window_ms)
-            yield pd.DataFrame({"event_id": b["event_id"], "client_id": key[0], "ts": b["ts"],
-                                "window_count": counts, "allowed": counts <= limit})
-        if anchor is not None:
-            state.update((anchor, used))
-
-    stamped = requests.filter(gated(F.col(path))).select("event_id", "client_id", "ts", F.unix_millis("ts").alias("ms"))
-    return stamped.groupBy("client_id").applyInPandasWithState(
-        step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+from pyspark.sql.streaming import StreamingQuery
+
+from pulsegrid.operators.limiter import LIMIT, WINDOW_MS, rate_limit
+from pulsegrid.session import scratch
+from pulsegrid.streaming.state import StateTable, write_batch
+
+LATE_MS = 600_000  # how far behind the newest request a window is still remembered
+
+
+def limit_batch(output: str, state: str, *, limit: int = LIMIT, window_ms: int = WINDOW_MS, path: str = "path",
+                late_ms: int = LATE_MS) -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function: every request with its decision to ``output``, open windows to ``state``."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        table = StateTable(spark, state, "windows")
+        before = table.before(batch_id)
+        # read several times by the plan, and a stream's batch need not come in the same order again
+        given = scratch(spark, "requests")
+        batch.write.parquet(given)
+        rows = spark.read.schema(batch.schema).parquet(given)
+        decided = rate_limit(rows, limit=limit, window_ms=window_ms, path=path, carried=before, anchors=True)
+        decided = decided.withColumn("at", F.greatest(F.unix_millis("ts"), "anchor"))
+        write_batch(decided, output, batch_id)
+        done = spark.read.schema(decided.schema).parquet(f"{output}/batch_id={batch_id}").where("anchor IS NOT NULL")
+        fresh = done.groupBy(F.col("limited_client").alias("client"), "anchor").agg(
+            F.max("window_count").alias("used"), F.max("at").alias("seen"))
+        windows = fresh if before is None else before.unionByName(fresh)
+        ends = windows.groupBy("client").agg(F.max("anchor").alias("anchor"))
+        newest = windows.agg(F.max("seen").alias("_now"))  # a single row
+        kept = (windows.join(ends, ["client", "anchor"]).groupBy("client", "anchor").agg(F.max("used").alias("used"), F.max("seen").alias("seen"))
+                .crossJoin(F.broadcast(newest)).where(F.col("anchor") + window_ms + late_ms >= F.col("_now")).drop("_now"))
+        table.after(batch_id, kept)
+        drop_folder(spark, given)
+
+    return run
+
+
+def drop_folder(spark, path: str) -> None:
+    """Removes a scratch folder of this micro-batch, wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def start_limit_stream(requests: DataFrame, output: str, state: str, checkpoint: str, *, available_now: bool = False,
+                       interval: str = "5 seconds", **options) -> StreamingQuery:
+    """``requests`` is a streaming frame of ``event_id, client_id, ts`` and a path."""
+    writer = requests.writeStream.foreachBatch(limit_batch(output, state, **options)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
+
+
+def read_decisions(spark, output: str) -> DataFrame:
+    return spark.read.parquet(output).drop("limited_client", "anchor", "at", "batch_id")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import decisions as D
 from pulsegrid.operators import limiter
-from pulsegrid.streaming.limiter import limit_rows
+from pulsegrid.session import scratch
+from pulsegrid.streaming import limiter as stream
 
 
 def run_limiter(spark, rows, **kw):
@@ -35,25 +36,48 @@ def plain(rows, limit):
     return [out[k] for k in sorted(out)]
 
 
-@pytest.mark.parametrize("chunk_ms", [60_000, 90_000, 3_600_000])
-def test_chunks_do_not_change_decisions(spark, chunk_ms):
-    rng = np.random.default_rng(4)
+def busy_rows(seed=4):
+    rng = np.random.default_rng(seed)
     ms = rng.integers(0, 3_000_000, 3000)
     ms[:200] = 77_000
     clients = np.where(rng.random(3000) < 0.4, "busy", rng.integers(0, 20, 3000).astype(str))
-    rows = [(i, str(c), "/api/x", int(t)) for i, (c, t) in enumerate(zip(clients, ms))]
-    assert run_limiter(spark, rows, limit=5, chunk_ms=chunk_ms)["allowed"].tolist() == plain(rows, 5)
-
-
-def test_stream_step_in_parts_equals_whole():
-    rng = np.random.default_rng(9)
-    t = np.sort(rng.integers(0, 1_000_000, 500))
-    whole, *_ = limit_rows(t, None, 0)
-    anchor, used, parts = None, 0, []
-    for piece in np.array_split(t, 7):
-        counts, anchor, used = limit_rows(piece, anchor, used)
-        parts.append(counts)
-    assert np.concatenate(parts).tolist() == whole.tolist()
+    ids = rng.permutation(3000) * 7_919_000_111  # not dense
+    return [(int(i), str(c), "/api/x", int(t)) for i, c, t in zip(ids, clients, ms)]
+
+
+@pytest.mark.parametrize(("chunk_ms", "chunks"), [(60_000, 32), (90_000, 3), (60_000, 1), (3_600_000, 32)])
+def test_chunks_do_not_change_decisions(spark, chunk_ms, chunks):
+    rows = busy_rows()
+    assert run_limiter(spark, rows, limit=5, chunk_ms=chunk_ms, chunks=chunks)["allowed"].tolist() == plain(rows, 5)
+
+
+def test_missing_client_or_path_is_limited(spark):
+    rows = [(0, None, "/api/x", 1), (1, None, None, 2), (2, "", "/api/x", 3), (3, "c", None, 4), (4, None, "/health", 5)]
+    df = spark.createDataFrame(rows, "event_id long, client_id string, path string, ms long")
+    got = limiter.rate_limit(df.withColumn("ts", F.timestamp_millis("ms")).drop("ms"), limit=2).orderBy("event_id").collect()
+    assert [r["client_id"] for r in got] == [None, None, "", "c", None]
+    assert [r["window_count"] for r in got] == [1, 2, 3, 1, None]
+    assert [r["allowed"] for r in got] == [True, True, False, True, True]
+
+
+@pytest.mark.parametrize("batch_rows", [20, 10_000])
+def test_stream_in_parts_equals_whole(spark, batch_rows):
+    """Shuffled rows, several micro-batches, any Arrow batch size: the same decisions, all requests."""
+    rows = sorted(busy_rows(9), key=lambda r: r[3]) + [(-1, "busy", "/health", 3_000_001)]
+    out, state = scratch(spark, "decisions"), scratch(spark, "windows")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    try:
+        step = stream.limit_batch(out, state, limit=5)
+        for batch_id, part in enumerate([rows[:1000], rows[1000:1001], rows[1001:]]):
+            shuffled = [part[k] for k in np.random.default_rng(batch_id).permutation(len(part))]
+            df = spark.createDataFrame(shuffled, "event_id long, client_id string, path string, ms long")
+            step(df.withColumn("ts", F.timestamp_millis("ms")).drop("ms"), batch_id)
+        got = stream.read_decisions(spark, out).orderBy("event_id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r["event_id"] for r in got] == sorted(r[0] for r in rows)
+    assert [r["allowed"] for r in got] == [True, *plain(rows[:-1], 5)]
 
 
 SEQUENCE = [(0, 1600, "SCALE_OUT", 3), (30, 1600, "COOLDOWN", 3), (60, 1600, "SCALE_OUT", 4),
