@@ -2,9 +2,9 @@
 
 A text is cut into paragraphs at line ends; a paragraph of more than ``LONG`` words is cut further before each
 word whose hash falls into one class of ``ANCHOR``, so an edit moves only the cuts beside it. The ``n``-th
-occurrence of a paragraph in a text has a digest of its own, so a text is a set of 48-bit digests. A digest goes into
-one cell of each of ``HASHES`` stripes; a cell holds how many there are and the sum (modulo 2^64) of the
-digests with 16 bits of checksum.
+occurrence of a paragraph in a text has a digest of its own, so a text is a set of 64-bit digests. A digest goes into
+one cell of each of ``HASHES`` stripes; a cell holds how many there are, the sum of the digests (modulo 2^64) and
+that of their checksums (modulo 2^32).
 
 Subtracting two sketches cell by cell leaves only the digests that the texts don't share. Peeling reads a cell
 that holds a single digest (count 1 or -1 and a fitting checksum), takes it out of its other cells, and goes on
@@ -25,9 +25,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -39,16 +40,17 @@ from pulsegrid.llm.store import stored
 LONG = 12  # words of a paragraph that is left whole
 ANCHOR = 8
 HASHES = 3
-CELLS = 30
+CELLS = 24
 GROWTH = 4
 PAIRS = 512  # texts that are compared at a time
+RANGE = 5000  # texts in a range of ids, about
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-ROWS = RESULT + ", edge string, edge_doc long, edge_text string"
+ARROW = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
 def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Paragraph digests (with checksum, 64 bits) of all texts, sorted within each, and the bounds of each text."""
+    """Paragraph digests of all texts and the bounds of each text."""
     raw = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -76,66 +78,72 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     begin = np.flatnonzero(new)
     nth = (np.arange(len(first)) - np.repeat(begin, np.diff(begin, append=len(first)))).astype(tx.U64)
     with np.errstate(over="ignore"):
-        key = tx.mix(paragraph + nth * tx.U64(0xD1B54A32D192ED03)) & tx.U64((1 << 48) - 1)
-    return key | checksum(key) << tx.U64(48), np.searchsorted(owner, np.arange(len(texts) + 1))
+        digest = tx.mix(paragraph + nth * tx.U64(0xD1B54A32D192ED03))
+    return digest, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def checksum(key: np.ndarray) -> np.ndarray:
-    return tx.mix(key ^ tx.U64(0x5851F42D4C957F2D)) >> tx.U64(48)
+def checksum(digest: np.ndarray) -> np.ndarray:
+    return tx.mix(digest ^ tx.U64(0x5851F42D4C957F2D)) >> tx.U64(32)
 
 
-def places(digest: np.ndarray, cells: np.ndarray | int) -> np.ndarray:
+def places(digest: np.ndarray, cells: int) -> np.ndarray:
     """A cell in each stripe; ``cells`` is a multiple of ``HASHES``."""
-    stripe = np.asarray(cells, tx.U64) // tx.U64(HASHES)
-    key = digest & tx.U64((1 << 48) - 1)
-    return np.stack([(tx.mix(key + tx.U64(k + 1 << 50)) % stripe + tx.U64(k) * stripe) for k in range(HASHES)]).astype(np.int64)
+    stripe = tx.U64(cells // HASHES)
+    with np.errstate(over="ignore"):
+        return np.stack([(tx.mix(digest + tx.U64(k + 1 << 50)) % stripe + tx.U64(k) * stripe) for k in range(HASHES)]).astype(np.int64)
 
 
-def sketches(digest: np.ndarray, owner: np.ndarray, sign: np.ndarray | int, n: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and sums of ``n`` sketches side by side."""
-    at = (owner * cells + places(digest, cells)).ravel()
-    signs = np.broadcast_to(np.asarray(sign, np.int64), owner.shape)
-    counts = np.bincount(at, np.tile(signs, HASHES), n * cells).astype(np.int64)
-    sums = np.zeros(n * cells, tx.U64)
+def _add(cells: tuple[np.ndarray, ...], at: np.ndarray, digest: np.ndarray, sign: np.ndarray) -> None:
+    """Adds signed digests to the cells at ``at`` (a row per stripe)."""
+    where, times = at.ravel(), sign.astype(tx.U64)
     with np.errstate(over="ignore"):
-        np.add.at(sums, at, np.tile(digest * signs.astype(tx.U64), HASHES))
-    return counts, sums
+        for array, value in zip(cells, (sign, digest * times, checksum(digest) * times), strict=True):
+            np.add.at(array, where, np.tile(value, HASHES))
+
+
+def sketches(digest: np.ndarray, owner: np.ndarray, sign: np.ndarray | int, n: int, cells: int) -> tuple[np.ndarray, ...]:
+    """Counts, sums and sums of checksums of ``n`` sketches side by side."""
+    out = np.zeros(n * cells, np.int64), np.zeros(n * cells, tx.U64), np.zeros(n * cells, tx.U64)
+    _add(out, owner * cells + places(digest, cells), digest, np.broadcast_to(np.asarray(sign, np.int64), owner.shape))
+    return out
+
+
+LOW = tx.U64(0xFFFFFFFF)
 
 
-def peel(counts: np.ndarray, sums: np.ndarray, n: int, cells: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Whether each of ``n`` subtracted sketches came apart, how many digests it held, and these (owner, digest)."""
-    owners, found = [], []
-    held = np.zeros(n, np.int64)
-    look = np.flatnonzero((counts == 1) | (counts == -1))
-    while len(look):
-        one = look[(counts[look] == 1) | (counts[look] == -1)]
+def peel(sketch: tuple[np.ndarray, ...], n: int, cells: int, limit: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Whether each of ``n`` subtracted sketches came apart, how many digests it held, and these (owner, digest).
+
+    ``limit`` is how many digests there can be: beyond it something was taken for a digest that is none.
+    """
+    counts, sums, checks = sketch
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, tx.U64)]
+    held, taken = np.zeros(n, np.int64), 0
+    look = np.arange(len(counts))
+    while len(look) and taken <= limit:
+        one = look[np.abs(counts[look]) == 1]
         with np.errstate(over="ignore"):
-            digest = sums[one] * counts[one].astype(tx.U64)
-        key = digest & tx.U64((1 << 48) - 1)
-        fits = checksum(key) == digest >> tx.U64(48)
+            sign = counts[one].astype(tx.U64)
+            digest, check = sums[one] * sign, checks[one] * sign & LOW
+        fits = checksum(digest) == check
         one, digest = one[fits], digest[fits]
         own = one // cells
-        at = places(digest, cells)
-        right = ((own * cells + at) == one).any(axis=0)
-        one, digest, own, at = one[right], digest[right], own[right], at[:, right]
-        sign = counts[one]
         order = np.lexsort((digest, own))  # a digest may be alone in several cells
-        digest, own, sign, at = digest[order], own[order], sign[order], at[:, order]
+        one, digest, own = one[order], digest[order], own[order]
         keep = np.ones(len(own), bool)
         keep[1:] = (own[1:] != own[:-1]) | (digest[1:] != digest[:-1])
-        digest, own, sign, at = digest[keep], own[keep], sign[keep], at[:, keep]
+        one, digest, own = one[keep], digest[keep], own[keep]
         if not len(own):
             break
-        where = (own * cells + at).ravel()
-        with np.errstate(over="ignore"):
-            np.subtract.at(counts, where, np.tile(sign, HASHES))
-            np.subtract.at(sums, where, np.tile(digest * sign.astype(tx.U64), HASHES))
+        at = own * cells + places(digest, cells)
+        _add(sketch, at, digest, -counts[one])
         held += np.bincount(own, minlength=n)
+        taken += len(own)
         owners.append(own)
         found.append(digest)
-        look = np.unique(where)
-    left = (counts != 0).reshape(n, cells).any(axis=1) | (sums != 0).reshape(n, cells).any(axis=1)
-    return ~left, held, (np.concatenate(owners or [np.zeros(0, np.int64)]), np.concatenate(found or [np.zeros(0, tx.U64)]))
+        look = np.unique(at)
+    left = ((counts != 0) | (sums != 0) | (checks & LOW != 0)).reshape(n, cells).any(axis=1)
+    return ~left, held, (np.concatenate(owners), np.concatenate(found))
 
 
 def differing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: int = CELLS) -> np.ndarray:
@@ -151,7 +159,7 @@ def differing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(bounds[todo], size)
             parts.append((digest[at], owner, np.full(len(at), sign)))
         joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        done, held, _ = peel(*sketches(*joined, len(todo), cells), len(todo), cells)
+        done, held, _ = peel(sketches(*joined, len(todo), cells), len(todo), cells, len(joined[0]))
         out[todo[done]] = held[done]
         todo, cells = todo[~done], cells * GROWTH
     return out
@@ -166,10 +174,9 @@ def fingerprints(d: tuple[np.ndarray, np.ndarray]) -> list[str]:
     digest, bounds = d
     n = len(bounds) - 1
     size = np.diff(bounds)
-    counts, sums = sketches(digest, np.repeat(np.arange(n), size), 1, n, CELLS)
-    cells = np.empty((n * CELLS, 10), np.uint8)
-    cells[:, :2] = np.minimum(counts, 65535).astype("<u2").view(np.uint8).reshape(-1, 2)
-    cells[:, 2:] = sums.astype("<u8").view(np.uint8).reshape(-1, 8)
+    counts, sums, checks = sketches(digest, np.repeat(np.arange(n), size), 1, n, CELLS)
+    cells = np.concatenate([a.view(np.uint8).reshape(-1, a.itemsize) for a in (
+        np.minimum(counts, 65535).astype("<u2"), sums.astype("<u8"), (checks & LOW).astype("<u4"))], axis=1)
     rows = cells.reshape(n, -1)
     return [f"{k}:{base64.b64encode(r.tobytes()).decode()}" for k, r in zip(size.tolist(), rows, strict=True)]
 
@@ -188,59 +195,51 @@ def compare(docs: list, texts: list[str], following: list[str]) -> list[list]:
             fingerprints(own), fingerprints(new), likeness(own, new).tolist(), likeness(own, other).tolist()]
 
 
-def _batch(columns: list[list], edge: str | None = None, edges: list[tuple] = ()) -> pa.RecordBatch:
-    n = len(columns[0]) if columns else 0
-    nothing = [[None] * n for _ in range(3)]
-    columns = (columns or [[] for _ in range(7)]) + nothing
-    for kind, doc, text in edges:
-        for column, value in zip(columns, [None] * 7 + [kind, doc, text], strict=True):
-            column.append(value)
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                      [f.split()[0] for f in ROWS.split(", ")])
-
-
 def _in_order(batches) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by id. The first and the last text of a partition go out as edges, to be joined with others."""
-    docs, texts, begun = [], [], False
+    """Rows sorted by range and id, each range ended by a copy of the text that follows it."""
+    docs, ends, texts = [], [], []
     for batch in batches:
         for i in range(0, len(batch), PAIRS):
             some = batch.slice(i, PAIRS)
-            ids, new = some.column(0).to_pylist(), [t or "" for t in some.column(1).to_pylist()]
-            if not begun and ids:
-                yield _batch([], edges=[("head", ids[0], new[0])])
-                begun = True
-            docs, texts = docs + ids, texts + new
-            if len(texts) > 1:
-                yield _batch(compare(docs[:-1], texts[:-1], texts[1:]))
-            docs, texts = docs[-1:], texts[-1:]
-    if texts:
-        yield _batch([], edges=[("tail", docs[0], texts[0])])
-
-
-def _edges(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        doc, text, following = (c.to_pylist() for c in batch.columns)
-        yield _batch(compare(doc, text, following))
+            docs += some.column("doc_id").to_pylist()
+            ends += some.column("copy").to_pylist()
+            texts += some.column("text").to_pylist()
+            own = [k for k in range(len(texts) - 1) if not ends[k]]
+            if own:
+                columns = compare([docs[k] for k in own], [texts[k] for k in own], [texts[k + 1] for k in own])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, ARROW, strict=True)],
+                                                 [f.split()[0] for f in RESULT.split(", ")])
+            docs, ends, texts = docs[-1:], ends[-1:], texts[-1:]
 
 
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and what they say about these and the next text.
 
-    Texts are ranged by id and read in order, so each meets its successor in its own task. Between partitions
-    only one text of each is joined: a table of two rows a partition.
+    Ids are cut into ranges of about ``RANGE`` texts at their quantiles. A text meets its successor in its range;
+    to each range a copy of the first text of the next one is added, so texts are shuffled once and nothing is
+    written in between. Driver: a number per range. Broadcast: a number and a text per range.
     """
+    first = -(1 << 63)  # null ids come first
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    both = stored(ranged.mapInArrow(_in_order, ROWS).withColumn("part", F.spark_partition_id()), "fingerprints")
-    edges = both.where("edge IS NOT NULL").select("part", "edge", F.col("edge_doc").alias("doc_id"), F.col("edge_text").alias("text"))
-    order = W.orderBy("part")  # two rows a partition: partitions are in the order of ids
-    heads = edges.where("edge = 'head'").select("part", F.col("text").alias("head"))
-    first = heads.orderBy("part").limit(1).select(F.col("head").alias("first"))
-    tails = (edges.where("edge = 'tail'").join(heads.withColumn("rank", F.row_number().over(order)), "part")
-             .select("rank", "doc_id", "text"))
-    nexts = heads.select((F.row_number().over(order) - 1).alias("rank"), "head")
-    last = tails.join(nexts, "rank", "left").crossJoin(F.broadcast(first)).select(
-        "doc_id", "text", F.coalesce("head", "first").alias("following"))  # a single row on one side
-    columns = [f.split()[0] for f in RESULT.split(", ")]
-    return both.where("edge IS NULL").select(columns).union(last.mapInArrow(_edges, ROWS).select(columns))
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(first)))
+    n = rows.count()
+    ranges = max(1, -(-n // RANGE))
+    cuts = [k / ranges for k in range(1, ranges)]
+    bounds = rows.agg(F.percentile_approx("key", cuts, 100 * ranges).alias("b")).first()["b"] if n and cuts else []
+    at = np.array(sorted(set(bounds or [])), np.int64)
+
+    @F.pandas_udf("long")
+    def range_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, key.to_numpy(), "right"))
+
+    rows = rows.withColumn("range", range_of("key"))
+    least = rows.groupBy("range").agg(F.min("key").alias("key"))
+    heads = stored(rows.join(F.broadcast(least), ["range", "key"]).groupBy("range").agg(F.min("text").alias("text")), "heads")
+    follows = F.lead("text").over(W.orderBy("range"))  # a row per range
+    begin = heads.orderBy("range").limit(1).select(F.col("text").alias("begin"))
+    copies = heads.select("range", follows.alias("follows")).crossJoin(F.broadcast(begin)).select(  # a single row on one side
+        F.lit(None).cast("long").alias("doc_id"), F.coalesce("follows", "begin").alias("text"), F.lit(0).cast("long").alias("key"),
+        "range", F.lit(1).alias("copy"))
+    ordered = (rows.withColumn("copy", F.lit(0)).unionByName(copies).repartition(ranges, "range")
+               .sortWithinPartitions("range", "copy", "key", "text"))
+    return ordered.select("doc_id", "copy", "text").mapInArrow(_in_order, RESULT)
