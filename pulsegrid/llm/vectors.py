@@ -43,9 +43,10 @@ RECALL = 0.995
 CELL = 16_384  # vectors in a cell, about
 SHARE = 0.57  # of the vectors that a cell gets, per level
 BLOCK = 16_384
-PROJECTIONS = 24
+PROJECTIONS = 16
 SCALE = 2048  # projections are kept as 16-bit numbers
-ROWS = 256
+LIMIT = 16_000  # far beyond any window; differences still fit
+ROWS, COLUMNS = 128, 4096  # of a block of pairs, small enough for a processor's cache
 SEED = 20240229
 
 VECTORS = "vec_id long, digest binary, dim int, vector binary, marks binary"
@@ -107,7 +108,7 @@ def _code(p: Plan, single: bool) -> Callable:
                     by_dim.setdefault(len(r[0]), []).append(i)
             for dim, some in by_dim.items():
                 unit = np.stack([rows[i][0].astype(float) / rows[i][1] for i in some])
-                values = np.clip(np.rint(unit @ directions(dim, p.projections) * SCALE), -32767, 32767).astype("<i2")
+                values = np.clip(np.rint(unit @ directions(dim, p.projections) * SCALE), -LIMIT, LIMIT).astype("<i2")
                 marks.update(zip(some, values, strict=True))
             for i, r in enumerate(rows):
                 for c, v in zip(out, (hashlib.blake2b(r[0].tobytes(), digest_size=16).digest() if r else None, len(r[0]) if r else 0,
@@ -146,33 +147,37 @@ def _visits(p: Plan) -> Callable:
     return run
 
 
-def _pairs(p: Plan, t: int, cell: list[int], marks_a, marks_b, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs(p: Plan, t: int, cell: list[int], marks_a, marks_b, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs that collide in the table's windows, belong to this cell and collide often enough."""
     *cells, last = p.routing(t)
-    width = 2 * p.window
+    width, twice = 2 * p.window, np.uint16(2 * p.window)
     order_a, order_b = np.argsort(marks_a[:, last], kind="stable"), np.argsort(marks_b[:, last], kind="stable")
-    sorted_b = marks_b[order_b]
-    home_b = sorted_b[:, cells] // width
+    sorted_a, sorted_b = np.ascontiguousarray(marks_a[order_a].T), np.ascontiguousarray(marks_b[order_b].T)
+    hits = np.empty((ROWS, COLUMNS), np.uint8)
+    apart = np.empty((ROWS, COLUMNS), np.int16)
     for k in range(0, len(order_a), ROWS):
-        rows = order_a[k:k + ROWS]
-        own = marks_a[rows]
-        low, high = np.searchsorted(sorted_b[:, last], [own[0, last] - p.window, own[-1, last] + p.window + 1])
-        other = sorted_b[low:high]
-        hits = np.zeros((len(rows), len(other)), np.uint8)
-        for c in range(p.projections):
-            hits += np.abs(own[:, c, None] - other[None, :, c]) <= p.window
-        meet = hits >= p.collisions
-        i, j = np.nonzero(meet)
-        right = np.abs(own[i, last] - other[j, last]) <= p.window
-        for level, c in enumerate(cells):
-            right &= np.abs(own[i, c] - other[j, c]) <= p.window
-            right &= np.maximum(own[i, c] // width, home_b[low + j, level]) == cell[level]
-        for earlier in range(t):  # counted there
-            right &= ~np.all([np.abs(own[i, c] - other[j, c]) <= p.window for c in p.routing(earlier)], axis=0)
-        i, j = rows[i[right]], order_b[low + j[right]]
-        if same:
-            i, j = i[i < j], j[i < j]
-        yield i, j
+        own = sorted_a[:, k:k + ROWS]
+        low, high = np.searchsorted(sorted_b[last], [int(own[last, 0]) - p.window, int(own[last, -1]) + p.window + 1])
+        for begin in range(low, high, COLUMNS):
+            other = sorted_b[:, begin:min(begin + COLUMNS, high)]
+            shape = slice(own.shape[1]), slice(other.shape[1])
+            count, difference = hits[shape], apart.reshape(-1)[:own.shape[1] * other.shape[1]].reshape(own.shape[1], -1)
+            count[:] = 0
+            for c in range(p.projections):
+                np.subtract(own[c, :, None] + np.int16(p.window), other[c], out=difference)
+                count += difference.view(np.uint16) <= twice
+            i, j = np.nonzero(count >= p.collisions)
+            mine, theirs = own[:, i].astype(np.int32), other[:, j].astype(np.int32)
+            near = np.abs(mine - theirs) <= p.window
+            right = near[[*cells, last]].all(axis=0)
+            for level, c in enumerate(cells):
+                right &= np.maximum(mine[c], theirs[c]) // width == cell[level]
+            for earlier in range(t):  # counted there
+                right &= ~near[p.routing(earlier)].all(axis=0)
+            i, j = order_a[k + i[right]], order_b[begin + j[right]]
+            if same:
+                i, j = i[i < j], j[i < j]
+            yield i, j
 
 
 def _join(p: Plan, single: bool) -> Callable:
@@ -187,7 +192,7 @@ def _join(p: Plan, single: bool) -> Callable:
             key //= 64
         block = np.array(rows["block"])
         ids, mult = np.array(rows["vec_id"], np.int64), np.array(rows["n"], np.int64)
-        marks = np.stack([np.frombuffer(b, "<i2") for b in rows["marks"]]).astype(np.int32)
+        marks = np.stack([np.frombuffer(b, "<i2") for b in rows["marks"]])
         unit = np.stack([np.frombuffer(b, kind) for b in rows["vector"]]).astype(float)
         unit /= np.sqrt((unit ** 2).sum(axis=1))[:, None]
         a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
