@@ -162,12 +162,19 @@ POLICY_SQL = f"""{_CYCLE},
 
 
 def policy(spark, sf):
-    sent = gated(spark, sf).filter(F.col("action_type") == "DISPATCH")
-    cycles = D.newest_per_cycle(sent.select("service", "timestamp", "event_id", "predicted_rate"), tie=["event_id"])
-    return D.scaling_policy(cycles)
+    """The newest row of a cycle is what is gated; the policy sees those that pass."""
+    cycles = D.newest_per_cycle(gated(spark, sf).select("service", "timestamp", "event_id", "predicted_rate", "action_type"), tie=["event_id"])
+    return D.scaling_policy(cycles.filter(F.col("action_type") == "DISPATCH").drop("action_type"))
 
 
-@query("m06_scaling_policy", f"""WITH RECURSIVE {PRED_SQL}, {GATED_SQL}, {POLICY_SQL}
+_ACYCLE = """ac AS (SELECT service, epoch_us(timestamp) // 1000000 // 5 AS cycle, arg_max(event_id, (timestamp, event_id)) AS event_id
+    FROM gated GROUP BY ALL),
+  ag AS (SELECT gated.* FROM gated JOIN ac USING (event_id)),
+  seq AS (SELECT service, timestamp, main AS rate, epoch_us(timestamp) // 1000000 AS s,
+    row_number() OVER (PARTITION BY service ORDER BY timestamp) AS rn FROM ag WHERE action_type = 'DISPATCH')"""
+
+
+@query("m06_scaling_policy", f"""WITH RECURSIVE {PRED_SQL}, {GATED_SQL}, {POLICY_SQL.replace(_CYCLE, _ACYCLE)}
   SELECT service, timestamp, {r6('rate')} AS predicted_rate, act AS scale_action, was::INTEGER AS current_replicas,
     cur::INTEGER AS target_replicas, why AS scale_reason FROM run WHERE rn > 0""")
 def m06(spark, sf):
@@ -181,11 +188,6 @@ def audit(spark, sf):
     return D.decision_records(cycles, D.scaling_policy(sent))
 
 
-_ACYCLE = """ac AS (SELECT service, epoch_us(timestamp) // 1000000 // 5 AS cycle, arg_max(event_id, (timestamp, event_id)) AS event_id
-    FROM gated GROUP BY ALL),
-  ag AS (SELECT gated.* FROM gated JOIN ac USING (event_id)),
-  seq AS (SELECT service, timestamp, main AS rate, epoch_us(timestamp) // 1000000 AS s,
-    row_number() OVER (PARTITION BY service ORDER BY timestamp) AS rn FROM ag WHERE action_type = 'DISPATCH')"""
 AUDIT_SQL = f"""{PRED_SQL}, {GATED_SQL}, {POLICY_SQL.replace(_CYCLE, _ACYCLE)},
   audit AS (SELECT ag.timestamp, ag.service, action_type, confidence, main AS predicted_rate, reason, 0::BIGINT AS duration_ms,
     CASE WHEN action_type = 'DISPATCH' THEN cur ELSE 0 END::INTEGER AS desired_replicas,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.catalog.inputs import EVC_SQL, r6, request_events, tidy
 from pulsegrid.catalog.registry import query
 from pulsegrid.catalog.series_queries import EVS, H1, M1, dense_sql, event_series
-from pulsegrid.catalog.stream_features import REACH, _corr_sql, calendar_sql, ewma_sql
+from pulsegrid.catalog.stream_features import REACH, calendar_sql, ewma_sql
 from pulsegrid.functions.calendar import calendar_features
 from pulsegrid.operators import rolling as R
 from pulsegrid.operators import series as S
@@ -65,11 +65,10 @@ _simple("w06_rate_of_change", lambda: [R.rate_of_change()],
         {"rate_of_change": f"(r - coalesce(lag(r) OVER ({O}), r)) / greatest(coalesce(lag(r) OVER ({O}), r), 1.0)"})
 
 _PAIRS = f""", y AS (SELECT *, lag(r) OVER ({O}) AS y FROM m),
-  x AS (SELECT timestamp, idx, count(y) OVER f AS n, sum(CASE WHEN y IS NOT NULL THEN r END) OVER f AS sx,
-      sum(y) OVER f AS sy, sum(r * y) OVER f AS sxy, sum(CASE WHEN y IS NOT NULL THEN r * r END) OVER f AS sxx,
-      sum(y * y) OVER f AS syy
+  x AS (SELECT timestamp, idx, count(y) OVER f AS n, corr(r, y) OVER f AS c,
+      least(max(CASE WHEN y IS NOT NULL THEN r END) OVER f - min(CASE WHEN y IS NOT NULL THEN r END) OVER f, max(y) OVER f - min(y) OVER f) AS spread
     FROM y WINDOW f AS ({O} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"""
-_CORR = _corr_sql("n", "sx", "sy", "sxy", "sxx", "syy")
+_CORR = "CASE WHEN n >= 2 AND spread > 0 AND NOT isnan(c) THEN coalesce(c, 0.0) ELSE 0.0 END"
 _simple("w07_autocorrelation", lambda: [R.autocorrelation()], {"autocorr_lag1": _CORR}, _PAIRS)
 _simple("w07b_autocorrelation_full", lambda: [R.autocorrelation(full=True)],
         {"autocorr_lag1": f"CASE WHEN n < 60 THEN 0.0 ELSE {_CORR} END"}, _PAIRS)
@@ -172,7 +171,7 @@ def training_sql(ser: str = SER, cast: str | None = None) -> str:
     cols |= {f"latency_std_{n}m": f"coalesce(stddev_samp(lat) {frame(n)}, 0)" for n in (5, 15)}
     cols |= {"ewma_03": ewma_sql("h3", 0.3), "ewma_07": ewma_sql("h7", 0.7)}
     cols |= {"rate_of_change": f"(r - coalesce(lag(r) OVER ({O}), r)) / greatest(coalesce(lag(r) OVER ({O}), r), 1.0)"}
-    cols |= {"autocorr_lag1": _CORR.replace(" sx", " p.sx")}
+    cols |= {"autocorr_lag1": _CORR}
     cols |= {"cpu_util": "cpu", "memory_pressure": "cpu", "active_connections": "greatest(0.2 * r, 1)",
              "cache_hit_ratio": "0.5", "replica_count": "1", "queue_depth": "0"}
     cols |= {"future_req_rate_5m": f"coalesce(lead(r, 5) OVER ({O}), (SELECT arg_max(r, timestamp) FROM m))",
@@ -182,10 +181,10 @@ def training_sql(ser: str = SER, cast: str | None = None) -> str:
         return f"round(CAST(CAST({expr} AS REAL) AS DOUBLE), 3) + 0.0::DOUBLE" if cast else r6(expr)
 
     return f"""WITH {ser}{_PAIRS.replace("x AS", "p AS")}{_LISTS.replace("x AS", "l AS")},
-      b AS (SELECT m.*, h3, h7, n, sx, sy, sxy, sxx, syy, greatest(10 + 90 * {_LOAD}, 1) AS lat,
+      b AS (SELECT m.*, h3, h7, n, c, spread, greatest(10 + 90 * {_LOAD}, 1) AS lat,
           least(greatest(0.1 + 0.7 * {_LOAD}, 0.05), 0.99) AS cpu
         FROM m JOIN p USING (idx) JOIN l USING (idx))
-      SELECT {"" if cast else "timestamp, "}{", ".join(f"{out(cols[c].replace('p.sx', 'sx'))} AS {c}" for c in FEATURE_COLS + LABEL_COLS)} FROM b"""
+      SELECT {"" if cast else "timestamp, "}{", ".join(f"{out(cols[c])} AS {c}" for c in FEATURE_COLS + LABEL_COLS)} FROM b"""
 
 
 @query("w17_training_features", training_sql())

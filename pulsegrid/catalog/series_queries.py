@@ -113,17 +113,17 @@ _resample("a03_resample_unknown_is_sum", "median", "1h", H1, "sum")
 
 def _missing(name, policy, expr, where=""):
     @query(name, f"""
-      WITH {EVE}, {dense_sql('d', 's', 'INTERVAL 10 MINUTE', 'avg')},
+      WITH {EVS}, {dense_sql('d', 's', 'INTERVAL 10 MINUTE', 'avg', 'source')},
       n AS (SELECT *,
           last_value(value IGNORE NULLS) OVER b AS pv, first_value(value IGNORE NULLS) OVER a AS nv,
           last_value(CASE WHEN value IS NOT NULL THEN idx END IGNORE NULLS) OVER b AS pi,
           first_value(CASE WHEN value IS NOT NULL THEN idx END IGNORE NULLS) OVER a AS ni
-        FROM d WINDOW b AS (ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-          a AS (ORDER BY timestamp ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-      SELECT timestamp, {r6(expr)} AS value FROM n {where}""")
+        FROM d WINDOW b AS (PARTITION BY source ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+          a AS (PARTITION BY source ORDER BY timestamp ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+      SELECT source, timestamp, {r6(expr)} AS value FROM n {where}""")
     def run(spark, sf):
-        d = S.resample(event_series(spark, sf, "error"), "10min", "mean").drop("idx")
-        return tidy(S.handle_missing(d, policy))
+        d = S.resample(event_series(spark, sf), "10min", "mean", keys=["source"]).drop("idx")
+        return tidy(S.handle_missing(d, policy, keys=["source"]))
     return run
 
 
@@ -177,11 +177,12 @@ def a07(spark, sf):
 
 
 @query("a08_mean_fill_first_30", f"""
-  WITH {EVE}, {dense_sql('d', 's', 'INTERVAL 10 MINUTE', 'avg')},
+  WITH s AS (SELECT ts AS timestamp, value FROM events), {dense_sql('d', 's', 'INTERVAL 10 SECOND', 'avg')},
   f AS (SELECT timestamp, value FROM d ORDER BY timestamp LIMIT 30)
   SELECT timestamp, {r6('coalesce(value, (SELECT avg(value) FROM f))')} AS value FROM f""")
 def a08(spark, sf):
-    d = S.resample(event_series(spark, sf, "error"), "10min", "mean").drop("idx")
+    """The first steps of the series of all events, on a grid fine enough to leave holes."""
+    d = S.resample(event_series(spark, sf).drop("source"), "10s", "mean").drop("idx")
     return tidy(S.mean_fill(S.first_steps(d, "timestamp", 30)))
 
 

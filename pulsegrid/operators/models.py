@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,6 +53,20 @@ class Forecaster:
     edges: list[float]
     features: Sequence[str]
 
+    def save(self, path: str) -> None:
+        """The trees, the residual table and the edges, below ``path``."""
+        spark = self.residuals.sparkSession
+        self.model.write().overwrite().save(f"{path}/trees")
+        self.residuals.write.mode("overwrite").parquet(f"{path}/residuals")
+        meta = [(self.edges, list(self.features))]
+        spark.createDataFrame(meta, "edges array<double>, features array<string>").write.mode("overwrite").parquet(f"{path}/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Forecaster:
+        meta = spark.read.parquet(f"{path}/meta").first()
+        return cls(GBTRegressionModel.load(f"{path}/trees"), spark.read.parquet(f"{path}/residuals"),
+                   list(meta["edges"]), list(meta["features"]))
+
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds ``main``, ``lower`` and ``upper``."""
         main = _predict(self.model, df, self.features)
@@ -64,7 +78,10 @@ class Forecaster:
 
 
 def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip").transform(df)
+    """A missing feature counts as 0, in training as in scoring; no row is dropped."""
+    clean = {f"_f_{k}": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for k, c in enumerate(features)}
+    assembler = VectorAssembler(inputCols=list(clean), outputCol="_features", handleInvalid="error")
+    return assembler.transform(df.withColumns(clean)).drop(*clean)
 
 
 def _predict(model: GBTRegressionModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -78,18 +95,20 @@ def _bucket(edges: list[float]) -> Column:
 
 
 def fit_forecaster(train: DataFrame, *, label: str = "future_req_rate_5m", features: Sequence[str] = FEATURE_COLS,
-                   buckets: int = 10, ts: str = "timestamp", **params) -> Forecaster:
+                   buckets: int = 10, ts: str = "timestamp", refit: bool = True, **params) -> Forecaster:
     """Boosted trees on the first 80 % of the training rows; the 10 % and 90 % residuals of the rest,
     per bucket of the prediction, give the bounds (Spark ML has no quantile loss)."""
     parts = chronological_split(train.drop("is_train"), ts=ts)
     fit_rows, held_out = parts.filter("is_train"), parts.filter("not is_train")
     booster = GBTRegressor(featuresCol="_features", labelCol=label, **{**FORECAST_PARAMS, **params})
-    model = booster.fit(_assemble(fit_rows.select(*features, label), features))
+    model = booster.fit(_assemble(fit_rows.select(*features, label).filter(F.col(label).isNotNull()), features))
     scored = _predict(model, held_out.select(*features, label), features).withColumn("_res", F.col(label) - F.col("main"))
     # decile edges of the prediction: at most `buckets` numbers on the driver
     probes = [i / buckets for i in range(1, buckets)]
     edges = sorted(set(scored.agg(F.percentile_approx("main", probes)).first()[0] or []))
-    residuals = exact_percentiles(scored.withColumn("_bucket", _bucket(edges)), "_res", {"_q10": 0.1, "_q90": 0.9}, ["_bucket"])
+    residuals = materialise(exact_percentiles(scored.withColumn("_bucket", _bucket(edges)), "_res", {"_q10": 0.1, "_q90": 0.9}, ["_bucket"]))
+    if refit:  # the bounds are known: the point model then learns from all training rows
+        model = booster.fit(_assemble(train.select(*features, label).filter(F.col(label).isNotNull()), features))
     return Forecaster(model, residuals, edges, list(features))
 
 
@@ -151,6 +170,16 @@ class IsolationForest:
     offset: float | None
     features: Sequence[str]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame(self.nodes, NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/nodes")
+        meta = [(self.sample, self.offset, list(self.features))]
+        spark.createDataFrame(meta, "sample int, offset double, features array<string>").write.mode("overwrite").parquet(f"{path}/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> IsolationForest:
+        meta = spark.read.parquet(f"{path}/meta").first()
+        return cls(spark.read.parquet(f"{path}/nodes").toPandas(), meta["sample"], meta["offset"], list(meta["features"]))
+
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``anomaly_score`` in [-1, 0]; lower is more anomalous."""
         trees = []

@@ -21,6 +21,14 @@ MIN_BLOCK = 16_384
 SUB = 128  # rows per sub-block of the exponential averages
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys come from the left."""
+    named = {k: f"_right_{k}" for k in keys}
+    other = right.withColumnsRenamed(named)
+    on = [left[k].eqNullSafe(other[r]) for k, r in named.items()]
+    return left.join(other, on, how).drop(*named.values())
+
+
 def slice_of(ts: Column, seconds: int = DAY) -> Column:
     return F.floor(F.unix_seconds(ts) / F.lit(seconds))
 
@@ -46,7 +54,7 @@ def time_index(df: DataFrame, ts: str = "timestamp", keys: Sequence[str] = (), *
     w = W.partitionBy(*keys, "_slice").orderBy(ts)
     return (
         sliced.withColumn("_rn", F.row_number().over(w))
-        .join(offsets, [*keys, "_slice"])
+        .transform(lambda d: null_safe_join(d, offsets, [*keys, "_slice"]))
         .withColumn(out, F.col("_off") + F.col("_rn") - 1)
         .drop("_slice", "_rn", "_off")
     )
@@ -168,7 +176,7 @@ def fill_from_neighbours(df: DataFrame, value: str, *, ts: str = "timestamp", ke
         sliced
         .withColumn("_p", F.last("_k", ignorenulls=True).over(own.orderBy(ts).rowsBetween(*growing)))
         .withColumn("_n", F.last("_k", ignorenulls=True).over(own.orderBy(F.desc(ts)).rowsBetween(*growing)))
-        .join(carry, [*keys, "_slice"])
+        .transform(lambda d: null_safe_join(d, carry, [*keys, "_slice"]))
         .withColumn("_p", F.coalesce("_p", "_in"))
         .withColumn("_n", F.coalesce("_n", "_out"))
         .select(*df.columns, F.col("_p.v").alias("_pv"), F.col("_p.t").alias("_pt"),

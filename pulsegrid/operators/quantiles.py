@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.ordered import null_safe_join
+
 ACCURACY = 10_000
 MARGIN = 2.5 / ACCURACY
 SMALL = 4 * ACCURACY  # below this many values the bracket is the whole range
@@ -35,7 +37,7 @@ def exact_percentiles(df: DataFrame, value: str, percentiles: dict[str, float],
         F.when(F.col("_n") <= SMALL, F.lit(float("-inf"))).otherwise(F.col("_s.lo")).alias("_lo"),
         F.when(F.col("_n") <= SMALL, F.lit(float("inf"))).otherwise(F.col("_s.hi")).alias("_hi"))
 
-    joined = values.join(brackets, keys) if keys else values.crossJoin(F.broadcast(brackets))
+    joined = null_safe_join(values, brackets, keys) if keys else values.crossJoin(F.broadcast(brackets))
     inside = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
     # values below the bracket fall together into one row, those inside stay apart by value
     counted = (

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.numeric import correlation_from_sums
 from pulsegrid.operators.ordered import ewma_stages, over_blocks
 
 RATE = "req_rate_1m"
@@ -66,17 +65,20 @@ def rate_of_change(name: str = "rate_of_change", value: str = RATE) -> Feature:
 def autocorrelation(name: str = "autocorr_lag1", value: str = RATE, *, pairs: int = 60,
                     full: bool = False) -> Feature:
     """Lag-1 correlation over the last ``pairs`` pairs; 0 with fewer than two (or, when ``full``,
-    than all) of them, and 0 for a flat stretch."""
+    than all) of them, and 0 for a flat stretch. Moments are taken about the mean (Spark's own aggregates),
+    so the level of the series doesn't matter."""
     x, y = F.col("_ac_x"), F.col("_ac_y")
     first = {"_ac_y": lambda w: F.lag(value, 1).over(w),
              "_ac_x": lambda w: F.when(F.lag(value, 1).over(w).isNotNull(), F.col(value))}
-    sums = {"_ac_n": F.count(y), "_ac_sx": F.sum(x), "_ac_sy": F.sum(y), "_ac_sxy": F.sum(x * y),
-            "_ac_sxx": F.sum(x * x), "_ac_syy": F.sum(y * y)}
-    corr = correlation_from_sums(*[F.col(c) for c in sums])
+    parts = {"_ac_n": F.count(y), "_ac_c": F.covar_pop(x, y), "_ac_vx": F.var_pop(x), "_ac_vy": F.var_pop(y), "_ac_x0": F.min(x), "_ac_x1": F.max(x),
+             "_ac_y0": F.min(y), "_ac_y1": F.max(y)}
+    varies = (F.col("_ac_n") >= 2) & (F.col("_ac_x1") > F.col("_ac_x0")) & (F.col("_ac_y1") > F.col("_ac_y0"))
     if full:
-        corr = F.when(F.col("_ac_n") >= pairs, corr).otherwise(F.lit(0.0))
-    return Feature([first, {k: _rows(v, pairs) for k, v in sums.items()}, {name: lambda w: corr}],
-                   pairs + 1, helpers=["_ac_x", "_ac_y", *sums])
+        varies = varies & (F.col("_ac_n") >= pairs)
+    r = F.try_divide(F.col("_ac_c"), F.sqrt("_ac_vx") * F.sqrt("_ac_vy"))
+    corr = F.when(varies, F.coalesce(r, F.lit(0.0))).otherwise(F.lit(0.0))
+    return Feature([first, {k: _rows(v, pairs) for k, v in parts.items()}, {name: lambda w: corr}],
+                   pairs + 1, helpers=["_ac_x", "_ac_y", *parts])
 
 
 def lead_value(name: str = "future", value: str = RATE, steps: int = 5) -> Feature:

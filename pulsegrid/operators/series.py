@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from pulsegrid.functions.calendar import interval_seconds
 from pulsegrid.functions.numeric import clean_double, clip
-from pulsegrid.operators.ordered import DAY, fill_from_neighbours, over_blocks, row_index, time_index
+from pulsegrid.operators.ordered import DAY, fill_from_neighbours, null_safe_join, over_blocks, row_index, time_index
 from pulsegrid.session import materialise
 
 MICROS = 1_000_000
@@ -21,11 +21,33 @@ GRID_CHUNK = 1440
 AGGREGATIONS = ("mean", "max", "min", "sum")
 
 
+# Text forms of a time beside ISO 8601, with what tells them apart. Numbers are epoch seconds.
+TIME_FORMS = (
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}$", "yyyy/M/d H:mm"), (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy/M/d H:mm:ss"),
+    (r"^(19|20)\d{2}(0[1-9]|1[0-2])([0-2]\d|3[01])$", "yyyyMMdd"), (r"^[A-Z][a-z]{2} \d{1,2} \d{4}$", "MMM d yyyy"),
+    (r"^[A-Z][a-z]{2} \d{1,2} \d{4} \d{1,2}:\d{2}$", "MMM d yyyy H:mm"), (r"^[A-Z][a-z]{2} \d{1,2} \d{4} \d{1,2}:\d{2}:\d{2}$", "MMM d yyyy H:mm:ss"),
+)
+
+
+def parse_time(text: Column, unit: str = "s") -> Column:
+    """A text as a time: ISO 8601, one of ``TIME_FORMS``, or a number of epoch units; else NULL. A bare
+    time of day is no time, as its day would be that of the run."""
+    text = F.trim(text)
+    micros = {"us": 1, "ms": 1_000, "s": MICROS}[unit]
+    out = F.when(text.rlike(r"^\d{4}-\d{1,2}"), text.try_cast("timestamp"))
+    for pattern, form in TIME_FORMS:
+        out = out.when(text.rlike(pattern), F.try_to_timestamp(text, F.lit(form)))
+    number = text.rlike(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$")
+    return out.when(number, F.timestamp_micros((text.try_cast("double") * micros).try_cast("long")))
+
+
 def normalise(df: DataFrame, ts: str = "timestamp", value: str = "value", keys: Sequence[str] = ()) -> DataFrame:
     """``(keys, timestamp, value, aware)`` with unparseable or missing rows dropped. ``aware`` marks
     timestamps that carried their own offset."""
     text = isinstance(df.schema[ts].dataType, T.StringType)
-    when = F.col(ts).try_cast("timestamp")
+    when = parse_time(F.col(ts)) if text else F.col(ts).try_cast("timestamp")
     aware = F.col(ts).rlike(OFFSET_SUFFIX) if text else F.lit(False)
     return df.select(*keys, when.alias("timestamp"), clean_double(F.col(value)).alias("value"),
                      F.coalesce(aware, F.lit(False)).alias("aware")).dropna(subset=["timestamp", "value"])
@@ -100,7 +122,7 @@ def resample(df: DataFrame, interval: str = "1min", agg: str = "sum", *, keys: S
         anchored = bounds.withColumn("_o", origin)
         anchor = anchored.select(*keys, "_o")
         # one anchor row per series; the partial sums joined to it are one row per fine bin
-        joined = parts.join(anchor, keys) if keys else parts.crossJoin(F.broadcast(anchor))
+        joined = null_safe_join(parts, anchor, keys) if keys else parts.crossJoin(F.broadcast(anchor))
         parts = joined.groupBy(*keys, edge("_bin").alias("_bin")).agg(
             F.sum("_s").alias("_s"), F.sum("_k").alias("_k"), F.min("_min").alias("_min"), F.max("_max").alias("_max"))
         bounds = anchored.select(*keys, edge("_lo").alias("_lo"), edge("_hi").alias("_hi"))
@@ -110,7 +132,7 @@ def resample(df: DataFrame, interval: str = "1min", agg: str = "sum", *, keys: S
         "min": F.col("_min"),
         "max": F.col("_max"),
     }[agg]
-    bins = dense_grid(bounds, keys, step).join(parts, [*keys, "_bin"], "left") if dense else parts
+    bins = null_safe_join(dense_grid(bounds, keys, step), parts, [*keys, "_bin"], "left") if dense else parts
     return bins.select(*keys, F.timestamp_micros("_bin").alias("timestamp"), result.alias("value"),
                        *(["idx"] if dense else []))
 
@@ -216,26 +238,29 @@ def upsample_linear(series: DataFrame, factor: int, value: str = "value", *, ts:
     rows = ahead.crossJoin(F.broadcast(count))
     m1, n1 = F.col("_m") - 1, F.col("_m") * F.lit(factor) - 1
     # output i sits at i*m1/n1; row j owns the i with j <= i*m1/n1 < j+1
+    # (a single row owns them all)
+    m1 = F.greatest(m1, F.lit(1))
     start = F.ceil(F.col("idx") * n1 / m1)
     stop = F.when(F.col("_next").isNull(), n1).otherwise(F.ceil((F.col("idx") + 1) * n1 / m1) - 1)
     points = rows.withColumn("i", F.explode(F.sequence(start.cast("long"), stop.cast("long"))))
-    share = (F.col("i") * m1 - F.col("idx") * n1) / n1
+    share = F.coalesce(F.try_divide(F.col("i") * m1 - F.col("idx") * n1, n1), F.lit(0.0))
     return points.select("i", (F.col(value) + (F.coalesce("_next", value) - F.col(value)) * share).alias("value"))
 
 
 def gaps(df: DataFrame, interval: str = "1min", ts: str = "timestamp", keys: Sequence[str] = ()) -> DataFrame:
-    """Steps longer than twice the interval, as ``(keys, after, before, gap_seconds)``. Duplicates
-    collapse first; a slice gets the last timestamp of the slices before it from a carry table."""
+    """Steps longer than twice the interval, as ``(keys, after, before, gap_seconds)``. Such a step leaves a whole
+    bucket of the interval empty, so the first and last stamp of each bucket are enough: an aggregate, then
+    a window over the buckets of a slice; a slice gets the end of the one before from a table of slices."""
     from pyspark.sql import Window as W
 
-    keys = list(keys)
-    stamps = df.filter(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("before")).distinct() \
-        .withColumn("_slice", F.floor(F.unix_seconds("before") / F.lit(DAY)))
-    ends = stamps.groupBy(*keys, "_slice").agg(F.max("before").alias("_end"))
-    carry = ends.select(*keys, "_slice", F.lag("_end").over(W.partitionBy(*keys).orderBy("_slice")).alias("_carry"))
-    own = W.partitionBy(*keys, "_slice").orderBy("before")
-    stepped = stamps.withColumn("after", F.lag("before").over(own)).join(carry, [*keys, "_slice"]) \
+    keys, step = list(keys), interval_seconds(interval)
+    bucket = F.floor(F.unix_micros(ts) / F.lit(step * MICROS))
+    ends = df.filter(F.col(ts).isNotNull()).groupBy(*keys, bucket.alias("_bucket")).agg(F.min(ts).alias("before"), F.max(ts).alias("_last"))
+    ends = materialise(ends.withColumn("_slice", F.floor(F.col("_bucket") / F.lit(max(1, DAY // step)))))
+    slices = ends.groupBy(*keys, "_slice").agg(F.max("_last").alias("_end"))
+    carry = slices.select(*keys, "_slice", F.lag("_end").over(W.partitionBy(*keys).orderBy("_slice")).alias("_carry"))
+    own = W.partitionBy(*keys, "_slice").orderBy("_bucket")
+    stepped = null_safe_join(ends.withColumn("after", F.lag("_last").over(own)), carry, [*keys, "_slice"]) \
         .withColumn("after", F.coalesce("after", "_carry"))
     seconds = (F.unix_micros("before") - F.unix_micros("after")) / F.lit(float(MICROS))
-    return stepped.withColumn("gap_seconds", seconds).filter(
-        F.col("gap_seconds") > 2 * interval_seconds(interval)).select(*keys, "after", "before", "gap_seconds")
+    return stepped.withColumn("gap_seconds", seconds).filter(F.col("gap_seconds") > 2 * step).select(*keys, "after", "before", "gap_seconds")

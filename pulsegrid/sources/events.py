@@ -13,15 +13,25 @@ DEFAULT_LATENCY = 10.0
 DEFAULT_ENDPOINT = "unknown"
 MESSAGE_FIELDS = ("ts", "endpoint", "method", "client_id", "latency_ms", "status", "bytes_sent")
 
-INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?Z$"
+OFFSET_BITS = 44  # 2^44 records to a partition
+INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 
 
 def event_stream(spark: SparkSession, fmt: str = "kafka", path: str | None = None, **options: str) -> DataFrame:
-    """Streaming ``(value, record_time)`` from a topic (``subscribe=...``) or a folder of JSON lines."""
+    """Streaming ``(event_id, value, record_time)`` from a topic (``subscribe=...``) or a folder of JSON lines.
+
+    A topic's ids come from partition and offset, which order the records of a client and never change; a
+    record of a folder has the hash of its file and text.
+    """
     reader = spark.readStream.format(fmt).options(**options)
     raw = reader.load(path) if path else reader.load()
     time = F.col("timestamp") if "timestamp" in raw.columns else F.current_timestamp()
-    return raw.select(F.col("value").cast("string").alias("value"), time.alias("record_time"))
+    value = F.col("value").cast("string")
+    if {"partition", "offset"} <= set(raw.columns):
+        event_id = F.shiftleft(F.col("partition").cast("long"), OFFSET_BITS) + F.col("offset")
+    else:
+        event_id = F.xxhash64(F.input_file_name(), value)
+    return raw.select(event_id.alias("event_id"), value.alias("value"), time.alias("record_time"))
 
 
 def _get(v: Column, name: str, kind: str) -> Column:

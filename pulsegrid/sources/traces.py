@@ -87,19 +87,23 @@ def _two_columns(spark, cfg: Config, ts: str, value: str, aliases=None) -> DataF
     return raw.select(_quoted(found[0]).alias("timestamp"), _quoted(found[1]).alias("value"))
 
 
+def _stamped(spark: SparkSession, df: DataFrame | None, cfg: Config) -> DataFrame:
+    """Numeric stamps in the configured ``epoch_unit``; without one the text forms of a time apply."""
+    if df is None:
+        return empty(spark)
+    return epoch_or_text(df, (), cfg["epoch_unit"]) if cfg.get("epoch_unit") else df
+
+
 def delimited(spark: SparkSession, cfg: Config) -> DataFrame:
-    df = _two_columns(spark, cfg, "timestamp", "value")
-    return empty(spark) if df is None else df
+    return _stamped(spark, _two_columns(spark, cfg, "timestamp", "value"), cfg)
 
 
 def function_invocations(spark: SparkSession, cfg: Config) -> DataFrame:
-    df = _two_columns(spark, cfg, "end_timestamp", "invocations", FUNCTION_COLUMNS)
-    return empty(spark) if df is None else df
+    return _stamped(spark, _two_columns(spark, cfg, "end_timestamp", "invocations", FUNCTION_COLUMNS), cfg)
 
 
 def vm_utilisation(spark: SparkSession, cfg: Config) -> DataFrame:
-    df = _two_columns(spark, cfg, "timestamp_vm", "avg_cpu", VM_COLUMNS)
-    return empty(spark) if df is None else df
+    return _stamped(spark, _two_columns(spark, cfg, "timestamp_vm", "avg_cpu", VM_COLUMNS), cfg)
 
 
 def epoch_or_text(df: DataFrame, units: Sequence[str], unit: str | None = None) -> DataFrame:
@@ -107,7 +111,7 @@ def epoch_or_text(df: DataFrame, units: Sequence[str], unit: str | None = None)
     median (a sketch, one scalar joined back); pass ``unit`` where stamps are relative."""
     number = F.col("timestamp").try_cast("double")
     micros = {"us": 1, "ms": 1_000, "s": 1_000_000}
-    text = F.col("timestamp").try_cast("timestamp")
+    text = S.parse_time(F.col("timestamp").cast("string"))
 
     def at(u: str) -> Column:
         return F.timestamp_micros((number * micros[u]).try_cast("long"))
@@ -175,13 +179,14 @@ def pageviews(spark: SparkSession, cfg: Config) -> DataFrame:
         return pageview_dump(spark, cfg)
     if suffix not in (".csv", ".parquet"):
         return empty(spark)
-    df = _two_columns(spark, cfg, "timestamp", "views")
-    return empty(spark) if df is None else df
+    return _stamped(spark, _two_columns(spark, cfg, "timestamp", "views"), cfg)
 
 
 def page_day_matrix(spark: SparkSession, path: str) -> DataFrame:
     """A wide table (first column the page, one column per day) as ``(page, day, views)``."""
     raw = read_columns(spark, path)
+    if raw is None:
+        return spark.createDataFrame([], "page string, day date, views double")
     page, *days = raw.columns
     return raw.select(_quoted(page).alias("page"), *[_quoted(d).try_cast("double").alias(d) for d in days]).unpivot(
         "page", [_quoted(d) for d in days], "day", "views").withColumn("day", F.col("day").try_cast("date"))
