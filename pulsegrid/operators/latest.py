@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.schema import FEATURE_COLS
+from pulsegrid.sources.sinks import since_newest
 
 
 def latest_actions(audit: DataFrame, n: int = 50, *, ts: str = "timestamp", tie: Sequence[str] = ("service",)) -> DataFrame:
@@ -27,6 +28,7 @@ def _recent(points: DataFrame, as_of: str | None, minutes: int, ts: str) -> Data
     if as_of is not None:
         end = F.lit(as_of).cast("timestamp")
         return points.filter((F.col(ts) > end - F.make_dt_interval(mins=F.lit(minutes))) & (F.col(ts) <= end))
+    points = since_newest(points, 1 + minutes // 1440)
     newest = points.agg(F.max(ts).alias("_end"))
     return points.crossJoin(F.broadcast(newest)).filter(
         F.col(ts) > F.col("_end") - F.make_dt_interval(mins=F.lit(minutes))).drop("_end")

@@ -58,3 +58,9 @@ def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and survives executor loss."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a scratch folder that a micro-batch is done with, wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

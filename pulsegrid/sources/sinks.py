@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.schema import AUDIT_COLS, FEATURE_COLS, FEATURE_VECTOR, LABEL_COLS
+from pulsegrid.session import drop_folder, scratch
 
 
 def feature_messages(vectors: DataFrame) -> DataFrame:
@@ -37,24 +39,41 @@ def upsert_points(batch: DataFrame, path: str, keys: Sequence[str] = ("endpoint"
     """Merge a batch into a date-partitioned table, rewriting only the days it touches."""
     spark = batch.sparkSession
     fresh = batch.withColumn("day", F.to_date("timestamp"))
+    days = [r["day"] for r in fresh.select("day").distinct().collect()]  # the calendar days a batch touches
     merged = fresh
     try:
-        stored = spark.read.schema(fresh.schema).parquet(path)
-        days = F.broadcast(fresh.select("day").distinct())  # one row per calendar day touched
-        merged = stored.join(days, "day", "left_semi").unionByName(fresh)
+        merged = touched_days(spark.read.schema(fresh.schema).parquet(path), days).unionByName(fresh)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    result = latest_per_key(merged, [*keys, "day"], arrival)
     # reads and rewrites the same folder, so the result is written down first
-    from pulsegrid.session import materialise
+    aside = scratch(spark, "upsert")
+    latest_per_key(merged, [*keys, "day"], arrival).write.parquet(aside)
+    spark.read.schema(merged.schema).parquet(aside).select(*merged.columns).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    drop_folder(spark, aside)
 
-    materialise(result).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("day").parquet(path)
+
+def touched_days(points: DataFrame, days: Sequence) -> DataFrame:
+    """The partitions of the given days; known before the scan is planned, so no other is read."""
+    known = F.col("day").isin([d for d in days if d is not None])
+    return points.filter(known | F.col("day").isNull() if None in days else known)
+
+
+def since_newest(points: DataFrame, days: int) -> DataFrame:
+    """Of a table partitioned by day, the newest day and ``days`` before it; other tables as they are.
+
+    The newest day is looked up in the partition column alone, and the filter prunes partitions.
+    """
+    if "day" not in points.columns:
+        return points
+    top = points.agg(F.max("day").cast("date").alias("top")).first()["top"]
+    return points if top is None else points.filter(F.col("day") >= F.lit(top - timedelta(days=days)))
 
 
 def retain_days(points: DataFrame, days: int, ts: str = "timestamp") -> DataFrame:
     """Points of the last ``days`` days before the newest one."""
+    points = since_newest(points, days + 1)
     newest = points.agg(F.max(ts).alias("_newest"))
     return points.crossJoin(F.broadcast(newest)).filter(
         F.col(ts) >= F.col("_newest") - F.make_dt_interval(days=F.lit(days))).drop("_newest")
@@ -89,3 +108,13 @@ def notifications(records: DataFrame) -> DataFrame:
         "actual_replicas", "provisioning_latency_ms", F.unix_millis("timestamp").alias("timestamp"))
     return records.filter(F.col("action_type") == "DISPATCH").select(
         F.col("service").alias("key"), F.to_json(payload).alias("value"))
+
+
+def start_message_stream(messages: DataFrame, checkpoint: str, *, fmt: str = "kafka", path: str | None = None,
+                         available_now: bool = False, **options: str):
+    """Writes ``key, value`` messages of a stream (events, vectors, notifications) to a topic
+    (``topic=...``) or, as JSON lines, to a folder."""
+    columns = [c for c in ("key", "value", "timestamp") if c in messages.columns]
+    writer = messages.select(*columns).writeStream.format(fmt).options(**options).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start(path) if path else writer.start()

@@ -19,11 +19,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid.plans import event_features as ef
 from pulsegrid.schema import FEATURE_COLS
-from pulsegrid.session import materialise
+from pulsegrid.session import drop_folder, scratch
 from pulsegrid.streaming.state import StateTable, write_batch
 
 COUNT_RETENTION = 1800  # fixed value: seconds of counts kept
 LATENCY_RETENTION = 900  # fixed value: seconds of latencies kept
+IDLE_TTL = 86_400  # seconds after which a silent endpoint is forgotten
 LATE_AFTER = 1800  # seconds behind the newest event at which one goes to the side table
 
 
@@ -40,7 +41,7 @@ def retain_seconds(seconds: DataFrame, *, idle_ttl: int | None = None) -> DataFr
 
 
 def feature_batch(output: str, state: str, *, late: str | None = None, late_after: int = LATE_AFTER,
-                  idle_ttl: int | None = None, rows: int | None = None,
+                  idle_ttl: int | None = IDLE_TTL, rows: int | None = None,
                   sink: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function: vectors go to ``output``, state to ``state``, events older than
     the watermark to ``late`` (without it they are processed like the others)."""
@@ -58,7 +59,9 @@ def feature_batch(output: str, state: str, *, late: str | None = None, late_afte
             write_batch(marked.filter("_late").drop("_top", "_late"), late, batch_id)
             usable = marked.filter(~F.col("_late")).drop("_top", "_late")
 
-        fresh = materialise(ef.per_second(usable))
+        aside = scratch(spark, "seconds")
+        ef.per_second(usable).write.parquet(aside)
+        fresh = spark.read.parquet(aside)
         vectors = ef.feature_vectors(usable, carried=carried, history=history, seconds=fresh,
                                      extra=["seq", "total_60s"], rows=rows)
         write_batch(vectors, output, batch_id)
@@ -67,9 +70,12 @@ def feature_batch(output: str, state: str, *, late: str | None = None, late_afte
 
         seconds = ef.combine_seconds(fresh, carried)
         seconds_table.after(batch_id, retain_seconds(seconds, idle_ttl=idle_ttl))
+        drop_folder(spark, aside)
+        alive = seconds_table.before(batch_id + 1).select("endpoint").distinct()
         known = spark.read.parquet(f"{output}/batch_id={batch_id}").select("endpoint", "seq", "req_rate_1m", "total_60s")
         if history is not None:
             known = known.unionByName(history)
+        known = known.join(alive, "endpoint", "left_semi")
         ends = known.groupBy("endpoint").agg((F.max("seq") - ef.KEPT_RATES).alias("_floor"))
         rates_table.after(batch_id, known.join(ends, "endpoint").filter(F.col("seq") > F.col("_floor")).drop("_floor"))
         events.unpersist()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid.operators.limiter import LIMIT, WINDOW_MS, rate_limit
-from pulsegrid.session import scratch
+from pulsegrid.session import drop_folder, scratch
 from pulsegrid.streaming.state import StateTable, write_batch
 
 LATE_MS = 600_000  # how far behind the newest request a window is still remembered
@@ -48,12 +48,6 @@ def limit_batch(output: str, state: str, *, limit: int = LIMIT, window_ms: int =
     return run
 
 
-def drop_folder(spark, path: str) -> None:
-    """Removes a scratch folder of this micro-batch, wherever it lies."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def start_limit_stream(requests: DataFrame, output: str, state: str, checkpoint: str, *, available_now: bool = False,
                        interval: str = "5 seconds", **options) -> StreamingQuery:
     """``requests`` is a streaming frame of ``event_id, client_id, ts`` and a path."""

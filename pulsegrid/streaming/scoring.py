@@ -36,13 +36,23 @@ def scoring_batch(audit: str, state: str, predict: Callable[[DataFrame], DataFra
                   **options) -> Callable[[DataFrame, int], None]:
     def run(batch: DataFrame, batch_id: int) -> None:
         table = StateTable(batch.sparkSession, state, "policy")
-        before = table.before(batch_id)
-        records, outcome = decision_cycle(batch, predict, state=before, **options)
+        cycles = StateTable(batch.sparkSession, state, "cycles")
+        before, decided = table.before(batch_id), cycles.before(batch_id)
+        service, ts = options.get("service", "service"), options.get("ts", "timestamp")
+        cycle = F.floor(F.unix_seconds(ts) / F.lit(options.get("seconds", CYCLE_SECONDS)))
+        stamped = batch.withColumn("_cycle", cycle)
+        if decided is not None:  # a cycle is decided once, also where a micro-batch cuts it
+            last = decided.select(F.col("service").alias(service), F.col("cycle").alias("_last"))
+            stamped = stamped.join(last, service, "left").filter(F.col("_last").isNull() | (F.col("_cycle") > F.col("_last"))).drop("_last")
+        records, outcome = decision_cycle(stamped.drop("_cycle"), predict, state=before, **options)
         write_batch(records, audit, batch_id)
         fresh = D.policy_state(outcome)
         if before is not None:
             fresh = before.join(fresh, "service", "left_anti").unionByName(fresh)
         table.after(batch_id, fresh)
+        ends = stamped.groupBy(F.col(service).alias("service")).agg(F.max("_cycle").alias("cycle"))
+        ends = ends if decided is None else decided.unionByName(ends).groupBy("service").agg(F.max("cycle").alias("cycle"))
+        cycles.after(batch_id, ends)
 
     return run
 

@@ -88,3 +88,39 @@ def test_models_keep_rows_and_can_be_stored(spark):
     forest.save(spark, path)
     other = ML.IsolationForest.load(spark, path)
     assert other.predict(df).where("is_anomaly").count() == forest.predict(df).where("is_anomaly").count() > 0
+
+
+def test_upsert_and_newest_read_only_the_days_they_need(spark):
+    from pulsegrid.operators.latest import latest_field_percent
+    from pulsegrid.sources import sinks
+
+    path = scratch(spark, "points")
+    rows = [("e", dt.datetime(2024, 1, d, 12, m), d * 100 + m, float(m)) for d in range(1, 9) for m in range(3)]
+    schema = "endpoint string, timestamp timestamp, arrival long, value double"
+    sinks.upsert_points(spark.createDataFrame(rows, schema), path)
+    sinks.upsert_points(spark.createDataFrame([("e", dt.datetime(2024, 1, 3, 12, 0), 9999, 42.0)], schema), path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 24 and stored.where("value = 42").count() == 1
+
+    def filters(df):
+        return [line for line in df._jdf.queryExecution().toString().splitlines() if "PartitionFilters" in line]
+
+    assert all("2024-01-03" in line for line in filters(sinks.touched_days(stored, [dt.date(2024, 1, 3)])))
+    assert all("2024-01-07" in line for line in filters(latest_field_percent(stored, "value")))
+    assert latest_field_percent(stored, "value").first()["percent"] == 200.0
+    assert sinks.retain_days(stored, 2).select("day").distinct().count() == 3
+
+
+def test_a_cycle_cut_by_a_micro_batch_is_decided_once(spark):
+    from pulsegrid.streaming import scoring
+
+    def bounds(df):
+        return df.withColumns({"main": F.col("x"), "lower": F.col("x") * 0.9, "upper": F.col("x") * 1.1})
+
+    audit, state = scratch(spark, "audit"), scratch(spark, "state")
+    step = scoring.scoring_batch(audit, state, bounds)
+    t0 = dt.datetime(2024, 1, 1)
+    for batch_id, seconds in enumerate([(0, 1, 6), (7, 8), (9, 11)]):
+        rows = [("api", t0 + dt.timedelta(seconds=s), 1000.0 + s) for s in seconds]
+        step(spark.createDataFrame(rows, "service string, timestamp timestamp, x double"), batch_id)
+    assert [r["timestamp"].second for r in spark.read.parquet(audit).orderBy("timestamp").collect()] == [1, 6, 11]
