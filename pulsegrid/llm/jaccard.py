@@ -8,17 +8,19 @@ in spaces where the windows are narrow, and the Jaccard space is cut inside the
    metric. Similar sets have similar sizes; a document belongs to its class of sizes, and to the next
    one if the triangle inequality lets it have partners there.
 2. *Slices.* Hashes cut the universe of shingles into more slices than similar sets can differ in, so a similar
-   pair is at distance 0 in some slice that neither leaves empty. Every content of a slice is a pivot whose Voronoi
-   region are the documents at distance 0. (Documents with unusually many empty slices keep these as contents.)
-3. *Voronoi regions.* The smallest document of a region becomes its pivot; its Jaccard distances to the others are
-   measured, which links the ball around it. A region whose documents are then all connected is done. Others are cut
-   again without their pivots: several pivots are drawn, a document goes to the nearest and, by the triangle
-   inequality, to each that is farther by at most twice the radius. Small regions, and those that windows don't
-   part, are joined in blocks, only between documents that are not connected yet.
-
-Exact copies are one document throughout. Within an input shard, documents that share a slice are represented by one
-of them before anything is shuffled, so copies and near copies that make up a third of all rows
-reach a bucket at most once per shard. Regions hold ids; only documents of some region have their text moved.
+   pair is at distance 0 in at least ``SURPLUS`` of them. Every content of a slice is a pivot whose Voronoi region
+   are the documents at distance 0; a document that is in fewer regions than a similar pair must share leaves
+   them all. (Documents with unusually many empty slices keep these as contents.)
+3. *Balls.* The most central document of a region (the one in most regions) becomes its pivot. Each document is
+   measured against the pivot it shares most regions with, which links the balls around them. A region whose documents are then all connected is
+   done; overlapping ones of the others become one.
+4. *Voronoi regions.* A region of more than ``LARGE`` documents is cut by several pivots: a document goes to the nearest
+   and, by the triangle inequality, to each that is farther by at most twice the radius; parts are regions again. Other
+   regions, and those that windows don't part, are joined in pairs of blocks, by the lists of documents of each
+   shingle of the block, between documents not connected yet.
+
+Exact copies are one document throughout. A slice's content is sent to its bucket once per input shard, however many
+documents of the shard have it, so near copies that make up a third of all rows are no burden. Regions hold ids; only documents of some region have their text moved.
 
 * null or empty text, or no words: no shingles, linked with nothing; fewer words than a shingle: all words are one;
 * null id: linked with nothing, component null; rows with one id are one document, linked where any of its texts is;
@@ -46,13 +48,15 @@ from pulsegrid.llm.store import stored
 SHARD = 10_000_000  # bytes of text whose documents are represented together, about
 ENTRIES = 3_000_000  # slice contents to a bucket, about
 RATIO = 1.5  # of the sizes in a class
+SURPLUS = 0.15  # share of its slices that a document has in common with any similar one, at least
 PIVOTS = 8
-LEAF = 48  # documents of a region that are joined at once
+LARGE = 16_384  # documents of a region that is joined in blocks
+BLOCK = 512  # documents of a block
 CHUNK = 256  # documents that are measured against one copy of a pivot
 
 DOCS = "doc_id long, n_shingles long, h1 long, h2 long"
-CODED = "docs array<struct<doc_id:long,n_shingles:long,h1:long,h2:long>>, bucket int, n long, keys binary, ids binary, region long, doc long, pivot long"
-REGIONS = "region long, doc long, pivot long"
+CODED = "docs array<struct<doc_id:long,n_shingles:long,h1:long,h2:long>>, bucket int, n long, keys binary, ids binary, region long, doc long"
+REGIONS = "region long, doc long"
 
 
 @dataclass(frozen=True)
@@ -70,9 +74,15 @@ class Join:
             out.append(max(out[-1] + 1, int(out[-1] * RATIO)))
         return out
 
-    def apart(self, largest: int) -> int:
-        """Most elements in which two similar sets of at most ``largest`` elements differ."""
-        return 2 * largest * (self.of - self.least) // (self.of + self.least)
+    def apart(self, size: int) -> int:
+        """Most elements in which a set of ``size`` elements differs from a similar one."""
+        return size * (self.of - self.least) // self.least
+
+    def slices(self, c: int, bounds: list[int]) -> tuple[int, int]:
+        """Number of slices of a class, and how many may be empty. 0 where only equal sets are similar."""
+        apart = self.apart(bounds[c + 1] - 1)
+        spare = 2 + apart // 40
+        return (int(apart / (1 - SURPLUS)) + 1 + spare if apart else 0), spare
 
     def linked(self, both: int, union: int) -> bool:
         return union > 0 and self.of * both >= self.least * union
@@ -84,6 +94,9 @@ def shingle_sets(w: tx.Words, words: int) -> Iterator[np.ndarray]:
         yield np.unique(tx.ngrams(w.hashes[w.bounds[i]:w.bounds[i + 1]], words))
 
 
+CLASS = tx.U64(127)
+
+
 class Slicer:
     def __init__(self, join: Join):
         self.join, self.bounds = join, join.bounds()
@@ -95,10 +108,8 @@ class Slicer:
         out = []
         mixed = sums = None
         while True:
-            apart = self.join.apart(self.bounds[c + 1] - 1)
-            if apart:  # else only equal sets are similar
-                spare = 2 + apart // 40
-                slices = apart + 1 + spare
+            slices, spare = self.join.slices(c, self.bounds)
+            if slices:
                 edges = (np.arange(1, slices, dtype=object) * (1 << 64) // slices).astype(np.uint64) if slices < 3 else \
                     (np.arange(1, slices, dtype=np.uint64) * tx.U64((1 << 64) // slices))
                 at = np.concatenate([[0], np.searchsorted(s, edges), [n]])
@@ -110,23 +121,14 @@ class Slicer:
                 with np.errstate(over="ignore"):
                     content = tx.mix(sums[at[1:]] - sums[at[:-1]] + tx.mix(np.arange(slices, dtype=np.uint64) + tx.U64(c + 1 << 40)))
                 full = at[1:] > at[:-1]
-                out.append(content[full] if slices - full.sum() <= spare else content)
+                content = content[full] if slices - full.sum() <= spare else content
+                out.append(content & ~CLASS | tx.U64(c))  # the class can be read off
             c += 1
             if self.join.of * n < self.join.least * self.bounds[c]:
                 break
         return np.concatenate(out) if out else np.zeros(0, tx.U64)
 
 
-def _six(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _from_six(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def _planes(ids: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(np.ascontiguousarray(ids, "<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
@@ -143,34 +145,21 @@ def _rows(docs=(), blobs=(), regions=None) -> pa.RecordBatch:
     columns = [pa.array(lists, pa.list_(kind))]
     for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary())):
         columns.append(pa.array(pad + [b[k] for b in blobs] + [None] * n, t))
-    for k in range(3):
+    for k in range(2):
         lead = pa.nulls(len(pad) + len(blobs), pa.int64())
         columns.append(pa.concat_arrays([lead, pa.array(regions[k], pa.int64()) if regions else pa.nulls(0, pa.int64())]))
-    return pa.RecordBatch.from_arrays(columns, ["docs", "bucket", "n", "keys", "ids", "region", "doc", "pivot"])
+    return pa.RecordBatch.from_arrays(columns, ["docs", "bucket", "n", "keys", "ids", "region", "doc"])
 
 
-def _regions(key: np.ndarray, doc: np.ndarray, represented: bool) -> tuple[list[np.ndarray], np.ndarray]:
-    """Region rows of the keys that several documents have, one region for each set of documents, and
-    which of the given entries represent their key (its smallest document)."""
+def _shared(key: np.ndarray, doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """``(key, doc)`` of the keys with several documents, and which entry stands for each key."""
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(fresh)
-    size = np.diff(first, append=len(key))
-    heads = order[first] if represented else first[:0]
-    several = size > 1
-    first, size = first[several], size[several]
-    if not len(first):
-        return [np.zeros(0, np.int64)] * 3, heads
-    at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-    members, number = doc[at], np.repeat(np.arange(len(first)), size)
-    with np.errstate(over="ignore"):  # a region is known by its documents
-        name = tx.mix(np.add.reduceat(tx.mix(members.astype(tx.U64) + tx.U64(77)), np.cumsum(size) - size))
-    _, once = np.unique(name, return_index=True)
-    keep = np.isin(number, once)
-    region = np.repeat(name, size)[keep].view(np.int64)
-    return [region, members[keep], np.repeat(doc[first], size)[keep]], heads
+    several = np.repeat(np.diff(first, append=len(key)) > 1, np.diff(first, append=len(key)))
+    return [key[several].view(np.int64), doc[several]], order[first]
 
 
 class _Open:
@@ -196,7 +185,7 @@ class _Open:
         reps = list(self.reps.values())
         key = np.concatenate([k for _, k in reps] or [np.zeros(0, tx.U64)])
         doc = np.repeat(np.array([d for d, _ in reps], np.int64), [len(k) for _, k in reps])
-        regions, heads = _regions(key, doc, True)
+        regions, heads = _shared(key, doc)  # other shards need to know that a key is here, not how often
         key, doc = key[heads], doc[heads]
         bucket = ((key >> tx.U64(48)) % tx.U64(self.buckets)).astype(np.int64)
         order = np.lexsort((doc, bucket))
@@ -204,7 +193,7 @@ class _Open:
         blobs = []
         for b in np.unique(bucket).tolist():
             at, to = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
-            blobs.append((b, to - at, _six(key[at:to]), _planes(doc[at:to])))
+            blobs.append((b, to - at, key[at:to].tobytes(), _planes(doc[at:to])))
         kinds = ["doc_id", "n_shingles", "h1", "h2"]
         yield _rows([dict(zip(kinds, d, strict=True)) for d in self.docs], blobs, regions)
 
@@ -227,10 +216,29 @@ def _code(join: Join, buckets: int) -> Callable:
 
 def _meet(_, table):
     """Regions of one bucket: documents of different shards with the same content of a slice."""
-    key = np.concatenate([_from_six(b) for b in table.column("keys").to_pylist()])
+    key = np.concatenate([np.frombuffer(b, tx.U64) for b in table.column("keys").to_pylist()])
     doc = np.concatenate([_from_planes(b) for b in table.column("ids").to_pylist()])
-    regions, _ = _regions(key, doc, False)
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("region", "doc", "pivot"), regions, strict=True)})
+    regions, _ = _shared(key, doc)
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("region", "doc"), regions, strict=True)})
+
+
+def _alike(regions: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
+    """``region, doc`` of documents that share as many slices as a similar pair must, each set of documents once.
+
+    A document differs from a similar one in at most ``apart`` elements, so in as many slices; the others are equal,
+    and but for the empty ones the two are together in the regions of these.
+    """
+    bounds = join.bounds()
+    rows = [(c, *join.slices(c, bounds)) for c in range(len(bounds) - 1)]
+    classes = regions.sparkSession.createDataFrame(rows, "part int, slices long, spare long")  # some dozens
+    part = F.col("region").bitwiseAND(F.lit(127)).cast("int")
+    counted = regions.withColumn("part", part).groupBy("doc", "part").agg(F.count(F.lit(1)).alias("shared"))
+    apart = F.floor(F.col("n_shingles") * (join.of - join.least) / join.least)
+    alive = (counted.join(sizes, "doc").join(F.broadcast(classes), "part")
+             .where(F.col("shared") >= F.col("slices") - F.col("spare") - apart).select("doc", "part"))
+    left = stored(regions.withColumn("part", part).join(alive, ["doc", "part"], "left_semi").select("region", "doc"), "alike")
+    sets = left.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("docs")).where("n > 1")
+    return left.join(sets.groupBy("n", "docs").agg(F.min("region").alias("region")).select("region"), "region", "left_semi")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -268,7 +276,7 @@ def _measure(words: int) -> Callable:
 def measured(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
     """``a, b, both, union`` for distinct pairs of ids: sizes of intersection and union (the most similar texts, where
     an id has several). The texts of ``a`` stream past one copy of ``b`` in chunks, however many they are."""
-    pairs = stored(pairs.distinct(), "pairs")
+    pairs = stored(pairs, "pairs")
     wide = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     dealt = pairs.join(wide, "b").withColumn("chunk", F.pmod(F.xxhash64("a", F.lit(9)), F.ceil(F.col("n") / CHUNK)))
     dealt = stored(dealt.select("a", "b", "chunk"), "dealt")
@@ -284,8 +292,15 @@ def measured(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
 
 def _leaf(join: Join) -> Callable:
     def run(_, table):
-        rows = table.sort_by("doc").to_pydict()
-        sets = [s for _, _, w in tx.batches_of_words(table.sort_by("doc").column("text").combine_chunks()) for s in shingle_sets(w, join.words)]
+        table = table.sort_by("doc")
+        rows = {c: table.column(c).to_pylist() for c in ("doc", "component", "block", "inside")}
+        sets = [s for _, _, w in tx.batches_of_words(table.column("text").combine_chunks()) for s in shingle_sets(w, join.words)]
+        size, block = np.array([len(s) for s in sets]), np.array(rows["block"])
+        unique, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        holders = owner[np.argsort(ids, kind="stable")]  # documents of each shingle
+        begin = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(unique)))])
+        start = np.cumsum(size) - size
         root = {c: c for c in rows["component"]}
 
         def find(c):
@@ -294,14 +309,17 @@ def _leaf(join: Join) -> Callable:
             return c
 
         a, b = [], []
-        for i in range(len(sets)):
-            for j in range(i):
+        for i in range(1, len(sets)):
+            own = ids[start[i]:start[i] + size[i]]
+            many = begin[own + 1] - begin[own]
+            at = np.arange(many.sum()) + np.repeat(begin[own] - np.cumsum(many) + many, many)
+            both = np.bincount(holders[at], minlength=len(sets))[:i]
+            near = (both > 0) & (join.of * both >= join.least * (size[i] + size[:i] - both))
+            if not rows["inside"][i]:
+                near &= block[:i] != block[i]
+            for j in np.flatnonzero(near).tolist():
                 x, y = find(rows["component"][i]), find(rows["component"][j])
-                small, large = sorted((len(sets[i]), len(sets[j])))
-                if x == y or join.of * small < join.least * large or rows["block"][i] == rows["block"][j] and not rows["inside"][i]:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if join.linked(both, small + large - both):
+                if x != y:
                     a.append(rows["doc"][i])
                     b.append(rows["doc"][j])
                     root[max(x, y)] = min(x, y)
@@ -310,8 +328,8 @@ def _leaf(join: Join) -> Callable:
 
 
 def _joined_in_blocks(docs: DataFrame, regions: DataFrame, join: Join) -> DataFrame:
-    """Links between unconnected documents of each region; groups are pairs of blocks of about ``LEAF`` documents."""
-    dealt = regions.withColumn("blocks", F.ceil(F.col("size") / LEAF)).withColumn("block", F.pmod(F.xxhash64("doc", F.lit(3)), "blocks"))
+    """Links between unconnected documents of each region; groups are pairs of blocks of about ``BLOCK`` documents."""
+    dealt = regions.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc", F.lit(3)), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = (dealt.withColumn("other", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
              .withColumn("inside", F.col("low") == F.col("high")))
@@ -320,15 +338,24 @@ def _joined_in_blocks(docs: DataFrame, regions: DataFrame, join: Join) -> DataFr
             .groupBy("region", "low", "high").applyInArrow(_leaf(join), "a long, b long"))
 
 
+def _merged(regions: DataFrame) -> DataFrame:
+    """Overlapping regions as one: a document's text is then moved once for each pair of blocks, not for each slice."""
+    heads = regions.groupBy("region").agg(F.min("doc").alias("head"))
+    groups = components(regions.join(heads, "region").select(F.col("doc").alias("a"), F.col("head").alias("b")))
+    own = regions.select("doc", "component").distinct().join(groups, regions["doc"] == groups["node"]).select(
+        groups["component"].alias("region"), "doc", regions["component"].alias("component"))
+    return own.join(own.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region")
+
+
 def _voronoi(docs: DataFrame, regions: DataFrame, join: Join) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links to the drawn pivots; the regions that result; and those that the windows don't part."""
-    draw = F.pmod(F.xxhash64("doc", "region"), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("doc", F.lit(31)), F.lit(1 << 30))  # overlapping regions draw the same documents
     drawn = regions.withColumn("draw", draw)
     least = drawn.groupBy("region").agg(F.min("draw").alias("least"))
     pivots = (drawn.join(least, "region").where((F.col("draw") == F.col("least")) | (F.col("draw") * F.col("size") < F.lit(PIVOTS << 30)))
               .select("region", F.col("doc").alias("pivot")))
     asked = stored(regions.select("region", "doc").join(pivots, "region").where("doc <> pivot"), "asked")
-    far = stored(measured(docs, asked.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), join), "distances")
+    far = stored(measured(docs, asked.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), join), "distances")
     links = far.where(f"{join.of} * both >= {join.least} * union").select("a", "b")
     at = asked.join(far, (asked["doc"] == far["a"]) & (asked["pivot"] == far["b"])).select(
         "region", "doc", "pivot", (1 - F.col("both") / F.col("union")).alias("d"))
@@ -344,6 +371,19 @@ def _voronoi(docs: DataFrame, regions: DataFrame, join: Join) -> tuple[DataFrame
     return links, into, whole
 
 
+def _balls(docs: DataFrame, todo: DataFrame, join: Join) -> DataFrame:
+    """Links of the regions' most central documents. A document is measured against the one that it shares most
+    regions with: that connects most of what is similar, and moves its text once."""
+    central = todo.groupBy("doc").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = todo.join(central, "doc").select("region", "doc", "degree")
+    most = ranked.groupBy("region").agg(F.max("degree").alias("degree"))
+    pivots = ranked.join(most, ["region", "degree"]).groupBy("region").agg(F.min("doc").alias("pivot"))
+    pairs = stored(todo.select("region", "doc").join(pivots, "region").where("doc <> pivot")
+                   .groupBy(F.col("doc").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("n")), "shared")
+    nearest = pairs.join(pairs.groupBy("a").agg(F.max("n").alias("n")), ["a", "n"]).groupBy("a").agg(F.min("b").alias("b"))
+    return measured(docs, nearest, join).where(f"{join.of} * both >= {join.least} * union").select("a", "b")
+
+
 def _unfinished(regions: DataFrame, labels: DataFrame) -> DataFrame:
     """Regions with documents of several components, with these and the number of documents."""
     labelled = stored(regions.join(labels, regions["doc"] == labels["node"], "left").select(
@@ -361,33 +401,32 @@ def link_components(docs: DataFrame, join: Join = Join(), *, id_col: str = "doc_
     thin = coded.where("docs IS NOT NULL").select(F.explode("docs").alias("d")).select("d.*")
     classes = stored(thin.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
-    copies = thin.join(classes.where("rep <> last"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("copy"), "rep").distinct()
+    copies = stored(thin.join(classes.where("rep <> last"), ["h1", "h2"]).where("doc_id <> rep")
+                    .select(F.col("doc_id").alias("doc"), "rep").distinct(), "copies")
     blobs = coded.where("bucket IS NOT NULL")
     groups = max(1, -(-(blobs.agg(F.sum("n")).first()[0] or 0) // ENTRIES))
     met = (blobs.select(F.pmod("bucket", F.lit(groups)).alias("group"), "keys", "ids").groupBy("group").applyInArrow(_meet, REGIONS))
-    near = coded.where("region IS NOT NULL").select("region", "doc", "pivot")
-    regions = stored(met.union(near), "regions")
-    copies = stored(copies, "copies")
-    a, b = (copies.select(F.col("copy").alias(c), F.col("rep").alias(f"{c}_rep")) for c in ("doc", "pivot"))
-    regions = stored(regions.join(a, "doc", "left").join(b, "pivot", "left").select(
-        "region", F.coalesce("doc_rep", "doc").alias("doc"), F.coalesce("pivot_rep", "pivot").alias("pivot")).distinct(), "regions")
-    first = regions.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
-    links = stored(measured(docs, first, join).where(f"{join.of} * both >= {join.least} * union").select("a", "b"), "links")
-    labels = components(links)
-    todo = _unfinished(regions.where("doc <> pivot").select("region", "doc").distinct(), labels)
+    regions = met.union(coded.where("region IS NOT NULL").select("region", "doc")).join(copies, "doc", "left").select(
+        "region", F.coalesce("rep", "doc").alias("doc")).distinct()
+    sizes = thin.where("n_shingles > 0").groupBy(F.col("doc_id").alias("doc")).agg(F.max("n_shingles").alias("n_shingles"))
+    regions = _alike(stored(regions, "regions"), sizes, join)
+    labels = docs.sparkSession.createDataFrame([], "node long, component long")
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    todo = _unfinished(regions, labels)
+    if not todo.isEmpty():
+        links = stored(_balls(docs, todo, join), "links")
+        labels = components(links)
+        todo = _unfinished(todo.select("region", "doc"), labels)
     while not todo.isEmpty():
-        small = todo.where(F.col("size") <= LEAF)
-        new = _joined_in_blocks(docs, small, join)
-        large = todo.where(F.col("size") > LEAF)
-        into = None
+        groups = stored(_merged(todo), "merged")
+        new = _joined_in_blocks(docs, groups.where(F.col("size") <= LARGE), join)
+        large = groups.where(F.col("size") > LARGE)
+        into = todo.where("1 = 0").select("region", "doc")
         if not large.isEmpty():
             pivot_links, into, whole = _voronoi(docs, large.select("region", "doc", "size"), join)
-            whole = _unfinished(whole, labels)
-            new = new.union(pivot_links).union(_joined_in_blocks(docs, whole, join))
+            new = new.union(pivot_links).union(_joined_in_blocks(docs, _unfinished(whole, labels), join))
         links = stored(links.union(new), "links")
         labels = components(links)
-        if into is None:
-            break
         todo = _unfinished(into, labels)
     named = (thin.join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left")
              .withColumn("node", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep"))))

@@ -104,9 +104,10 @@ def related(rng, n, size):
 
 @pytest.mark.parametrize(("join", "leaf", "seed"), [(jaccard.Join(3, 90, 100), 48, 1), (jaccard.Join(1, 80, 100), 3, 2), (jaccard.Join(2, 70, 100), 2, 3)])
 def test_jaccard_join_loses_no_link(spark, monkeypatch, join, leaf, seed):
-    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "LARGE", 2 * leaf)
     monkeypatch.setattr(jaccard, "SHARD", 6000)
     monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", leaf)
     rows = related(random.Random(seed), 150, 60)
     got = collected(jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), join))
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_join(rows, join)
