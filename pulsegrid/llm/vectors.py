@@ -121,7 +121,7 @@ def _code(p: Plan, single: bool) -> Callable:
 
 
 def _visits(p: Plan) -> Callable:
-    """A row for each table and cell that a vector is in."""
+    """A row for each table and cell that a vector is in; a cell is a byte per level (``LIMIT`` is few cells away)."""
     width = 2 * p.window
 
     def run(batches):
@@ -130,19 +130,20 @@ def _visits(p: Plan) -> Callable:
             rows, tables, cells = [], [], []
             for t in range(p.tables if len(batch) else 0):
                 at = np.arange(len(batch))
-                key = np.full(len(batch), t, np.int64)
-                for c in p.routing(t)[:-1]:
+                key = np.zeros((len(batch), p.levels), np.int8)
+                for level, c in enumerate(p.routing(t)[:-1]):
                     home, rest = np.divmod(marks[at, c], width)
                     near = rest >= width - p.window
                     at = np.concatenate([at, at[near]])
-                    key = np.concatenate([key * 64 + home + 32, key[near] * 64 + home[near] + 33])
+                    key = np.concatenate([key, key[near]])
+                    key[:, level] = np.concatenate([home, home[near] + 1])
                 rows.append(at)
                 tables.append(np.full(len(at), t))
-                cells.append(key)
+                cells += map(np.ndarray.tobytes, key)
             if rows:
                 some = batch.take(pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tables), pa.int32()), pa.array(np.concatenate(cells), pa.int64()), *some.columns],
+                    [pa.array(np.concatenate(tables), pa.int32()), pa.array(cells, pa.binary()), *some.columns],
                     ["part", "cell", *batch.schema.names])
     return run
 
@@ -153,7 +154,7 @@ def _pairs(p: Plan, t: int, cell: list[int], marks_a, marks_b, same: bool) -> It
     width, twice = 2 * p.window, np.uint16(2 * p.window)
     order_a, order_b = np.argsort(marks_a[:, last], kind="stable"), np.argsort(marks_b[:, last], kind="stable")
     sorted_a, sorted_b = np.ascontiguousarray(marks_a[order_a].T), np.ascontiguousarray(marks_b[order_b].T)
-    hits = np.empty((ROWS, COLUMNS), np.uint8)
+    hits = np.empty((ROWS, COLUMNS), np.uint8 if p.projections < 256 else np.uint16)  # more than 12 levels need the latter
     apart = np.empty((ROWS, COLUMNS), np.int16)
     for k in range(0, len(order_a), ROWS):
         own = sorted_a[:, k:k + ROWS]
@@ -186,10 +187,7 @@ def _join(p: Plan, single: bool) -> Callable:
     def run(_, table):
         rows = table.to_pydict()
         t, low, high = rows["part"][0], rows["low"][0], rows["high"][0]
-        key, cell = rows["cell"][0], []
-        for _ in range(p.levels):
-            cell.insert(0, key % 64 - 32)
-            key //= 64
+        cell = np.frombuffer(rows["cell"][0], np.int8).tolist()
         block = np.array(rows["block"])
         ids, mult = np.array(rows["vec_id"], np.int64), np.array(rows["n"], np.int64)
         marks = np.stack([np.frombuffer(b, "<i2") for b in rows["marks"]])
@@ -236,7 +234,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
         F.min("vec_id").alias("rep"), F.max("vec_id").alias("last"), F.count(F.lit(1)).alias("n")), "classes")
     own = coded.join(classes.select("digest", "n", F.col("rep").alias("vec_id")), ["digest", "vec_id"]).dropDuplicates(["vec_id", "digest"])
     visits = own.select("vec_id", "n", "dim", "vector", "marks").mapInArrow(
-        _visits(p), "part int, cell long, vec_id long, n long, dim int, vector binary, marks binary")
+        _visits(p), "part int, cell binary, vec_id long, n long, dim int, vector binary, marks binary")
     visits = stored(visits, "visits")
     crowded = (visits.groupBy("part", "cell", "dim").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
                .withColumn("blocks", F.ceil(F.col("size") / BLOCK)).drop("size"))

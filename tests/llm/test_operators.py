@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,28 @@ def test_vectors_against_all_pairs(spark, monkeypatch, cell, block):
     assert got[1006]["component_id"] == 1005 and got[1005]["n_links"] == 1
 
 
+@pytest.mark.parametrize("levels", [1, 10, 11, 12, 13, 20])
+def test_cells_of_any_number_of_levels(levels):
+    p = vectors.plan(int(vectors.CELL / vectors.SHARE ** (levels - 0.5)))
+    assert p.levels == levels
+    width, rng = 2 * p.window, np.random.default_rng(levels)
+    home = rng.integers(-5, 5, p.projections)
+    edge = np.isin(np.arange(p.projections) % (levels + 1), [0, levels - 1])  # where the next cell is visited too
+    marks = (home * width + np.where(edge, width - 200, 200) + rng.integers(-20, 20, (6, p.projections))).astype("<i2")
+    names = ["vec_id", "n", "dim", "vector", "marks"]
+    unit = np.ones(4, "<f8").tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([1] * 6), pa.array([4] * 6), pa.array([unit] * 6), pa.array([m.tobytes() for m in marks])], names)
+    rows = next(vectors._visits(p)([batch])).to_pylist()
+    found = collections.Counter()
+    for t, cell in {(r["part"], r["cell"]) for r in rows}:
+        some = [r | {"low": 0, "high": 0, "block": 0} for r in rows if (r["part"], r["cell"]) == (t, cell)]
+        digits = np.frombuffer(cell, np.int8)
+        assert np.isin(digits - home[p.routing(t)[:-1]], [0, 1]).all()
+        for r in vectors._join(p, False)(None, pa.Table.from_pylist(some)).to_pylist():
+            found[r["vec_id"]] += r["links"] or 0
+    assert all(found[i] == 5 for i in range(6))  # all are near each other: once each, over all tables
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
