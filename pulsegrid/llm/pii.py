@@ -33,7 +33,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import text as tx
 from pulsegrid.llm.store import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -98,7 +97,8 @@ SHAPES = (
     re.compile(r"(?<![\w.])[0-9]{1,3}(?:\[?\.\]?|\s?\[dot\]\s?)[0-9]{1,3}(?:\[?\.\]?|\s?\[dot\]\s?)[0-9]{1,3}(?:\[?\.\]?|\s?\[dot\]\s?)[0-9]{1,3}(?![\w])"),
     re.compile(r"(?<![\w+.])[+(]?[0-9](?:[\x20()./_-]{0,3}[0-9]){6,24}(?!\w)"),
 )
-WORTH = re.compile(r"[0-9]|@|[\[(]\s?at\s?[\])]|\sdot\s", re.I)
+NEEDS = (re.compile(r"(?i)@|\bat\b"), re.compile("[0-9]"), re.compile("[0-9]"))  # what any match of each shape holds
+POSSIBLE = r"(?i)[0-9@]|\bat\b"  # what any span holds, by Arrow, whose \b knows only ASCII letters and so holds more often
 CUES = {"email": {"mail", "email", "e-mail", "contact", "write"}, "phone": {"tel", "phone", "call", "fax", "mobile"},
         "card": {"card", "visa", "mastercard"}, "ip": {"ip", "host", "address", "from"}}
 FEATURES = ("bias", "at", "spelled_at", "spelled_dot", "rich_local", "known_tld", "quads", "quads_small", "luhn", "digits_card",
@@ -109,8 +109,8 @@ WIDTH = len(FEATURES)
 def proposals(text: str) -> list[tuple[int, int]]:
     """Looser spans; of a number in groups, also its runs of whole groups."""
     out = set()
-    for shape in SHAPES:
-        for m in shape.finditer(text):
+    for need, shape in zip(NEEDS, SHAPES, strict=True):
+        for m in shape.finditer(text) if need.search(text) else ():
             out.add(m.span())
             if shape is SHAPES[2]:
                 groups = [(g.start() + m.start(), g.end() + m.start()) for g in re.finditer(r"\+?\(?[0-9]+", m.group())]
@@ -258,7 +258,7 @@ def train(samples: list[tuple[str, str, str, str]], rounds: int = 120, rate: flo
 
 def added(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
     """Spans that the field finds beside the base spans: a lattice for each group of overlapping proposals."""
-    if not np.isfinite(weights[0, 0]) or not WORTH.search(text):
+    if not np.isfinite(weights[0, 0]):
         return []
     taken: list[list[int]] = []
     for a, b in sorted((a, b) for _, a, b in base):
@@ -296,21 +296,11 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _possible(column: pa.Array) -> np.ndarray:
-    """Texts with a digit, an at sign or a bracket; only these, and those with a spelled-out dot, can have spans."""
-    data, offsets = tx.buffers(column)
-    mark = np.zeros(256, bool)
-    mark[[*range(48, 58), 0x40, 0x5B, 0x28]] = True
-    seen = np.concatenate([[0], np.cumsum(mark[data])])
-    return seen[offsets[1:]] > seen[offsets[:-1]]
-
-
 def _texts(column: pa.Array) -> Iterator[str | None]:
-    """Each text, or None where it can hold nothing."""
-    possible = _possible(column)
-    dots = np.array(pc.match_substring(pc.fill_null(column, ""), " dot "), bool)
+    """Each text, or None where it can hold nothing: no pattern and no shape matches without a digit, ``@`` or the word at."""
+    possible = pc.match_substring_regex(pc.fill_null(column, ""), POSSIBLE)
     for i in range(len(column)):
-        yield column[i].as_py() if possible[i] or dots[i] else None
+        yield column[i].as_py() if possible[i].as_py() else None
 
 
 def _sample(batches) -> Iterator[pa.RecordBatch]:

@@ -377,6 +377,23 @@ def test_field_finds_other_formats_and_no_more():
     assert pii.find("thon erat 12 und 2024-01-02, 99.5% of 1000 la der. At dot then", weights)[1] == []
 
 
+def test_spelled_out_addresses_in_texts_without_digits_or_brackets(spark):
+    weights = pii.train(pii_samples()[:100])
+    cases = ["anna.b at example.com", "ANNA.B AT EXAMPLE DOT COM", "anna.b at mail\tdot\tcom", "anna.b@example.com"]
+    texts = [f"thon erat {c} und la" for c in cases]
+    docs = spark.createDataFrame([*enumerate(texts), (9, "Look at the end. Then"), (10, "nothing"), (11, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in collected(pii.detect(docs, weights))}
+    assert [got[k] for k in range(4)] == [f"email:10:{10 + len(c)}" for c in cases]
+    assert got[9] == got[10] == got[11] == ""
+    clean = {r["doc_id"]: r["text"] for r in collected(pii.redacted(docs, weights))}
+    assert all(clean[k] == "thon erat <EMAIL> und la" for k in range(4)) and clean[9] == "Look at the end. Then"
+    rng = random.Random(4)  # a text that is passed over holds no proposal and no base span
+    for _ in range(3000):
+        text = "".join(rng.choice(["at", "AT", "dot", " ", ".", "@", "[", "]", "é", "x", "1", "(", ")", "-"]) for _ in range(12))
+        if next(pii._texts(pa.array([text]))) is None:
+            assert not pii.base_spans(text) and not any(s.search(text) for s in pii.SHAPES)
+
+
 def test_dynamic_program_beats_all_segmentations():
     weights = np.random.default_rng(3).standard_normal((4, pii.WIDTH))
     text = "tel (212) 555-0100 212-555-0101 and 10[.]0[.]0[.]1 x"
