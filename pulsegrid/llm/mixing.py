@@ -3,10 +3,11 @@
 Documents of a source are dealt into blocks in the order of a hash. Block ``i`` (from 1) of a source with
 weight ``w`` is released at slot ``floor((i-1)/w)`` and due by slot ``ceil(i/w)``; each slot takes the released
 block that is due first. While every source lasts, the number of blocks a source has had by any slot ``t``
-differs from ``w*t`` by less than one block. Weights are multiples of 1/``SLOTS``, so the order repeats after
-``SLOTS`` slots: it is worked out once, from the weights alone, and every block finds its slot by arithmetic
-and one join with that table (at most ``SLOTS`` rows a phase). When a source runs out, a new phase begins in
-which the others share its slots by their weights; so no document is left out.
+differs from ``w*t`` by less than one block. Weights are the exact fractions that the given numbers stand for.
+The order depends on the weights and the sources' numbers of blocks alone: the driver works it out, one heap
+step a block, and writes it as a table with the slots of ``SLOTS`` consecutive blocks of a source in a row, which
+documents are joined with. When a source runs out, a new phase begins in which the others share its slots by
+their weights; so no document is left out.
 
 * null source: a source of its own, named by ``null_source``; null, empty or long texts are not looked at;
 * a source without a weight, or with weight 0, comes after all others, in weight order of equals;
@@ -18,81 +19,60 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Mapping
+from array import array
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
-from math import isqrt
+from itertools import count
+from math import isqrt, lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.store import stored
+from pulsegrid.session import scratch
 
 BLOCK = 16
-SLOTS = 1000
+SLOTS = 1000  # of a source in a row of the schedule
+WRITTEN = 1 << 20  # slots that are written at a time
+SMALL = 1 << 20  # slots up to which the schedule is broadcast
 OUTPUT = ["block", "phase", "slot", "position"]
 
 
-def shares(weights: Mapping[str, float], slots: int = SLOTS) -> dict[str, int]:
-    """Weights as whole slots of a period, each at least one, by largest remainder; ties by name."""
-    names = sorted(n for n, w in weights.items() if w > 0)
-    slots = max(slots, len(names))
-    total = sum(Fraction(weights[n]) for n in names)
-    exact = {n: Fraction(weights[n]) / total * slots for n in names}
-    out = {n: max(1, int(exact[n])) for n in names}
-    order = sorted(names, key=lambda n: (out[n] - exact[n], n))
-    left, i = slots - sum(out.values()), 0
-    while left > 0:
-        out[order[i % len(order)]] += 1
-        left, i = left - 1, i + 1
-    for n in sorted(names, key=lambda n: (exact[n] - out[n], n)):
-        while left < 0 and out[n] > 1 and exact[n] < out[n]:
-            out[n], left = out[n] - 1, left + 1
-    while left < 0:  # more tiny weights than the largest ones can make room for one by one
-        big = max(names, key=lambda n: (out[n], n))
-        out[big], left = out[big] - 1, left + 1
-    return out
-
-
-def period(share: Mapping[str, int]) -> list[str]:
-    """Source of each slot: earliest deadline first among the released blocks; ties by name."""
-    slots = sum(share.values())
-    done = dict.fromkeys(share, 0)
-    waiting = [(0, n) for n in sorted(share)]
-    ready: list[tuple[int, str]] = []
-    out = []
-    for t in range(slots):
-        while waiting and waiting[0][0] <= t:
-            _, n = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(done[n] + 1) * slots // share[n]), n))
-        _, n = heapq.heappop(ready)
-        out.append(n)
-        done[n] += 1
-        heapq.heappush(waiting, (done[n] * slots // share[n], n))
-    return out
-
-
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int = SLOTS) -> list[dict]:
-    """For each phase: first slot, first block of each source, and its period. One phase ends per source."""
+def shares(weights: Mapping[str, float], slots: int = 1) -> dict[str, Fraction]:
+    """What each source should get of ``slots`` slots: exactly, not rounded."""
+    given = {n: Fraction(w) for n, w in sorted(weights.items()) if w > 0}
+    total = sum(given.values())
+    return {n: w / total * slots for n, w in given.items()}
+
+
+def schedule(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple[int, int, str, int]]:
+    """Phase, slot, source and block, slot by slot: earliest deadline first among the released blocks; ties by name.
+
+    One phase ends per source.
+    """
     left = {n: b for n, b in blocks.items() if b > 0}
-    taken, start, out = dict.fromkeys(left, 0), 0, []
+    taken, slot, phase = dict.fromkeys(left, 0), 0, 0
     while left:
-        active = {n: weights.get(n, 0) for n in left if weights.get(n, 0) > 0} or dict.fromkeys(left, 1.0)
-        share = shares(active, slots)
-        order = period(share)
-        places: dict[str, list[int]] = {n: [] for n in share}
-        for t, n in enumerate(order):
-            places[n].append(t)
-        ends = {n: (left[n] - 1) // share[n] * len(order) + places[n][(left[n] - 1) % share[n]] for n in share}
-        last = min(ends.values()) + 1
-        out.append({"start": start, "first": {n: taken[n] for n in share}, "order": order, "share": share})
-        for n in share:
-            used = last // len(order) * share[n] + sum(p < last % len(order) for p in places[n])
-            taken[n] += used
-            left[n] -= used
+        share = shares({n: weights.get(n, 0) for n in left if weights.get(n, 0) > 0} or dict.fromkeys(left, 1))
+        whole = lcm(*(w.denominator for w in share.values()))  # weights are multiples of 1/whole
+        part = {n: int(w * whole) for n, w in share.items()}
+        done = dict.fromkeys(share, 0)
+        waiting, ready = [(0, n) for n in share], []
+        for t in count():
+            while waiting and waiting[0][0] <= t:
+                _, n = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(done[n] + 1) * whole // part[n]), n))
+            _, n = heapq.heappop(ready)
+            yield phase, slot, n, taken[n]
+            slot, done[n], taken[n], left[n] = slot + 1, done[n] + 1, taken[n] + 1, left[n] - 1
+            if not left[n]:
+                break
+            heapq.heappush(waiting, (done[n] * whole // part[n], n))
         left = {n: b for n, b in left.items() if b > 0}
-        start += last
-    return out
+        phase += 1
 
 
 def tempered(counts: Mapping[str, int]) -> dict[str, float]:
@@ -114,9 +94,37 @@ def _ranked(docs: DataFrame, keys: list[str]) -> DataFrame:
             .withColumn("_rank", F.col("_off") + F.col("_at")).drop("_part", "_off", "_at"))
 
 
-def _inline(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A small table worked out on the driver."""
-    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
+def _scheduled(spark: SparkSession, blocks: Mapping[str, int], weights: Mapping[str, float],
+               chunk: int) -> tuple[DataFrame, list[int], dict[str, int]]:
+    """The slots of each source, ``chunk`` blocks to a row; the first slot of each phase; the last slot of each source."""
+    path, schema = scratch(spark, "slots"), "_source string, _chunk long, _slots array<long>"
+    starts: list[int] = []
+    last: dict[str, int] = {}
+    opened: dict[str, array] = {}
+    full: list[tuple[str, int, array]] = []
+
+    def write() -> None:
+        names, chunks, slots = zip(*full, strict=True) if full else ((), (), ())
+        bounds = np.cumsum([0, *map(len, slots)])
+        flat = pa.array(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in slots)]))
+        table = pa.table({"_source": pa.array(names, pa.string()), "_chunk": pa.array(chunks, pa.int64()),
+                          "_slots": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)})
+        spark.createDataFrame(table, schema).write.mode("append").parquet(path)
+        full.clear()
+
+    for phase, slot, n, b in schedule(blocks, weights):
+        if phase == len(starts):
+            starts.append(slot)
+        last[n] = slot
+        own = opened.setdefault(n, array("q"))
+        own.append(slot)
+        if len(own) == chunk:
+            full.append((n, b // chunk, opened.pop(n)))
+            if len(full) * chunk >= WRITTEN:
+                write()
+    full += [(n, (blocks[n] - 1) // chunk, own) for n, own in opened.items()]
+    write()
+    return spark.read.schema(schema).parquet(path), starts, last
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, id_col: str = "doc_id",
@@ -124,45 +132,27 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, id_col:
     """The documents with ``block`` (of the source), ``phase``, ``slot`` (of the block) and ``position``.
 
     ``position`` counts documents from 0 without gaps. ``weights`` defaults to :func:`tempered` sizes. On the
-    driver: one number per source and at most ``slots`` names per phase, whatever the size of the corpus.
+    driver: one number per source, at most ``slots`` slots of each source's blocks, and those not yet written out.
     """
     own = [c for c in docs.columns if c not in OUTPUT]
     hidden = docs.select(*own, F.coalesce(F.col(source_col).cast("string"), F.lit(null_source)).alias("_source"),
                          F.xxhash64(F.col(id_col), F.lit(17)).alias("_hash"))
     ranked = _ranked(hidden, ["_source", "_hash", id_col])
     counts = {r["_source"]: r["n"] for r in ranked.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = phases({n: -(-c // block) for n, c in counts.items()}, weights or tempered(counts), slots)
-    begins: dict[str, list[dict]] = {}
-    places, short = [], []
-    for k, phase in enumerate(plan):
-        seen = dict.fromkeys(phase["share"], 0)
-        for n, share in phase["share"].items():
-            begins.setdefault(n, []).append({"phase": k, "first": phase["first"][n], "share": share,
-                                             "start": phase["start"], "period": len(phase["order"])})
-        for t, n in enumerate(phase["order"]):
-            places.append({"phase": k, "_source": n, "nth": seen[n], "at": t})
-            seen[n] += 1
-    for n, c in counts.items():  # the last block of a source may be short: what follows moves up
-        last = -(-c // block) - 1
-        b = [b for b in begins[n] if b["first"] <= last][-1]
-        nth = (last - b["first"]) % b["share"]
-        at = next(p["at"] for p in places if (p["phase"], p["_source"], p["nth"]) == (b["phase"], n, nth))
-        short.append({"slot": b["start"] + (last - b["first"]) // b["share"] * b["period"] + at,
-                      "by": (last + 1) * block - c})
     spark = docs.sparkSession
-    entry = "phase: int, first: long, share: long, start: long, period: long"
-    sources = _inline(spark, [{"_source": n, "_begins": b} for n, b in begins.items()],
-                      f"_source: string, _begins array<struct<{entry}>>")
-    table = _inline(spark, places, "phase: int, _source: string, nth: long, at: long")
+    blocks = {n: -(-c // block) for n, c in counts.items()}
+    table, starts, last = _scheduled(spark, blocks, weights or tempered(counts), slots)
+    if sum(blocks.values()) <= SMALL:
+        table = F.broadcast(table)
+    # the last block of a source may be short: what follows moves up
+    short = [{"slot": last[n], "by": blocks[n] * block - c} for n, c in counts.items()]
     gaps = F.from_json(F.lit(json.dumps(short)), "array<struct<slot:long,by:long>>")
-    now = F.col("_now")
+    begins = F.from_json(F.lit(json.dumps(starts)), "array<long>")
     return (
-        ranked.withColumn("block", F.floor(F.col("_rank") / block))
-        .join(F.broadcast(sources), "_source")  # a row per source
-        .withColumn("_now", F.element_at(F.filter("_begins", lambda b: b["first"] <= F.col("block")), -1))
-        .withColumn("phase", now["phase"]).withColumn("nth", F.pmod(F.col("block") - now["first"], now["share"]))
-        .join(F.broadcast(table), ["phase", "_source", "nth"])  # at most ``slots`` rows a phase
-        .withColumn("slot", now["start"] + F.floor((F.col("block") - now["first"]) / now["share"]) * now["period"] + F.col("at"))
+        ranked.withColumn("block", F.floor(F.col("_rank") / block)).withColumn("_chunk", F.floor(F.col("block") / slots))
+        .join(table, ["_source", "_chunk"])  # a row per source and ``slots`` of its blocks
+        .withColumn("slot", F.get("_slots", (F.col("block") % slots).cast("int")))
+        .withColumn("phase", F.size(F.filter(begins, lambda b: b <= F.col("slot"))) - 1)
         .withColumn("position", F.col("slot") * block + F.col("_rank") % block - F.aggregate(
             F.filter(gaps, lambda g: g["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda s, g: s + g["by"]))
         .select(*own, "block", "phase", "slot", "position")

@@ -1,6 +1,7 @@
 """The ten operators next to brute force, on small, awkward and random inputs."""
 
 import collections
+import fractions
 import hashlib
 import math
 import random
@@ -452,6 +453,30 @@ def test_mixing_deviates_by_less_than_a_block(spark, weights):
             assert all(abs(done[n] - t * k / sum(share.values())) < 1 for n, k in share.items())
 
 
+def test_mixing_follows_the_weights_as_given_over_many_periods(spark):
+    weights = {f"s{k}": w for k, w in enumerate([0.13958, 0.04528, 1e-9, 1 / 3, *[0.0123 + k / 7919 for k in range(16)]])}
+    total = sum(map(fractions.Fraction, weights.values()))
+    done = collections.Counter()
+    for t, (phase, slot, n, b) in enumerate(mixing.schedule(dict.fromkeys(weights, 100_000), weights), 1):
+        assert (phase, slot, b) == (0, t - 1, done[n])
+        done[n] += 1
+        if t % 97 == 0:
+            assert all(abs(done[n] * total - t * fractions.Fraction(w)) < total for n, w in weights.items())
+        if t == 60_000:
+            break
+    rows = [(i, f"s{min(i % 60, 20)}") for i in range(60_000)]  # s20 has two thirds
+    given = mixing.tempered(collections.Counter(s for _, s in rows))
+    given["s20"] *= 1.0007
+    got = collected(mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), given, block=2, slots=50))
+    assert sorted(r["position"] for r in got) == list(range(len(rows)))
+    order = sorted({(r["slot"], r["source"]) for r in got if r["phase"] == 0})
+    done.clear()
+    for t, (_, n) in enumerate(order, 1):
+        done[n] += 1
+        assert all(abs(done[n] - t * w / sum(given.values())) < 1 + 1e-9 for n, w in given.items())
+    assert len(order) > 3000
+
+
 def test_mixing_of_awkward_documents(documents, nothing):
     got = mixing.mix(documents).collect()
     assert sorted(r["position"] for r in got) == list(range(documents.count()))
