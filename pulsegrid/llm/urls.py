@@ -11,7 +11,7 @@ are decided on and join back to their pages, and components come from combined a
 alias group with a third of all rows stays spread.
 
 * null url or one without ``://``: host and path are empty, no rule fits, verdict allow, rule null;
-* null html, or html without links: no edges but the normal form; a link to no absolute or rooted url: no edge;
+* null html, or html without links: no edges but the normal form; a link that resolves to no url with ``://``: no edge;
 * repeated pages: each row gets its verdict; empty tables give no rows; extra columns are left out.
 """
 
@@ -32,7 +32,7 @@ CANONICAL = r"""(?i)<link[^>]*rel=["']?canonical["']?[^>]*>"""
 HREF = r"""(?i)href=["']?([^"'>\s]+)"""
 REFRESH = r"""(?i)<meta[^>]*http-equiv=["']?refresh["']?[^>]*>"""
 TARGET = r"""(?i)url=["']?([^"'>\s;]+)"""
-TRACKING = r"[?](utm_[a-z]+|fbclid|gclid)=[^&#]*(#|$)"
+TRACKING = "^(utm_[a-z]+|fbclid|gclid)="
 
 
 def rules(spark: SparkSession, listed: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -50,27 +50,50 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 
 def normal_form(url: Column) -> Column:
-    """Without fragment, without a query that only tracks, https for http."""
-    url = F.regexp_replace(F.regexp_replace(url, TRACKING, ""), "(?s)#.*$", "")
-    return F.regexp_replace(url, "^http://", "https://")
+    """Without fragment and tracking parameters, https for http; a query of nothing else goes."""
+    whole = F.regexp_extract(url, "(?s)^([^#]*)", 1)
+    every = F.split(F.regexp_extract(whole, "(?s)^[^?]*[?](.*)$", 1), "&")
+    kept = F.filter(every, lambda x: ~x.rlike(TRACKING))
+    query = F.array_join(kept, "&")
+    cut = F.concat(F.regexp_extract(whole, "(?s)^([^?]*)", 1), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.regexp_replace(F.when(F.size(kept) < F.size(every), cut).otherwise(whole), "^http://", "https://")
+
+
+def without_dots(path: Column) -> Column:
+    """A rooted path without the segments ``.`` and ``..``."""
+    step = F.split(path, "/")
+    walked = F.aggregate(F.slice(step, 2, F.size(step)), F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done)
+                         .when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x)))
+    end = F.when(F.element_at(step, -1).isin(".", "..") & (F.size(walked) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(walked, "/"), end)
 
 
 def resolved(target: Column, url: Column) -> Column:
-    """An absolute target as it is, a rooted one on the url's host, else null."""
+    """The absolute url of a link's target on a page (RFC 3986; a ``base`` element isn't looked at); null where it isn't one with ``://``."""
     base = F.regexp_extract(url, "^([^:/?#]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(url, "^([^:/?#]*:)//", 1)
-    return (F.when(target.contains("://"), target).when(target.startswith("//"), F.concat(scheme, target))
-            .when(target.startswith("/"), F.concat(base, target)))
+    page = F.regexp_extract(url, "^[^:/?#]*://[^/?#]*([^?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(page, "(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    path, rest = F.regexp_extract(target, "^([^?#]*)", 1), F.regexp_extract(target, "(?s)^[^?#]*(.*)$", 1)
+    return (F.when(target == "", None).when(target.rlike("^[^:/?#]*://"), target)
+            .when(target.startswith("//"), F.concat(scheme, target))
+            .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)  # mailto: and the like
+            .when(target.startswith("/"), F.concat(base, without_dots(path), rest))
+            .when(target.startswith("#"), F.concat(F.regexp_extract(url, "(?s)^([^#]*)", 1), target))
+            .when(target.startswith("?"), F.concat(base, page, target))
+            .otherwise(F.concat(base, without_dots(F.concat(folder, path)), rest)))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """``(a, b)`` urls of the same content: canonical links, immediate redirects, normal forms."""
+    """``(a, b)`` urls of the same content: canonical links, immediate redirects, normal forms of both ends of these and of all urls."""
     url, html = F.col("url"), F.col("html")
     targets = F.array(
         resolved(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1), url),
-        resolved(F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1), url),
-        normal_form(url))
-    return (pages.where(url.contains("://")).select(url.alias("a"), F.explode(targets).alias("b"))
+        resolved(F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1), url))
+    ends = F.array_append(targets, url)
+    links = F.concat(F.transform(targets, lambda b: F.struct(url.alias("a"), b.alias("b"))),
+                     F.transform(ends, lambda a: F.struct(a.alias("a"), normal_form(a).alias("b"))))
+    return (pages.where(url.contains("://")).select(F.explode(links).alias("e")).select("e.a", "e.b")
             .where(F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct())
 
 

@@ -327,6 +327,28 @@ def test_blocks_reach_aliases(spark):
     assert {r["verdict"] for r in collected(urls.judge(pages, urls.rules(spark, [])))} == {"allow"}
 
 
+def test_aliases_by_normal_forms_and_relative_links(spark):
+    forms = {"http://h.org/a?utm_source=f#top": "https://h.org/a", "http://h.org/a?utm_source=f&utm_medium=m": "https://h.org/a",
+             "https://h.org/a?id=3&utm_source=f&gclid=1&x=4": "https://h.org/a?id=3&x=4", "https://h.org/a?fbclid=1&id=3": "https://h.org/a?id=3",
+             "https://h.org/a?#t": "https://h.org/a?", "https://h.org/a?id=&&x": "https://h.org/a?id=&&x", "http://h.org/a#b?utm_source=f": "https://h.org/a",
+             "http://h.org/a&utm_source=f": "https://h.org/a&utm_source=f"}
+    links = {("page.html", "http://h.org/d/a?q#f"): "http://h.org/d/page.html", ("../x?y=../z", "http://h.org/d/e/a"): "http://h.org/d/x?y=../z",
+             ("./", "http://h.org/d/a"): "http://h.org/d/", ("..", "http://h.org/d/a/b"): "http://h.org/d/", ("../../..", "http://h.org/d/a"): "http://h.org/",
+             ("p", "http://h.org"): "http://h.org/p", ("?q", "http://h.org/d/a?x"): "http://h.org/d/a?q", ("#q", "http://h.org/d/a?x#y"): "http://h.org/d/a?x#q",
+             ("/go?to=http://x.org/", "http://h.org/d"): "http://h.org/go?to=http://x.org/", ("go?to=http://x.org/", "http://h.org/d/"): "http://h.org/d/go?to=http://x.org/",
+             ("//x.org/a", "http://h.org/d"): "http://x.org/a", ("https://x.org", "http://h.org/d"): "https://x.org", ("mailto:a@b.org", "http://h.org/d"): None, ("", "http://h.org/d"): None}
+    got = spark.createDataFrame(list(forms), "string").select("value", urls.normal_form(F.col("value")).alias("n"))
+    assert {r["value"]: r["n"] for r in got.collect()} == forms
+    got = spark.createDataFrame(list(links), "t string, u string").select("t", "u", urls.resolved(F.col("t"), F.col("u")).alias("r"))
+    assert {(r["t"], r["u"]): r["r"] for r in got.collect()} == links
+    link = '<link rel="canonical" href="{}">'
+    rows = [(1, "http://b.net/es/1", link.format("https://m.org/1")), (2, "http://m.org/1?utm_source=f&utm_medium=m#t", None),
+            (3, "http://n.org/d/a", link.format("http://m.org/1#z")), (4, "https://o.org/d/b.html", None), (5, "http://b.net/es/2", link.format("http://o.org/d/b.html#q")),
+            (6, "https://p.org/d/c", link.format("e")), (7, "https://p.org/d/e?gclid=4#x", link.format("http://b.net/fr/")), (8, "http://m.org/1t", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"] for r in collected(urls.judge(pages, urls.rules(spark, RULES))) if r["verdict"] == "block"} == set(range(1, 8))
+
+
 # ---- 7 ----
 
 PLAIN = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
