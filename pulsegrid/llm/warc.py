@@ -10,8 +10,10 @@ name it. Payloads move once, by record id, to the tasks that write them, so a pa
 share is spread evenly.
 
 * null payload: empty, a response; null url: an empty target; payloads below ``MIN_BYTES``: responses;
-* repeated ids with equal payloads of at least ``MIN_BYTES``: one row stays a response, chosen by row order of
-  equal rows, the others revisit it; with different payloads each is judged on its own payload;
+* repeated ids with equal payloads of at least ``MIN_BYTES``: the rule goes by id, so every row of the largest id is a
+  response with its payload, and all rows of the other ids revisit it; with different payloads each is judged on its own;
+* null ids: never the largest. They revisit an equal payload's largest id; where all its ids are null, they are
+  responses. Their record ids are made of url and payload and read back as null;
 * an empty table gives an archive without records and no rows; extra columns are left out;
 * one file holds at most ``FILE_RECORDS`` records; a record is in one task's memory, as is a file when read.
 """
@@ -36,11 +38,13 @@ RECORD = ("record_id string, record_type string, target_uri string, refers_to_id
 
 
 def record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(">"))
+    """``null-`` and a hash of url and payload for a null id, which :func:`page_of` reads back as null."""
+    nameless = F.concat(F.lit("null-"), F.sha1(F.concat_ws(" ", F.coalesce(F.col("digest"), F.lit("")), F.col("url")).cast("binary")))
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), nameless), F.lit(">"))
 
 
 def page_of(record: Column) -> Column:
-    return F.regexp_extract(record, "<urn:page:(-?[0-9]+)>", 1).cast("long")
+    return F.regexp_extract(record, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
 
 
 def resolved(records: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -49,10 +53,10 @@ def resolved(records: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     full = records.select("id", "url", payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"),
                           F.octet_length(payload).cast("long").alias("bytes"))
     headers = full.where(F.col("bytes") >= min_bytes).select("id", "digest")
-    originals = headers.groupBy("digest").agg(F.max("id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    revisits = (headers.join(originals, "digest").where("id <> original")
-                .select("id", "digest", "original").distinct())
-    return (full.join(revisits, ["id", "digest"], "left")
+    originals = headers.groupBy("digest").agg(F.max("id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1 AND original IS NOT NULL")
+    revisits = (headers.join(originals, "digest").where("id IS NULL OR id <> original")
+                .select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "original").distinct())
+    return (full.join(revisits, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id")), "left").drop("_id", "_digest")
             .withColumn("kind", F.when(F.col("original").isNull(), "response").otherwise("revisit")))
 
 

@@ -214,6 +214,17 @@ def test_archives_round_trip(spark):
     assert warc.deduplicate(pages.where("1 = 0"), scratch(spark, "warc")).count() == 0
 
 
+def test_archives_of_null_and_repeated_ids(spark):
+    big, alone = "b" * 1200, "c" * 1200
+    rows = [(None, "u", big), (7, "u", big), (7, "u", big), (5, "v", big), (None, "w", alone), (None, None, alone), (None, "x", "small"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = collected(warc.deduplicate(pages, scratch(spark, "warc")))
+    assert all(r["digest_ok"] for r in got)
+    assert (collections.Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got)
+            == {(7, 1200, "response", None): 2, (None, 1200, "revisit", 7): 1, (5, 1200, "revisit", 7): 1,
+                (None, 1200, "response", None): 2, (None, 5, "response", None): 1, (None, 0, "response", None): 1})
+
+
 # ---- 4 ----
 
 def test_classifier_orders_grades(spark):
