@@ -44,8 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, vocabulary())
+    """Pieces of all documents in sequences of at most 2048 tokens; sequence ids follow the mixed order."""
+    return packing.pack_in_order(docs, vocabulary())
 
 
 STAGES = [

@@ -80,7 +80,7 @@ def tempered(counts: Mapping[str, int]) -> dict[str, float]:
     return {n: float(isqrt(c * 1_000_000)) for n, c in counts.items()}
 
 
-def _ranked(docs: DataFrame, keys: list[str]) -> DataFrame:
+def ranks(docs: DataFrame, keys: list[str]) -> DataFrame:
     """0-based rank of each row in its source: ranged by Spark, so no source is one task's."""
     ranged = stored(docs.repartitionByRange(*keys).sortWithinPartitions(*keys)
                     .withColumn("_at", F.monotonically_increasing_id()), "ranged")
@@ -137,7 +137,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, id_col:
     own = [c for c in docs.columns if c not in OUTPUT]
     hidden = docs.select(*own, F.coalesce(F.col(source_col).cast("string"), F.lit(null_source)).alias("_source"),
                          F.xxhash64(F.col(id_col), F.lit(17)).alias("_hash"))
-    ranked = _ranked(hidden, ["_source", "_hash", id_col])
+    ranked = ranks(hidden, ["_source", "_hash", id_col])
     counts = {r["_source"]: r["n"] for r in ranked.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = docs.sparkSession
     blocks = {n: -(-c // block) for n, c in counts.items()}

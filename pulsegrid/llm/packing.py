@@ -8,6 +8,10 @@ Best-fit decreasing orders all pieces, so it runs on groups of about ``GROUP`` p
 a hash of the document; a group leaves a partly filled window or two, which at that size is next to nothing.
 Only lengths are moved, never the ids. Rows out are the same on every run and on any retry.
 
+:func:`pack_in_order` keeps to the order of a table: its groups are consecutive stretches of ``STRETCH`` pieces, and
+the windows of each are numbered by their first piece, so sequence ids follow the table. A group still leaves only a
+partly filled window or two, one in a few hundred.
+
 * null text: empty, i.e. the separator alone; empty tables give no rows;
 * ties: pieces of equal length go by document id and start, windows of equal capacity by the last one opened;
 * repeated document ids: every row is packed, as its own document;
@@ -16,6 +20,7 @@ Only lengths are moved, never the ids. Rows out are the same on every run and on
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,15 +28,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import text as tx
+from pulsegrid.llm.mixing import ranks
 from pulsegrid.llm.store import stored
 
 WINDOW = 2048
 SEPARATOR = 1
 GROUP = 50_000
+STRETCH = 1024
 CACHE = 400_000  # distinct words a worker remembers the ids of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -148,23 +156,25 @@ def _pieces(vocabulary: str, window: int, separator: int) -> Callable:
     def run(batches):
         words = word_ids(vocabulary)
         for batch in batches:
-            doc, out = batch.column(0).to_pylist(), []
+            doc, out, more = batch.column(0).to_pylist(), [], batch.num_columns - 2  # a place, or nothing
+            places = batch.column(2).to_pylist() if more else None
             for row, ids in tokenised(batch.column(1), words):
                 ids = np.append(ids, separator).astype("<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start:start + window]
-                    out.append((doc[row], start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
+                    out.append((doc[row], start, len(piece), zlib.crc32(piece.tobytes()), len(ids), *([places[row]] if more else [])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * (5 + more))],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"][:5 + more])
     return run
 
 
 def pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text",
-           window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
-    """One row per full window and per remainder of each document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_pieces(vocabulary, window, separator), PIECES)
+           window: int = WINDOW, separator: int = SEPARATOR, place: Column | None = None) -> DataFrame:
+    """One row per full window and per remainder of each document; with its document's ``place`` if that is given."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       *([] if place is None else [place.cast("long").alias("place")]))
+    return rows.mapInArrow(_pieces(vocabulary, window, separator), PIECES if place is None else PIECES + ", place long")
 
 
 class OpenWindows:
@@ -245,3 +255,53 @@ def pack(cut: DataFrame, *, window: int = WINDOW, group: int = GROUP) -> DataFra
 def pack_documents(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, separator: int = SEPARATOR,
                    group: int = GROUP) -> DataFrame:
     return pack(pieces(docs, vocabulary, window=window, separator=separator), window=window, group=group)
+
+
+def _pack_stretches(window: int) -> Callable:
+    names = [f.split()[0] for f in PIECES.split(", ")]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        """A group's rows, its windows numbered by their first piece."""
+        opened, put, first = OpenWindows(window), [], {}
+        for *_, length, _, _, place, start in rows:
+            at, used = opened.place(length)
+            put.append((at, used))
+            first[at] = min(first.get(at, (place, start)), (place, start))
+        number = {at: k for k, at in enumerate(sorted(first, key=first.get))}
+        out = [(doc, start, length, crc, tokens, (g << 36) + number[at], used)
+               for (g, doc, length, crc, tokens, _, start), (at, used) in zip(rows, put, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [*names, "sequence_id", "offset"])
+
+    def run(batches):
+        rows: list[tuple] = []
+        for batch in batches:  # rows come sorted: group, then longest first
+            columns = ("bin_group", "doc_id", "length", "ids_crc32", "doc_tokens", "place", "start")
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if rows and rows[0][0] != row[0]:
+                    yield packed(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield packed(rows)
+    return run
+
+
+def place_in_table(docs: DataFrame) -> Column:
+    """File and row position of a Parquet table's rows, as one ascending number; of other rows, Spark's own order."""
+    try:
+        files = [r[0] for r in docs.select("_metadata.file_path", "_metadata.row_index").select("file_path").distinct().collect()]
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    order = sorted(files, key=lambda f: (len(f), f))  # part numbers grow by a digit
+    known = F.from_json(F.lit(json.dumps(order)), "array<string>")
+    return (F.array_position(known, F.col("_metadata.file_path")) * F.lit(1 << 40)) + F.col("_metadata.row_index")
+
+
+def pack_in_order(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, separator: int = SEPARATOR,
+                  group: int = STRETCH) -> DataFrame:
+    """As :func:`pack_documents`, in groups of consecutive pieces; sequence ids follow the rows of the table."""
+    cut = pieces(docs, vocabulary, window=window, separator=separator, place=place_in_table(docs))
+    ranked = ranks(cut.withColumn("_source", F.lit("")), ["place", "start"])
+    ordered = (ranked.withColumn("bin_group", F.floor(F.col("_rank") / group)).drop("_source", "_rank").repartition("bin_group")
+               .sortWithinPartitions("bin_group", F.desc("length"), "place", "start"))
+    return ordered.mapInArrow(_pack_stretches(window), PACKED)

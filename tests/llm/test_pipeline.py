@@ -47,3 +47,18 @@ def test_stages_of_awkward_documents(spark, documents, nothing):
             docs = corpus_pipeline.stored(stage(spark, docs, SF), name)
             assert name == "packing" or docs.columns == documents.columns
         assert docs.columns[0] == "doc_id"
+
+
+def test_sequences_follow_the_mix(spark):
+    sizes = {"hot": 3000, "b": 1000, "c": 1000, "d": 1000}
+    rows = [(i, "some words of a text " * (20 + i % 37), "en", s, 0) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.stored(corpus_pipeline.mix_sources(spark, docs, SF), "mixed")
+    packed = corpus_pipeline.pack_sequences(spark, mixed, SF).where("start = 0").orderBy("sequence_id", "offset").collect()
+    assert sorted(r["doc_id"] for r in packed) == list(range(6000))
+    names = [rows[r["doc_id"]][3] for r in packed]
+    weights = {s: n ** 0.5 for s, n in sizes.items()}
+    for begin in range(0, 4000, 500):  # all sources last until about document 4,700
+        for s, w in weights.items():
+            assert abs(names[begin:begin + 500].count(s) / 500 - w / sum(weights.values())) < 0.09
+    assert set(names[5200:]) == {"hot"}
