@@ -23,10 +23,15 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: that with the smallest id. A null id is a group of its own."""
-    groups = jaccard.link_components(docs, NEAR)
-    gone = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of similar ones: that with the smallest id, null last. Rows without words are groups of their own."""
+    plain = [f"column_{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    named = dict(zip(docs.columns, plain, strict=True))
+    rows = stored(docs.toDF(*plain).withColumn("row_id", F.monotonically_increasing_id()), "rows")  # ids repeat, rows don't
+    groups = jaccard.link_components(rows, NEAR, id_col="row_id", text_col=named["text"]).select(F.col("doc_id").alias("row_id"), "component_id")
+    own = F.col(named["doc_id"])
+    first = (groups.join(rows.select("row_id", own.isNull().alias("nameless"), own.alias("id")), "row_id").groupBy("component_id")
+             .agg(F.min(F.struct("nameless", "id", "row_id")).alias("first")).select("first.row_id"))
+    return rows.join(stored(first, "first"), "row_id", "left_semi").select(*plain).toDF(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,16 @@ def test_sequences_follow_the_mix(spark):
         for s, w in weights.items():
             assert abs(names[begin:begin + 500].count(s) / 500 - w / sum(weights.values())) < 0.09
     assert set(names[5200:]) == {"hot"}
+
+
+def test_one_row_of_each_group_of_near_duplicates(spark):
+    def text(k):
+        return " ".join(f"w{k}x{i}" for i in range(60))
+
+    rows = [(1, text(1)), (1, text(1)), (1, text(1)), (4, text(1) + " end"), (None, text(2)), (None, text(2)), (None, text(1)),
+            (5, text(3)), (6, text(3)), (6, text(4)), (None, text(5)), (7, text(5)), (8, ""), (9, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(1, text(1)), (None, text(2)), (5, text(3)), (6, text(4)), (7, text(5)), (8, ""), (9, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
