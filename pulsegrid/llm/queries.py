@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +164,41 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.vectors import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+AUDIT_SQL = r"""
+WITH split AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+          'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+          'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)} AS f
+  FROM split LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, good, toxic, [f.A, f.B, f.C, f.D, f.E] AS fails, count(*) AS n FROM failing GROUP BY ALL),
+letters(l) AS (VALUES (1), (2), (3), (4), (5)),
+orders AS (
+  SELECT [a.l, b.l, c.l, d.l, e.l] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT o, s.l AS step FROM orders, letters s),
+judged AS (
+  SELECT part, o, step, n, good, toxic, fails[o[step]] AS here,
+         len(list_filter(o[:step - 1], lambda k: fails[k])) > 0 AS before, len(list_filter(fails, lambda x: x)) AS many
+  FROM cells, steps),
+counts AS (
+  SELECT part, o, step, sum(CASE WHEN NOT here AND NOT before THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND NOT before THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN here AND before THEN n ELSE 0 END) AS redundant, sum(CASE WHEN here AND many = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN here AND NOT before THEN n * good ELSE 0 END) AS good_lost, sum(CASE WHEN here AND NOT before THEN n * toxic ELSE 0 END) AS toxic_lost
+  FROM judged GROUP BY part, o, step)
+SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, step::INTEGER AS step, kept::BIGINT AS kept,
+       removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, o[step]))::BIGINT AS shapley
+FROM counts
+"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
