@@ -202,3 +202,32 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.filter_audit import audit
 
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in every tenth document by the checksum of its id, words from one on repeat a few before them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+"), "")
+    docs = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    block = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    edited = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(block, F.lit(1), rest)), " ")
+    return docs.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), edited).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.periodic import collapse
+
+    found = collapse(with_repeats(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda best, r: F.when(
+        best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"))
