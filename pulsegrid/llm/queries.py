@@ -231,3 +231,15 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
         F.sha2("text", 256).alias("collapsed_sha256"))
+
+
+@query("op13_license_scan")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.licenses import scan
+
+    base, starts = F.array_distinct("places.label"), F.col("places.start")
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, F.col("detections.label"))), ",").alias("labels"), "score")
