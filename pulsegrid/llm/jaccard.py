@@ -11,12 +11,16 @@ in spaces where the windows are narrow, and the Jaccard space is cut inside the
    pair is at distance 0 in at least ``SURPLUS`` of them. Every content of a slice is a pivot whose Voronoi region
    are the documents at distance 0; a document that is in fewer regions than a similar pair must share leaves
    them all. (Documents with unusually many empty slices keep these as contents.)
-3. *Balls.* The most central document of a region (the one in most regions) becomes its pivot. Each document is
-   measured against the pivot it shares most regions with, which links the balls around them. A region whose documents are then all connected is
-   done; overlapping ones of the others become one.
-4. *Voronoi regions.* A region of more than ``LARGE`` documents is cut by several pivots: a document goes to the nearest
-   and, by the triangle inequality, to each that is farther by at most twice the radius; parts are regions again. Other
-   regions, and those that windows don't part, are joined in pairs of blocks, by the lists of documents of each
+3. *Balls.* The most central document of a region (the one in most regions) becomes its pivot. Each document is measured
+   against the pivot it shares most regions with, which links the balls around them. A region whose documents are then all
+   connected is done; the documents of the others go on.
+4. *Rare shingles.* These documents are in the region of each of their rarest shingles: any similar text has one of them too,
+   at a distance of less than 1. Regions overlap and are never merged. Frequencies are counted among
+   these documents only, and no text is copied for a region: regions hold ids.
+5. *Voronoi regions.* Where few documents are outside a region's largest component, they are measured against the others.
+   Any other region is cut by ``PIVOTS`` documents: a document goes to the nearest
+   and, by the triangle inequality, to each that is farther by at most twice the radius; parts are regions again, joined the same
+   way. Regions that the windows don't part are joined in pairs of blocks, by the lists of documents of each
    shingle of the block, between documents not connected yet.
 
 Exact copies are one document throughout. A slice's content is sent to its bucket once per input shard, however many
@@ -36,8 +40,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +54,9 @@ ENTRIES = 3_000_000  # slice contents to a bucket, about
 RATIO = 1.5  # of the sizes in a class
 SURPLUS = 0.15  # share of its slices that a document has in common with any similar one, at least
 PIVOTS = 8
-LARGE = 16_384  # documents of a region that is joined in blocks
+COPIES, LARGEST = 1.5, 0.75  # of a region's documents, in all its parts and in one, at most
+OUTSIDERS = 32  # documents of a region outside its largest component that are measured one by one
+BUCKETS = 4096  # slots that are merged to as many groups as the entries need
 BLOCK = 512  # documents of a block
 CHUNK = 256  # documents that are measured against one copy of a pivot
 
@@ -237,8 +243,13 @@ def _alike(regions: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
     alive = (counted.join(sizes, "doc").join(F.broadcast(classes), "part")
              .where(F.col("shared") >= F.col("slices") - F.col("spare") - apart).select("doc", "part"))
     left = stored(regions.withColumn("part", part).join(alive, ["doc", "part"], "left_semi").select("region", "doc"), "alike")
-    sets = left.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("docs")).where("n > 1")
-    return left.join(sets.groupBy("n", "docs").agg(F.min("region").alias("region")).select("region"), "region", "left_semi")
+    return _distinct_sets(left)
+
+
+def _distinct_sets(regions: DataFrame) -> DataFrame:
+    """One of the regions with the same documents, if these are several."""
+    sets = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("docs")).where("n > 1")
+    return regions.join(sets.groupBy("n", "docs").agg(F.min("region").alias("region")).select("region"), "region", "left_semi")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -290,6 +301,90 @@ def measured(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max_by(F.struct("both", "union"), F.col("both") / F.col("union")).alias("s")).select("a", "b", "s.*")
 
 
+def _sharded(join: Join, buckets: int) -> Callable:
+    """Sets of the texts of a shard in one row, and the shard's distinct shingles with their numbers of texts, by bucket."""
+    def rows(shard: int, docs: list, sets: list) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(sets), return_counts=True)
+        bucket = (keys >> tx.U64(40)) % tx.U64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(cuts)).tolist()
+        parts = [order[cuts[b]:cuts[b + 1]] for b in some]
+        return pa.RecordBatch.from_arrays([
+            pa.array([shard] * (1 + len(some)), pa.int64()), pa.array([None, *some], pa.int32()),
+            pa.array([np.concatenate(sets).tobytes(), *(keys[p].tobytes() for p in parts)], pa.binary()),
+            pa.array([np.array([len(s) for s in sets]).tobytes(), *(counts[p].tobytes() for p in parts)], pa.binary()),
+            pa.array([np.array(docs, np.int64).tobytes()] + [None] * len(some), pa.binary())], ["shard", "bucket", "keys", "counts", "docs"])
+
+    def run(batches):
+        shard, docs, sets, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for i, j, w in tx.batches_of_words(batch.column(1)):
+                for doc, s in zip(ids[i:j], shingle_sets(w, join.words), strict=True):
+                    if len(s):
+                        docs.append(doc)
+                        sets.append(s)
+                size += len(w.data)
+                if size >= SHARD and sets:
+                    yield rows(shard, docs, sets)
+                    shard, docs, sets, size = shard + 1, [], [], 0
+        if sets:
+            yield rows(shard, docs, sets)
+    return run
+
+
+def _repeated(_, table):
+    """For each shard, its shingles of one bucket that several texts have, and how many do."""
+    keys = [np.frombuffer(b, tx.U64) for b in table.column("keys").to_pylist()]
+    shard = np.repeat(table.column("shard").to_numpy(), [len(k) for k in keys])
+    keys, counts = np.concatenate(keys), np.concatenate([np.frombuffer(b, np.int64) for b in table.column("counts").to_pylist()])
+    unique, at = np.unique(keys, return_inverse=True)
+    texts = np.bincount(at, counts, len(unique)).astype(np.int64)[at]
+    keep = np.flatnonzero(texts > 1)
+    keep = keep[np.argsort(shard[keep], kind="stable")]
+    names, cuts = np.unique(shard[keep], return_index=True)
+    parts = np.split(keep, cuts[1:]) if len(names) else []
+    return pa.table({"shard": pa.array(names, pa.int64()), "keys": pa.array([keys[p].tobytes() for p in parts], pa.binary()),
+                     "counts": pa.array([texts[p].tobytes() for p in parts], pa.binary())})
+
+
+def _prefixes(join: Join) -> Callable:
+    """The rarest shingles of each text of a shard: one more than a similar text can lack."""
+    def run(_, shard, repeated):
+        known = np.concatenate([np.frombuffer(b, tx.U64) for b in repeated.column("keys").to_pylist()] or [np.zeros(0, tx.U64)])
+        texts = np.concatenate([np.frombuffer(b, np.int64) for b in repeated.column("counts").to_pylist()] or [np.zeros(0, np.int64)])
+        order = np.argsort(known)
+        known, texts = np.append(known[order], tx.U64(0)), np.append(texts[order], 1)
+        keys, sizes, docs = (np.frombuffer(shard.column(c)[0].as_py(), t) for c, t in (("keys", tx.U64), ("counts", np.int64), ("docs", np.int64)))
+        at = np.searchsorted(known[:-1], keys)
+        often = np.where(known[at] == keys, texts[at], 1)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((keys, often, owner))
+        place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        longest = sizes + join.least * sizes // -join.of + 1
+        kept = order[(place < np.repeat(longest, sizes)) & (often[order] > 1)]
+        return pa.table({"region": pa.array(keys[kept].view(np.int64)), "doc": pa.array(docs[owner[kept]])})
+    return run
+
+
+def _lists(docs: DataFrame, ids: DataFrame, join: Join) -> DataFrame:
+    """``region, doc``: documents that have one of their rarest shingles in common; each set of documents once.
+
+    Sorted by frequency, the first ``n - least * n / of + 1`` shingles of two similar sets share one, as either lacks too few
+    of the other's. Frequencies are those among the given documents, so shingles of shared passages come last and shingles
+    of one document lead nowhere. A shard sends its distinct shingles to buckets, and gets back those that several texts have.
+    """
+    sharded = stored(texts_of(docs, ids).mapInArrow(_sharded(join, BUCKETS), "shard long, bucket int, keys binary, counts binary, docs binary"), "shards")
+    parts = sharded.where("bucket IS NOT NULL")
+    groups = max(1, -(-(parts.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // (8 * ENTRIES)))
+    known = (parts.select(F.pmod("bucket", F.lit(groups)).alias("group"), "shard", "keys", "counts").groupBy("group")
+             .applyInArrow(_repeated, "shard long, keys binary, counts binary"))
+    sets = sharded.where("bucket IS NULL").select("shard", "keys", "counts", "docs")
+    lists = stored(sets.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_prefixes(join), REGIONS).distinct(), "lists")
+    return _distinct_sets(lists)
+
+
 def _leaf(join: Join) -> Callable:
     def run(_, table):
         table = table.sort_by("doc")
@@ -338,15 +433,6 @@ def _joined_in_blocks(docs: DataFrame, regions: DataFrame, join: Join) -> DataFr
             .groupBy("region", "low", "high").applyInArrow(_leaf(join), "a long, b long"))
 
 
-def _merged(regions: DataFrame) -> DataFrame:
-    """Overlapping regions as one: a document's text is then moved once for each pair of blocks, not for each slice."""
-    heads = regions.groupBy("region").agg(F.min("doc").alias("head"))
-    groups = components(regions.join(heads, "region").select(F.col("doc").alias("a"), F.col("head").alias("b")))
-    own = regions.select("doc", "component").distinct().join(groups, regions["doc"] == groups["node"]).select(
-        groups["component"].alias("region"), "doc", regions["component"].alias("component"))
-    return own.join(own.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region")
-
-
 def _voronoi(docs: DataFrame, regions: DataFrame, join: Join) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links to the drawn pivots; the regions that result; and those that the windows don't part."""
     draw = F.pmod(F.xxhash64("doc", F.lit(31)), F.lit(1 << 30))  # overlapping regions draw the same documents
@@ -364,8 +450,9 @@ def _voronoi(docs: DataFrame, regions: DataFrame, join: Join) -> tuple[DataFrame
     window = 2 * (join.of - join.least) / join.of + 1e-9
     placed = stored(at.join(home, ["region", "doc"]).where(F.col("d") <= F.col("near") + window)
                     .select("region", "doc", F.xxhash64("region", "pivot").alias("part")), "placed")
-    weight = placed.groupBy("region").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct("doc").alias("docs"))
-    parted = weight.where(F.col("copies") <= F.col("docs") * 1.5).select("region")
+    size = placed.groupBy("region", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.sum("n").alias("copies"), F.max("n").alias("largest"))
+    weight = size.join(placed.groupBy("region").agg(F.count_distinct("doc").alias("docs")), "region")
+    parted = weight.where((F.col("copies") <= F.col("docs") * COPIES) & (F.col("largest") <= F.col("docs") * LARGEST)).select("region")
     into = placed.join(parted, "region", "left_semi").select(F.col("part").alias("region"), "doc")
     whole = placed.join(parted, "region", "left_anti").select("region", "doc").distinct()
     return links, into, whole
@@ -384,6 +471,20 @@ def _balls(docs: DataFrame, todo: DataFrame, join: Join) -> DataFrame:
     return measured(docs, nearest, join).where(f"{join.of} * both >= {join.least} * union").select("a", "b")
 
 
+def _main(regions: DataFrame) -> DataFrame:
+    """The largest component of each region, and how many documents are outside of it."""
+    counts = regions.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("region").agg(F.max_by("component", "n").alias("main"), (F.sum("n") - F.max("n")).alias("outsiders"))
+
+
+def _by_outsiders(docs: DataFrame, regions: DataFrame, join: Join) -> DataFrame:
+    """Links of regions with few documents outside their largest component: these meet the documents of other components."""
+    pairs = (regions.where("component <> main").select("region", F.col("doc").alias("b"), F.col("component").alias("other"))
+             .join(regions, "region").where((F.col("component") != F.col("other")) & ((F.col("component") == F.col("main")) | (F.col("b") < F.col("doc"))))
+             .select(F.col("doc").alias("a"), "b").distinct())
+    return measured(docs, pairs, join).where(f"{join.of} * both >= {join.least} * union").select("a", "b")
+
+
 def _unfinished(regions: DataFrame, labels: DataFrame) -> DataFrame:
     """Regions with documents of several components, with these and the number of documents."""
     labelled = stored(regions.join(labels, regions["doc"] == labels["node"], "left").select(
@@ -396,8 +497,7 @@ def _unfinished(regions: DataFrame, labels: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, join: Join = Join(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row: components of the graph of all similar pairs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = 4096  # slots that are merged below to as many groups as the entries need
-    coded = stored(docs.mapInArrow(_code(join, buckets), CODED), "coded")
+    coded = stored(docs.mapInArrow(_code(join, BUCKETS), CODED), "coded")
     thin = coded.where("docs IS NOT NULL").select(F.explode("docs").alias("d")).select("d.*")
     classes = stored(thin.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
@@ -417,17 +517,21 @@ def link_components(docs: DataFrame, join: Join = Join(), *, id_col: str = "doc_
         links = stored(_balls(docs, todo, join), "links")
         labels = components(links)
         todo = _unfinished(todo.select("region", "doc"), labels)
+    if not todo.isEmpty():
+        todo = _unfinished(_lists(docs, todo.select(F.col("doc").alias("doc_id")).distinct(), join), labels)
     while not todo.isEmpty():
-        groups = stored(_merged(todo), "merged")
-        new = _joined_in_blocks(docs, groups.where(F.col("size") <= LARGE), join)
-        large = groups.where(F.col("size") > LARGE)
-        into = todo.where("1 = 0").select("region", "doc")
-        if not large.isEmpty():
-            pivot_links, into, whole = _voronoi(docs, large.select("region", "doc", "size"), join)
-            new = new.union(pivot_links).union(_joined_in_blocks(docs, _unfinished(whole, labels), join))
+        todo = stored(todo.join(_main(todo), "region"), "regions")
+        few, many = todo.where(f"outsiders <= {OUTSIDERS}"), todo.where(f"outsiders > {OUTSIDERS}")
+        new = _by_outsiders(docs, few, join)
+        parts = todo.where("1 = 0").select("region", "doc")
+        if not many.isEmpty():
+            pivot_links, parts, whole = _voronoi(docs, many.select("region", "doc", "size"), join)
+            links = stored(links.union(new).union(pivot_links), "links")
+            labels = components(links)
+            new = _joined_in_blocks(docs, _unfinished(whole, labels), join)
         links = stored(links.union(new), "links")
         labels = components(links)
-        todo = _unfinished(into, labels)
+        todo = _unfinished(parts, labels)
     named = (thin.join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left")
              .withColumn("node", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep"))))
     return (named.join(labels, "node", "left")

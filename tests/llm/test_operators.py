@@ -106,7 +106,7 @@ def related(rng, n, size):
 
 @pytest.mark.parametrize(("join", "leaf", "seed"), [(jaccard.Join(3, 90, 100), 48, 1), (jaccard.Join(1, 80, 100), 3, 2), (jaccard.Join(2, 70, 100), 2, 3)])
 def test_jaccard_join_loses_no_link(spark, monkeypatch, join, leaf, seed):
-    monkeypatch.setattr(jaccard, "LARGE", 2 * leaf)
+    monkeypatch.setattr(jaccard, "OUTSIDERS", leaf - 2)
     monkeypatch.setattr(jaccard, "SHARD", 6000)
     monkeypatch.setattr(jaccard, "PIVOTS", 2)
     monkeypatch.setattr(jaccard, "BLOCK", leaf)
@@ -116,6 +116,38 @@ def test_jaccard_join_loses_no_link(spark, monkeypatch, join, leaf, seed):
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {d: len(shingles(t, join.words)) for d, t in rows}
 
 
+def passages(rng, n):
+    """Texts with a passage that many share, and much or little besides: alike, nearly alike and far from it."""
+    shared = [f"p{k}" for k in range(80)]
+    return [(i, " ".join(shared[:rng.choice([40, 60, 80])] + [f"x{i}y{k}" if rng.random() < 0.7 else f"z{k}" for k in range(rng.choice([4, 8, 16, 30, 90]))])) for i in range(n)]
+
+
+@pytest.mark.parametrize(("outsiders", "block", "largest"), [(32, 512, 0.75), (0, 512, 0.75), (0, 7, 0.0), (3, 7, 1.0)])
+def test_jaccard_join_of_shared_passages(spark, monkeypatch, outsiders, block, largest):
+    monkeypatch.setattr(jaccard, "OUTSIDERS", outsiders)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "LARGEST", largest)
+    monkeypatch.setattr(jaccard, "COPIES", 1.5 if largest < 1 else 8)
+    monkeypatch.setattr(jaccard, "SHARD", 9000)
+    monkeypatch.setattr(jaccard, "ENTRIES", 900)
+    join, rows = jaccard.Join(5, 80, 100), passages(random.Random(11), 130)
+    got = collected(jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), join))
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_join(rows, join)
+
+
+def test_rarest_shingles_meet_for_every_similar_pair(spark):
+    join, rows = jaccard.Join(2, 80, 100), related(random.Random(6), 160, 40) + [(200 + k, t) for k, t in passages(random.Random(7), 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    regions = collected(jaccard._lists(docs, docs.select("doc_id"), join))
+    of = collections.defaultdict(set)
+    for r in regions:
+        of[r["region"]].add(r["doc"])
+    met = {(a, b) for some in of.values() for a in some for b in some}
+    sets = {d: shingles(t, join.words) for d, t in rows}
+    similar = [(a, b) for a in sets for b in sets if a < b and sets[a] and join.linked(len(sets[a] & sets[b]), len(sets[a] | sets[b]))]
+    assert len(similar) > 50 and met.issuperset(similar)
+
+
 def test_jaccard_join_of_awkward_documents(documents, nothing):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     got = collected(jaccard.link_components(documents))
