@@ -4,14 +4,14 @@ Every vector is divided by its length and projected on many random directions. T
 projection if their values are at most ``WINDOW`` apart, a window centred on either of them; the closer they are,
 the more often. Pairs with enough collisions are verified by their cosine in double precision.
 
-* *Windows instead of pairs.* A table combines ``levels`` projections: values are cut into cells of two windows, and a
-  vector within a window of the next cell visits it, so all pairs that collide in each of them meet in one
-  cell, where one more projection is sorted and its windows are read off. The number of levels grows with the logarithm
-  of the number of vectors, so cells keep their size; the number of tables follows from the recall wanted.
+* *Windows instead of pairs.* A table combines ``levels`` projections, each cut into cells of ``WIDTH`` deviations from a random
+  offset; a vector is in one cell of each table. There one more projection is sorted and its windows are read off. The number of
+  levels grows with the logarithm of the number of vectors, so cells keep their size. A cell keeps 0.86 of the
+  pairs at the threshold and 0.57 of all others: the number of tables, and of copies of a vector, grows as n^0.27.
 * *Calibration.* A pair at the threshold collides in a projection with probability ``p`` (a normal distribution). The
-  number of tables and the least number of collisions are chosen such that it passes each of these with a
+  number of tables, by the chance of ``p`` and of equal cells, and the least number of collisions are chosen such that it passes each of these with a
   probability of ``RECALL``; closer pairs pass more often.
-* *Each pair once.* It counts in the first table where it collides, in one cell of that. So links are
+* *Each pair once.* It counts in the first table where it collides. So links are
   summed without a list of pairs: a cell returns a number per vector and the edges of a spanning forest.
 * *Copies and crowds.* Identical vectors are one with a multiplicity. A cell of more than ``BLOCK`` vectors is
   joined in pairs of blocks, so a crowd of near copies is many bounded tasks.
@@ -36,12 +36,14 @@ from pyspark.sql import types as T
 
 from pulsegrid.llm.components import components
 from pulsegrid.llm.store import stored
+from pulsegrid.llm.text import mix
 
 THRESHOLD = 0.9
 WINDOW = 0.75  # in standard deviations of a projection
 RECALL = 0.995
-CELL = 16_384  # vectors in a cell, about
-SHARE = 0.57  # of the vectors that a cell gets, per level
+WIDTH = 2.5  # of a cell, in standard deviations
+CELL = 4096  # vectors in a cell, about
+GROUP = 20_000  # rows that are handled together, about
 BLOCK = 16_384
 PROJECTIONS = 16
 SCALE = 2048  # projections are kept as 16-bit numbers
@@ -49,7 +51,7 @@ LIMIT = 16_000  # far beyond any window; differences still fit
 ROWS, COLUMNS = 128, 4096  # of a block of pairs, small enough for a processor's cache
 SEED = 20240229
 
-VECTORS = "vec_id long, digest binary, dim int, vector binary, marks binary"
+VECTORS = "vec_id long, digest binary, dim int, vector binary, marks binary, cells array<int>"
 FOUND = "vec_id long, links long, a long, b long"
 
 
@@ -58,24 +60,26 @@ class Plan:
     threshold: float
     levels: int
     tables: int
-    projections: int
+    projections: int  # that are counted; those of the first ``tables`` are sorted, one in each
     collisions: int
 
     @property
     def window(self) -> int:
         return int(WINDOW * SCALE)
 
-    def routing(self, t: int) -> list[int]:
-        """Projections of a table: those of the cells, then the sorted one."""
-        return [t * (self.levels + 1) + k for k in range(self.levels + 1)]
+
+def _together(apart: float) -> float:
+    """Probability that two values whose difference has deviation ``apart`` are in one cell of a random offset."""
+    x = WIDTH / apart
+    return math.erf(x / math.sqrt(2)) - math.sqrt(2 / math.pi) / x * (1 - math.exp(-x * x / 2))
 
 
 def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Plan:
     apart = math.sqrt(2 - 2 * threshold)  # distance of unit vectors, and deviation of their projections' difference
     p = math.erf(WINDOW / apart / math.sqrt(2))
-    levels = max(1, math.ceil(math.log(max(n, 1) / CELL) / -math.log(SHARE)))
-    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - p ** (levels + 1))))
-    m = max(PROJECTIONS, tables * (levels + 1))
+    levels = max(1, math.ceil(math.log(max(n, 1) / CELL) / -math.log(_together(math.sqrt(2)))))
+    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - p * _together(apart) ** levels)))
+    m = max(PROJECTIONS, tables)
     tail, least = 0.0, m + 1
     while tail < recall:
         least -= 1
@@ -83,8 +87,30 @@ def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Plan:
     return Plan(threshold, levels, tables, m, least)
 
 
-def directions(dim: int, m: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim]).standard_normal((dim, m))
+def directions(dim: int, p: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Directions that are counted, then those of the cells, table by table; and the offsets of the cells."""
+    rng = np.random.default_rng([SEED, dim])
+    return rng.standard_normal((dim, p.projections + p.tables * p.levels)), rng.random(p.tables * p.levels) * WIDTH
+
+
+def unit_vectors(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that squares neither overflow nor vanish."""
+    rows = rows.astype(float)
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.sqrt((rows ** 2).sum(axis=1, keepdims=True))
+
+
+def coded_vectors(unit: np.ndarray, p: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Marks (16 bits for each counted projection) and cells (a number for each table) of unit vectors."""
+    drawn, offsets = directions(unit.shape[1], p)
+    values = unit @ drawn
+    marks = np.clip(np.rint(values[:, :p.projections] * SCALE), -LIMIT, LIMIT).astype("<i2")
+    places = np.floor((values[:, p.projections:] + offsets) / WIDTH).astype(np.int64).reshape(len(unit), p.tables, p.levels)
+    cells = np.zeros(places.shape[:2], np.uint64)
+    with np.errstate(over="ignore"):
+        for level in range(p.levels):
+            cells = mix(cells * np.uint64(0x9E3779B97F4A7C15) + places[:, :, level].view(np.uint64))
+    return marks, (cells >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _code(p: Plan, single: bool) -> Callable:
@@ -93,72 +119,40 @@ def _code(p: Plan, single: bool) -> Callable:
     def run(batches):
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            out = [[] for _ in range(4)]
-            marks = {}
             rows = []
             for i, v in enumerate(column):
                 x = v.values.to_numpy(zero_copy_only=False) if v.is_valid and not v.values.null_count else np.zeros(0)
                 x = np.asarray(x, kind) + 0.0  # one zero
-                good = ids[i].is_valid and len(x) and bool(np.isfinite(x).all())
-                length = float(np.sqrt((x.astype(float) ** 2).sum())) if good else 0.0
-                rows.append((x, length) if good and 0 < length < math.inf else None)
+                rows.append(x if ids[i].is_valid and np.isfinite(x).all() and x.any() else None)
             by_dim: dict[int, list[int]] = {}
             for i, r in enumerate(rows):
-                if r:
-                    by_dim.setdefault(len(r[0]), []).append(i)
-            for dim, some in by_dim.items():
-                unit = np.stack([rows[i][0].astype(float) / rows[i][1] for i in some])
-                values = np.clip(np.rint(unit @ directions(dim, p.projections) * SCALE), -LIMIT, LIMIT).astype("<i2")
-                marks.update(zip(some, values, strict=True))
-            for i, r in enumerate(rows):
-                for c, v in zip(out, (hashlib.blake2b(r[0].tobytes(), digest_size=16).digest() if r else None, len(r[0]) if r else 0,
-                                      r[0].tobytes() if r else None, marks[i].tobytes() if r else None), strict=True):
-                    c.append(v)
+                if r is not None:
+                    by_dim.setdefault(len(r), []).append(i)
+            marks, cells = [None] * len(rows), [None] * len(rows)
+            for some in by_dim.values():
+                m, c = coded_vectors(unit_vectors(np.stack([rows[i] for i in some])), p)
+                for k, i in enumerate(some):
+                    marks[i], cells[i] = m[k].tobytes(), c[k]
+            raw = [None if r is None else r.tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())],
-                [f.split()[0] for f in VECTORS.split(", ")])
+                [ids, pa.array([None if b is None else hashlib.blake2b(b, digest_size=16).digest() for b in raw], pa.binary()),
+                 pa.array([0 if r is None else len(r) for r in rows], pa.int32()), pa.array(raw, pa.binary()),
+                 pa.array(marks, pa.binary()), pa.array(cells, pa.list_(pa.int32()))], ["vec_id", "digest", "dim", "vector", "marks", "cells"])
     return run
 
 
-def _visits(p: Plan) -> Callable:
-    """A row for each table and cell that a vector is in; a cell is a byte per level (``LIMIT`` is few cells away)."""
-    width = 2 * p.window
-
-    def run(batches):
-        for batch in batches:
-            marks = np.stack([np.frombuffer(b, "<i2") for b in batch.column("marks").to_pylist()]).astype(np.int64) if len(batch) else None
-            rows, tables, cells = [], [], []
-            for t in range(p.tables if len(batch) else 0):
-                at = np.arange(len(batch))
-                key = np.zeros((len(batch), p.levels), np.int8)
-                for level, c in enumerate(p.routing(t)[:-1]):
-                    home, rest = np.divmod(marks[at, c], width)
-                    near = rest >= width - p.window
-                    at = np.concatenate([at, at[near]])
-                    key = np.concatenate([key, key[near]])
-                    key[:, level] = np.concatenate([home, home[near] + 1])
-                rows.append(at)
-                tables.append(np.full(len(at), t))
-                cells += map(np.ndarray.tobytes, key)
-            if rows:
-                some = batch.take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tables), pa.int32()), pa.array(cells, pa.binary()), *some.columns],
-                    ["part", "cell", *batch.schema.names])
-    return run
-
-
-def _pairs(p: Plan, t: int, cell: list[int], marks_a, marks_b, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs that collide in the table's windows, belong to this cell and collide often enough."""
-    *cells, last = p.routing(t)
-    width, twice = 2 * p.window, np.uint16(2 * p.window)
-    order_a, order_b = np.argsort(marks_a[:, last], kind="stable"), np.argsort(marks_b[:, last], kind="stable")
+def _pairs(p: Plan, t: int, marks_a, marks_b, cells_a, cells_b, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one cell of table ``t`` that collide in its window, in none of an earlier table, and often enough."""
+    twice = np.uint16(2 * p.window)
+    order_a, order_b = np.argsort(marks_a[:, t], kind="stable"), np.argsort(marks_b[:, t], kind="stable")
     sorted_a, sorted_b = np.ascontiguousarray(marks_a[order_a].T), np.ascontiguousarray(marks_b[order_b].T)
-    hits = np.empty((ROWS, COLUMNS), np.uint8 if p.projections < 256 else np.uint16)  # more than 12 levels need the latter
+    hits = np.empty((ROWS, COLUMNS), np.uint8 if p.projections < 256 else np.uint16)
     apart = np.empty((ROWS, COLUMNS), np.int16)
     for k in range(0, len(order_a), ROWS):
         own = sorted_a[:, k:k + ROWS]
-        low, high = np.searchsorted(sorted_b[last], [int(own[last, 0]) - p.window, int(own[last, -1]) + p.window + 1])
+        low, high = np.searchsorted(sorted_b[t], [int(own[t, 0]) - p.window, int(own[t, -1]) + p.window + 1])
+        if same:
+            low = max(low, k + 1)  # pairs are taken in the order of the table's projection
         for begin in range(low, high, COLUMNS):
             other = sorted_b[:, begin:min(begin + COLUMNS, high)]
             shape = slice(own.shape[1]), slice(other.shape[1])
@@ -168,36 +162,27 @@ def _pairs(p: Plan, t: int, cell: list[int], marks_a, marks_b, same: bool) -> It
                 np.subtract(own[c, :, None] + np.int16(p.window), other[c], out=difference)
                 count += difference.view(np.uint16) <= twice
             i, j = np.nonzero(count >= p.collisions)
-            mine, theirs = own[:, i].astype(np.int32), other[:, j].astype(np.int32)
-            near = np.abs(mine - theirs) <= p.window
-            right = near[[*cells, last]].all(axis=0)
-            for level, c in enumerate(cells):
-                right &= np.maximum(mine[c], theirs[c]) // width == cell[level]
-            for earlier in range(t):  # counted there
-                right &= ~near[p.routing(earlier)].all(axis=0)
-            i, j = order_a[k + i[right]], order_b[begin + j[right]]
             if same:
-                i, j = i[i < j], j[i < j]
-            yield i, j
+                later = begin + j > k + i
+                i, j = i[later], j[later]
+            near = np.abs(own[:p.tables, i].astype(np.int32) - other[:p.tables, j]) <= p.window
+            i, j = order_a[k + i], order_b[begin + j]
+            right = near[t]
+            for earlier in range(t):  # counted there
+                right &= ~(near[earlier] & (cells_a[i, earlier] == cells_b[j, earlier]))
+            yield i[right], j[right]
 
 
 def _join(p: Plan, single: bool) -> Callable:
     kind = "<f4" if single else "<f8"
 
-    def run(_, table):
-        rows = table.to_pydict()
-        t, low, high = rows["part"][0], rows["low"][0], rows["high"][0]
-        cell = np.frombuffer(rows["cell"][0], np.int8).tolist()
-        block = np.array(rows["block"])
-        ids, mult = np.array(rows["vec_id"], np.int64), np.array(rows["n"], np.int64)
-        marks = np.stack([np.frombuffer(b, "<i2") for b in rows["marks"]])
-        unit = np.stack([np.frombuffer(b, kind) for b in rows["vector"]]).astype(float)
-        unit /= np.sqrt((unit ** 2).sum(axis=1))[:, None]
-        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    def one(t: int, same: bool, first: np.ndarray, ids, mult, marks, cells, unit) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Links of each vector, and the edges of a spanning forest, in one cell or pair of blocks of a cell."""
         links = np.zeros(len(ids), np.int64)
         root = np.arange(len(ids))
         edges: list[tuple[int, int]] = []
-        for i, j in _pairs(p, t, cell, marks[a], marks[b], low == high) if len(a) and len(b) else ():
+        a, b = np.flatnonzero(first), np.flatnonzero(first if same else ~first)
+        for i, j in _pairs(p, t, marks[a], marks[b], cells[a], cells[b], same) if len(a) and len(b) else ():
             i, j = a[i], b[j]
             for s in range(0, len(i), 65536):
                 x, y = i[s:s + 65536], j[s:s + 65536]
@@ -214,11 +199,28 @@ def _join(p: Plan, single: bool) -> Callable:
                     top, at = np.unique(np.maximum(u, v)[apart], return_index=True)
                     root[top] = np.minimum(u, v)[apart][at]
                     edges += zip(ids[x[apart][at]].tolist(), ids[y[apart][at]].tolist(), strict=True)
-        some = np.flatnonzero(links)
-        nothing = [None] * len(edges)
-        return pa.table({"vec_id": pa.array(ids[some].tolist() + nothing, pa.int64()), "links": pa.array(links[some].tolist() + nothing, pa.int64()),
-                         "a": pa.array([None] * len(some) + [x for x, _ in edges], pa.int64()),
-                         "b": pa.array([None] * len(some) + [y for _, y in edges], pa.int64())})
+        return links, edges
+
+    def run(_, table):
+        part, cell, dim, low, high, block, ids, mult = (table.column(c).to_numpy() for c in ("part", "cell", "dim", "low", "high", "block", "vec_id", "n"))
+        marks, vectors, cells = (table.column(c).to_pylist() for c in ("marks", "vector", "cells"))
+        order = np.lexsort((high, low, dim, cell, part))
+        keys = np.stack([part, cell, dim, low, high])[:, order]
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        out: list[list] = [[], [], [], []]
+        for at in np.split(order, cuts):
+            if len(at) < 2:
+                continue
+            k = at[0]
+            links, edges = one(int(part[k]), low[k] == high[k], block[at] == low[k], ids[at], mult[at],
+                               np.stack([np.frombuffer(marks[i], "<i2") for i in at]), np.array([cells[i] for i in at], np.int32),
+                               unit_vectors(np.stack([np.frombuffer(vectors[i], kind) for i in at])))
+            some = np.flatnonzero(links)
+            out[0] += ids[at][some].tolist() + [None] * len(edges)
+            out[1] += links[some].tolist() + [None] * len(edges)
+            out[2] += [None] * len(some) + [x for x, _ in edges]
+            out[3] += [None] * len(some) + [y for _, y in edges]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("vec_id", "links", "a", "b"), out, strict=True)})
     return run
 
 
@@ -233,8 +235,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
     classes = stored(thin.where("digest IS NOT NULL").groupBy("digest", "dim").agg(
         F.min("vec_id").alias("rep"), F.max("vec_id").alias("last"), F.count(F.lit(1)).alias("n")), "classes")
     own = coded.join(classes.select("digest", "n", F.col("rep").alias("vec_id")), ["digest", "vec_id"]).dropDuplicates(["vec_id", "digest"])
-    visits = own.select("vec_id", "n", "dim", "vector", "marks").mapInArrow(
-        _visits(p), "part int, cell binary, vec_id long, n long, dim int, vector binary, marks binary")
+    visits = own.select("vec_id", "n", "dim", "vector", "marks", "cells", F.posexplode("cells").alias("part", "cell"))
     visits = stored(visits, "visits")
     crowded = (visits.groupBy("part", "cell", "dim").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
                .withColumn("blocks", F.ceil(F.col("size") / BLOCK)).drop("size"))
@@ -242,7 +243,9 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
              .withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(11)), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks"))
-    found = stored(dealt.groupBy("part", "cell", "dim", "low", "high").applyInArrow(_join(p, single), FOUND), "found")
+    groups = -(-classes.count() * p.tables // GROUP) + 1  # small cells are handled together
+    group = F.pmod(F.xxhash64("part", "cell", "dim", "low", "high"), F.lit(groups)).alias("group")
+    found = stored(dealt.select("*", group).groupBy("group").applyInArrow(_join(p, single), FOUND), "found")
     links = found.where("links IS NOT NULL").groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links"))
     labels = components(found.where("a IS NOT NULL").select("a", "b")).select(F.col("node").alias("rep"), F.col("component"))
     named = thin.join(classes.select("digest", "dim", "rep", "n"), ["digest", "dim"], "left").join(links, "rep", "left").join(labels, "rep", "left")

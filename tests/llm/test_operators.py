@@ -173,7 +173,7 @@ def test_slices_meet_for_every_similar_pair():
 
 # ---- 2 ----
 
-@pytest.mark.parametrize(("cell", "block"), [(16384, 16384), (60, 50)])
+@pytest.mark.parametrize(("cell", "block"), [(4096, 16384), (60, 50)])
 def test_vectors_against_all_pairs(spark, monkeypatch, cell, block):
     monkeypatch.setattr(vectors, "CELL", cell)
     monkeypatch.setattr(vectors, "BLOCK", block)
@@ -201,26 +201,33 @@ def test_vectors_against_all_pairs(spark, monkeypatch, cell, block):
     assert got[1006]["component_id"] == 1005 and got[1005]["n_links"] == 1
 
 
-@pytest.mark.parametrize("levels", [1, 10, 11, 12, 13, 20])
-def test_cells_of_any_number_of_levels(levels):
-    p = vectors.plan(int(vectors.CELL / vectors.SHARE ** (levels - 0.5)))
-    assert p.levels == levels
-    width, rng = 2 * p.window, np.random.default_rng(levels)
-    home = rng.integers(-5, 5, p.projections)
-    edge = np.isin(np.arange(p.projections) % (levels + 1), [0, levels - 1])  # where the next cell is visited too
-    marks = (home * width + np.where(edge, width - 200, 200) + rng.integers(-20, 20, (6, p.projections))).astype("<i2")
-    names = ["vec_id", "n", "dim", "vector", "marks"]
-    unit = np.ones(4, "<f8").tobytes()
-    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([1] * 6), pa.array([4] * 6), pa.array([unit] * 6), pa.array([m.tobytes() for m in marks])], names)
-    rows = next(vectors._visits(p)([batch])).to_pylist()
-    found = collections.Counter()
-    for t, cell in {(r["part"], r["cell"]) for r in rows}:
-        some = [r | {"low": 0, "high": 0, "block": 0} for r in rows if (r["part"], r["cell"]) == (t, cell)]
-        digits = np.frombuffer(cell, np.int8)
-        assert np.isin(digits - home[p.routing(t)[:-1]], [0, 1]).all()
-        for r in vectors._join(p, False)(None, pa.Table.from_pylist(some)).to_pylist():
-            found[r["vec_id"]] += r["links"] or 0
-    assert all(found[i] == 5 for i in range(6))  # all are near each other: once each, over all tables
+@pytest.mark.parametrize("levels", [1, 3, 6, 12])
+def test_pairs_at_the_threshold_are_found_at_any_number_of_levels(spark, monkeypatch, levels):
+    n, dim, rng = 1000, 32, np.random.default_rng(levels)
+    cell = 2 * n * vectors._together(math.sqrt(2)) ** (levels - 0.5)
+    monkeypatch.setattr(vectors, "CELL", cell)
+    monkeypatch.setattr(vectors, "GROUP", 3000)
+    assert vectors.plan(2 * n).levels == levels
+    a = vectors.unit_vectors(rng.standard_normal((n, dim)))
+    away = rng.standard_normal((n, dim))
+    away = vectors.unit_vectors(away - (away * a).sum(axis=1, keepdims=True) * a)
+    cosine = rng.uniform(0.9, 0.93, (n, 1))
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine ** 2) * away])
+    unit = vectors.unit_vectors(x)
+    true = (unit @ unit.T >= 0.9).sum() - 2 * n
+    got = collected(vectors.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")))
+    assert true > 1900 and 0.99 * true <= sum(r["n_links"] for r in got) <= true
+
+
+def test_very_large_and_very_small_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [2e200, 2e200]), (2, [1e-200, 0.0]), (3, [5e-324, 0.0]), (4, [1.7e308, -1.7e308]), (5, [1.0, -1.0]), (6, [math.inf, 1.0])]
+    got = {r["vec_id"]: r for r in collected(vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))}
+    assert [got[i]["component_id"] for i in range(7)] == [0, 0, 2, 2, 4, 4, 6] and [got[i]["n_links"] for i in range(7)] == [1] * 6 + [0]
+
+
+def test_copies_of_a_vector_grow_slowly():
+    copies = [vectors.plan(n).tables for n in (50_000, 5_000_000, 500_000_000)]
+    assert copies[1] <= copies[0] * 100 ** 0.32 and copies[2] <= copies[1] * 100 ** 0.32
 
 
 def test_no_vectors(spark):
