@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import text as tx
 from pulsegrid.llm.components import components
-from pulsegrid.llm.store import stored
+from pulsegrid.llm.store import drop, stored, stored_at
 
 SHARD = 10_000_000  # bytes of text whose documents are represented together, about
 ENTRIES = 3_000_000  # slice contents to a bucket, about
@@ -228,8 +228,8 @@ def _meet(_, table):
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("region", "doc"), regions, strict=True)})
 
 
-def _alike(regions: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
-    """``region, doc`` of documents that share as many slices as a similar pair must, each set of documents once.
+def _alike(regions: DataFrame, sizes: DataFrame, join: Join) -> tuple[DataFrame, str]:
+    """``region, doc`` of documents that share as many slices as a similar pair must, and the table's folder.
 
     A document differs from a similar one in at most ``apart`` elements, so in as many slices; the others are equal,
     and but for the empty ones the two are together in the regions of these.
@@ -242,8 +242,7 @@ def _alike(regions: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
     apart = F.floor(F.col("n_shingles") * (join.of - join.least) / join.least)
     alive = (counted.join(sizes, "doc").join(F.broadcast(classes), "part")
              .where(F.col("shared") >= F.col("slices") - F.col("spare") - apart).select("doc", "part"))
-    left = stored(regions.withColumn("part", part).join(alive, ["doc", "part"], "left_semi").select("region", "doc"), "alike")
-    return _distinct_sets(left)
+    return stored_at(regions.withColumn("part", part).join(alive, ["doc", "part"], "left_semi").select("region", "doc"), "alike")
 
 
 def _distinct_sets(regions: DataFrame) -> DataFrame:
@@ -292,12 +291,13 @@ def measured(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
     dealt = pairs.join(wide, "b").withColumn("chunk", F.pmod(F.xxhash64("a", F.lit(9)), F.ceil(F.col("n") / CHUNK)))
     dealt = stored(dealt.select("a", "b", "chunk"), "dealt")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(texts_of(docs, ids), "texts")
+    texts, path = stored_at(texts_of(docs, ids), "texts")
     members = dealt.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "chunk", F.lit(1).alias("member"), "a", "text")
     pivots = (dealt.select("b", "chunk").distinct().join(texts.withColumnRenamed("doc_id", "b"), "b")
               .select("b", "chunk", F.lit(0).alias("member"), F.col("b").alias("a"), "text"))
     ordered = members.union(pivots).repartition("b", "chunk").sortWithinPartitions("b", "chunk", "member", "a")
-    found = ordered.mapInArrow(_measure(join.words), "a long, b long, both long, union long")
+    found = stored(ordered.mapInArrow(_measure(join.words), "a long, b long, both long, union long"), "measured")
+    drop(docs, path)
     return found.groupBy("a", "b").agg(F.max_by(F.struct("both", "union"), F.col("both") / F.col("union")).alias("s")).select("a", "b", "s.*")
 
 
@@ -375,13 +375,14 @@ def _lists(docs: DataFrame, ids: DataFrame, join: Join) -> DataFrame:
     of the other's. Frequencies are those among the given documents, so shingles of shared passages come last and shingles
     of one document lead nowhere. A shard sends its distinct shingles to buckets, and gets back those that several texts have.
     """
-    sharded = stored(texts_of(docs, ids).mapInArrow(_sharded(join, BUCKETS), "shard long, bucket int, keys binary, counts binary, docs binary"), "shards")
+    sharded, path = stored_at(texts_of(docs, ids).mapInArrow(_sharded(join, BUCKETS), "shard long, bucket int, keys binary, counts binary, docs binary"), "shards")
     parts = sharded.where("bucket IS NOT NULL")
     groups = max(1, -(-(parts.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // (8 * ENTRIES)))
     known = (parts.select(F.pmod("bucket", F.lit(groups)).alias("group"), "shard", "keys", "counts").groupBy("group")
              .applyInArrow(_repeated, "shard long, keys binary, counts binary"))
     sets = sharded.where("bucket IS NULL").select("shard", "keys", "counts", "docs")
     lists = stored(sets.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_prefixes(join), REGIONS).distinct(), "lists")
+    drop(docs, path)
     return _distinct_sets(lists)
 
 
@@ -497,8 +498,8 @@ def _unfinished(regions: DataFrame, labels: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, join: Join = Join(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row: components of the graph of all similar pairs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    coded = stored(docs.mapInArrow(_code(join, BUCKETS), CODED), "coded")
-    thin = coded.where("docs IS NOT NULL").select(F.explode("docs").alias("d")).select("d.*")
+    coded, coded_path = stored_at(docs.mapInArrow(_code(join, BUCKETS), CODED), "coded")
+    thin = stored(coded.where("docs IS NOT NULL").select(F.explode("docs").alias("d")).select("d.*"), "documents")
     classes = stored(thin.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
     copies = stored(thin.join(classes.where("rep <> last"), ["h1", "h2"]).where("doc_id <> rep")
@@ -509,10 +510,14 @@ def link_components(docs: DataFrame, join: Join = Join(), *, id_col: str = "doc_
     regions = met.union(coded.where("region IS NOT NULL").select("region", "doc")).join(copies, "doc", "left").select(
         "region", F.coalesce("rep", "doc").alias("doc")).distinct()
     sizes = thin.where("n_shingles > 0").groupBy(F.col("doc_id").alias("doc")).agg(F.max("n_shingles").alias("n_shingles"))
-    regions = _alike(stored(regions, "regions"), sizes, join)
+    regions, regions_path = stored_at(regions, "regions")
+    drop(docs, coded_path)
+    alike, alike_path = _alike(regions, sizes, join)
     labels = docs.sparkSession.createDataFrame([], "node long, component long")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
-    todo = _unfinished(regions, labels)
+    todo = _unfinished(_distinct_sets(alike), labels)
+    for path in (regions_path, alike_path):
+        drop(docs, path)
     if not todo.isEmpty():
         links = stored(_balls(docs, todo, join), "links")
         labels = components(links)
