@@ -10,6 +10,7 @@ from pulsegrid.catalog.series_queries import EVS, H1, M1, dense_sql, event_serie
 from pulsegrid.catalog.stream_features import REACH, calendar_sql, ewma_sql
 from pulsegrid.functions.calendar import calendar_features
 from pulsegrid.operators import rolling as R
+from pulsegrid.operators.ordered import null_safe_join
 from pulsegrid.operators import series as S
 from pulsegrid.plans.training import build_features, future_rate
 from pulsegrid.schema import FEATURE_COLS, LABEL_COLS
@@ -98,7 +99,7 @@ def _seconds(spark, sf):
     latency = S.handle_missing(
         S.resample(base, "1s", "mean", keys=["endpoint"]), "ffill", keys=["endpoint"]).select(
         "endpoint", "timestamp", F.col("value").alias("latency"))
-    return counts.join(latency, ["endpoint", "timestamp"])
+    return null_safe_join(counts, latency, ["endpoint", "timestamp"], exact=["timestamp"])
 
 
 @query("w10_second_features", f"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.calendar import interval_seconds
 from pulsegrid.functions.web import status_matches
+from pulsegrid.operators.ordered import null_safe_join
 from pulsegrid.operators.quantiles import exact_percentiles
 from pulsegrid.operators.series import handle_missing, resample
 
@@ -111,7 +112,7 @@ def phase_summary(samples: DataFrame, phase: str = "phase", *, latency: str = "l
     ends = samples.groupBy(phase).agg(
         F.count_if(F.col("status") >= 500).alias("errors"),
         F.min_by("replicas", ts).alias("start_replicas"), F.max_by("replicas", ts).alias("end_replicas"))
-    return exact_percentiles(samples, latency, {"p50": 0.5, "p95": 0.95}, [phase]).join(ends, phase)
+    return null_safe_join(ends, exact_percentiles(samples, latency, {"p50": 0.5, "p95": 0.95}, [phase]), [phase], "left")
 
 
 def replica_status(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -140,7 +141,7 @@ def gauge_timeline(audit: DataFrame, columns: Sequence[str], *, ts: str = "times
     last = audit.groupBy(*keys, bucket(ts, interval).alias("timestamp")).agg(
         F.max_by(F.struct(*[F.col(c).cast("double").alias(c) for c in columns]), ts).alias("_g"))
     grid = resample(last.withColumn("value", F.lit(1.0)), interval, "mean", keys=keys).select(*keys, "timestamp")
-    out = grid.join(last, [*keys, "timestamp"], "left").withColumnRenamed("_g", "value")
+    out = null_safe_join(grid, last, [*keys, "timestamp"], "left", exact=["timestamp"]).withColumnRenamed("_g", "value")
     filled = handle_missing(out, "ffill", keys=keys)
     return filled.select(*keys, "timestamp", *[F.col(f"value.{c}").alias(c) for c in columns])
 

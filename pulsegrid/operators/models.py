@@ -1,4 +1,4 @@
-"""Training sets, load forecaster and anomaly model on Spark ML and bounded per-tree samples."""
+"""Training sets, load forecaster (boosted trees) and anomaly model (bounded per-tree samples)."""
 
 from __future__ import annotations
 
@@ -7,19 +7,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import boosting
 from pulsegrid.operators.ordered import time_index
 from pulsegrid.operators.quantiles import exact_median, exact_percentiles
 from pulsegrid.schema import FEATURE_COLS
 from pulsegrid.session import materialise
 
 # Hyper-parameters of the forecaster and the anomaly model.
-FORECAST_PARAMS = {"maxIter": 200, "maxDepth": 8, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42}
+FORECAST_PARAMS = {"trees": 200, "depth": 8, "rate": 0.1, "share": 0.8, "seed": 42}
+QUANTILES = {"main": None, "q10": 0.1, "q90": 0.9}
 TREES, SAMPLE, CONTAMINATION = 100, 256, 0.05
 TRAIN_SHARE = 0.8
 EULER_GAMMA = 0.5772156649015329
@@ -46,70 +46,45 @@ def normal_traffic(train: DataFrame, rate: str = "req_rate_1m", surge: str = "is
 
 @dataclass
 class Forecaster:
-    """A boosted-tree model with residual quantiles per bucket of the predicted rate."""
+    """Trees for the mean and for the 10 % and 90 % quantiles, and what the bounds are widened by."""
 
-    model: GBTRegressionModel
-    residuals: DataFrame
-    edges: list[float]
-    features: Sequence[str]
+    trees: boosting.BoostedTrees
+    widening: float
 
     def save(self, path: str) -> None:
-        """The trees, the residual table and the edges, below ``path``."""
-        spark = self.residuals.sparkSession
-        self.model.write().overwrite().save(f"{path}/trees")
-        self.residuals.write.mode("overwrite").parquet(f"{path}/residuals")
-        meta = [(self.edges, list(self.features))]
-        spark.createDataFrame(meta, "edges array<double>, features array<string>").write.mode("overwrite").parquet(f"{path}/meta")
+        """The trees and the widening, below ``path``."""
+        spark = SparkSession.active()
+        self.trees.save(spark, path)
+        spark.createDataFrame([(self.widening,)], "widening double").write.mode("overwrite").parquet(f"{path}/widening")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Forecaster:
-        meta = spark.read.parquet(f"{path}/meta").first()
-        return cls(GBTRegressionModel.load(f"{path}/trees"), spark.read.parquet(f"{path}/residuals"),
-                   list(meta["edges"]), list(meta["features"]))
+        return cls(boosting.BoostedTrees.load(spark, path), spark.read.parquet(f"{path}/widening").first()[0])
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Adds ``main``, ``lower`` and ``upper``."""
-        main = _predict(self.model, df, self.features)
-        bounded = main.withColumn("_bucket", _bucket(self.edges)).join(F.broadcast(self.residuals), "_bucket", "left")
-        return bounded.withColumns({
-            "lower": F.col("main") + F.coalesce("_q10", F.lit(0.0)),
-            "upper": F.col("main") + F.coalesce("_q90", F.lit(0.0)),
-        }).drop("_bucket", "_q10", "_q90")
-
-
-def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """A missing feature counts as 0, in training as in scoring; no row is dropped."""
-    clean = {f"_f_{k}": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for k, c in enumerate(features)}
-    assembler = VectorAssembler(inputCols=list(clean), outputCol="_features", handleInvalid="error")
-    return assembler.transform(df.withColumns(clean)).drop(*clean)
-
-
-def _predict(model: GBTRegressionModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    out = model.transform(_assemble(df, features))
-    return out.withColumn("main", F.col("prediction")).drop("_features", "prediction")
-
-
-def _bucket(edges: list[float]) -> Column:
-    return F.aggregate(F.array(*[F.lit(float(e)) for e in edges]), F.lit(0),
-                       lambda n, e: n + (F.col("main") > e).cast("int"))
+        """Adds ``main``, ``lower`` and ``upper``; the bounds enclose the prediction."""
+        return self.trees.predict(df).withColumns({
+            "lower": F.least(F.col("q10") - self.widening, "main"), "upper": F.greatest(F.col("q90") + self.widening, "main"),
+        }).drop("q10", "q90")
 
 
-def fit_forecaster(train: DataFrame, *, label: str = "future_req_rate_5m", features: Sequence[str] = FEATURE_COLS,
-                   buckets: int = 10, ts: str = "timestamp", refit: bool = True, **params) -> Forecaster:
-    """Boosted trees on the first 80 % of the training rows; the 10 % and 90 % residuals of the rest,
-    per bucket of the prediction, give the bounds (Spark ML has no quantile loss)."""
+def fit_forecaster(train: DataFrame, *, label: str = "future_req_rate_5m", features: Sequence[str] = FEATURE_COLS, ts: str = "timestamp",
+                   **params) -> Forecaster:
+    """Boosted trees on the first 80 % of the training rows. The rest tells how far the quantiles must be moved
+    outwards (or inwards) for 80 % of its labels to lie between them."""
     parts = chronological_split(train.drop("is_train"), ts=ts)
-    fit_rows, held_out = parts.filter("is_train"), parts.filter("not is_train")
-    booster = GBTRegressor(featuresCol="_features", labelCol=label, **{**FORECAST_PARAMS, **params})
-    model = booster.fit(_assemble(fit_rows.select(*features, label).filter(F.col(label).isNotNull()), features))
-    scored = _predict(model, held_out.select(*features, label), features).withColumn("_res", F.col(label) - F.col("main"))
-    # decile edges of the prediction: at most `buckets` numbers on the driver
-    probes = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(scored.agg(F.percentile_approx("main", probes)).first()[0] or []))
-    residuals = materialise(exact_percentiles(scored.withColumn("_bucket", _bucket(edges)), "_res", {"_q10": 0.1, "_q90": 0.9}, ["_bucket"]))
-    if refit:  # the bounds are known: the point model then learns from all training rows
-        model = booster.fit(_assemble(train.select(*features, label).filter(F.col(label).isNotNull()), features))
-    return Forecaster(model, residuals, edges, list(features))
+    fit_rows, held_out = (parts.filter(c).select(*features, label) for c in ("is_train", "not is_train"))
+    trees = boosting.fit(fit_rows, label, features, QUANTILES, **{**FORECAST_PARAMS, **params})
+    outside = F.greatest(F.col("q10") - F.col(label), F.col(label) - F.col("q90"))
+    excess = materialise(trees.predict(held_out.filter(F.col(label).isNotNull())).select(outside.alias("excess")))
+    found = exact_percentiles(excess, "excess", {"widening": 0.8}).first()
+    return Forecaster(trees, found["widening"] if found else 0.0)
+
+
+def coverage(predicted: DataFrame, label: str = "future_req_rate_5m") -> DataFrame:
+    """Share of the labels that lie within the bounds."""
+    inside = F.col(label).between(F.col("lower"), F.col("upper"))
+    return predicted.agg(F.avg(inside.cast("double")).alias("coverage"), F.count(F.lit(1)).alias("rows"))
 
 
 def forecast_error(predicted: DataFrame, label: str = "future_req_rate_5m") -> DataFrame:

@@ -21,11 +21,11 @@ MIN_BLOCK = 16_384
 SUB = 128  # rows per sub-block of the exponential averages
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equal keys where NULL equals NULL; the keys come from the left."""
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", exact: Sequence[str] = ()) -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys come from the left. ``exact`` are those keys that are never NULL."""
     named = {k: f"_right_{k}" for k in keys}
     other = right.withColumnsRenamed(named)
-    on = [left[k].eqNullSafe(other[r]) for k, r in named.items()]
+    on = [left[k] == other[r] if k in exact else left[k].eqNullSafe(other[r]) for k, r in named.items()]
     return left.join(other, on, how).drop(*named.values())
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.calendar import calendar_features
 from pulsegrid.functions.numeric import correlation_from_sums
-from pulsegrid.operators.ordered import ewma_stages, over_blocks, running_before
+from pulsegrid.operators.ordered import ewma_stages, null_safe_join, over_blocks, running_before
 from pulsegrid.schema import FEATURE_COLS
 from pulsegrid.session import materialise
 
@@ -151,7 +151,7 @@ def _frames(seconds: DataFrame) -> DataFrame:
 
     totals = seconds.groupBy("endpoint", own.alias("_slice")).agg(F.sum(F.col("cnt") - F.col("old")).alias("_n"))
     carried = running_before(totals, ["endpoint"], ["_slice"], "_n", "_off").drop("_n")
-    return reached.join(carried, ["endpoint", "_slice"]).select(
+    return null_safe_join(reached, carried, ["endpoint", "_slice"], exact=["_slice"]).select(
         "endpoint", "sec", "old",
         (F.col("_off") + F.col("_in") - (F.col("cnt") - F.col("old"))).alias("events_before"),
         *[(F.col("_run") - F.col("cnt") - F.coalesce(F.col(f"_left{n}._run"), F.lit(0))).alias(f"tot{n}")
@@ -188,11 +188,11 @@ def trailing_windows(events: DataFrame, *, carried: DataFrame | None = None, sec
     else:
         # at most (all events / hot_second) rows: bounded, hence safe to broadcast
         block = F.shiftright("event_id", ID_BLOCK_BITS)
-        marked = stamped.join(F.broadcast(hot), group, "left")
+        marked = null_safe_join(stamped, F.broadcast(hot), group, "left", exact=["sec"])
         parts = marked.filter("_hot").groupBy(*group, F.col("ms").alias("_ms"), block.alias("_blk")).agg(
             F.count(F.lit(1)).alias("_n"))
         parts = running_before(parts, group, ["_ms", "_blk"], "_n", "_skip").drop("_n")
-        table = table.join(parts, group, "left").withColumns({
+        table = null_safe_join(table, parts, group, "left", exact=["sec"]).withColumns({
             c: F.coalesce(c, F.lit(v).cast("long")) for c, v in (("_ms", -1), ("_blk", -1), ("_skip", 0))})
         stamped = marked.withColumns({
             "_ms": F.when(F.col("_hot"), F.col("ms")).otherwise(F.lit(-1)),
@@ -200,7 +200,7 @@ def trailing_windows(events: DataFrame, *, carried: DataFrame | None = None, sec
         group = [*group, "_ms", "_blk"]
 
     rank = F.row_number().over(W.partitionBy(*group).orderBy("ms", "event_id"))
-    ranked = stamped.withColumn("_rn", rank).join(table, group)
+    ranked = null_safe_join(stamped.withColumn("_rn", rank), table, group, exact=[k for k in group if k not in ("endpoint", "_blk")])
     fresh = F.col("_skip") + F.col("_rn")
     rn = F.col("old") + fresh
     on_edge = F.col("ms") % 1000 == 0
@@ -266,11 +266,11 @@ def rate_history(rated: DataFrame, rate: str = "req_rate_1m", count: str = "tota
     series = rated.withColumn("seq", F.col("idx"))
     if history is not None:
         ends = history.groupBy("endpoint").agg(F.min("seq").alias("_lo"), (F.max("seq") + 1).alias("_next"))
-        shifted = series.join(ends, "endpoint", "left").withColumns({
+        shifted = null_safe_join(series, ends, ["endpoint"], "left").withColumns({
             "seq": F.col("idx") + F.coalesce("_next", F.lit(0)),
             "idx": F.col("idx") + F.coalesce(F.col("_next") - F.col("_lo"), F.lit(0)), "_old": F.lit(False),
         }).drop("_lo", "_next")
-        older = history.join(ends, "endpoint").select(
+        older = null_safe_join(history, ends, ["endpoint"]).select(
             "endpoint", "seq", rate, count, (F.col("seq") - F.col("_lo")).alias("idx"), F.lit(True).alias("_old"))
         series = shifted.unionByName(older, allowMissingColumns=True)
     averages, reach, helpers = ewma_stages(F.col(rate), {"ewma_03": 0.3, "ewma_07": 0.7}, keys=["endpoint"])
@@ -310,8 +310,8 @@ def with_infra(events: DataFrame, per_minute: DataFrame | None = None, *, ts: st
     if per_minute is None:
         return events.withColumns({k: F.lit(float(v)) for k, v in defaults.items()})
     given = [c for c in per_minute.columns if c in defaults]
-    joined = events.withColumn("minute", F.date_trunc("minute", ts)).join(
-        per_minute.select("endpoint", "minute", *given), ["endpoint", "minute"], "left").drop("minute")
+    joined = null_safe_join(events.withColumn("minute", F.date_trunc("minute", ts)), per_minute.select("endpoint", "minute", *given),
+                            ["endpoint", "minute"], "left").drop("minute")
     return joined.withColumns({
         k: F.coalesce(F.col(k).cast("double"), F.lit(float(v))) if k in given else F.lit(float(v))
         for k, v in defaults.items()})

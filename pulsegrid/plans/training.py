@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.calendar import calendar_features
 from pulsegrid.functions.numeric import clip
 from pulsegrid.operators import rolling as R
-from pulsegrid.operators.ordered import time_index
+from pulsegrid.operators.ordered import null_safe_join, time_index
 from pulsegrid.operators.quality import report
 from pulsegrid.operators.quantiles import exact_median
 from pulsegrid.operators.series import fuse
@@ -25,7 +25,7 @@ SURGE_FACTOR, SURGE_FLOOR = 3.0, 1.0
 
 def with_scalars(df: DataFrame, scalars: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Attach per-series scalars (one row per series)."""
-    return df.join(scalars, list(keys)) if keys else df.crossJoin(F.broadcast(scalars))
+    return null_safe_join(df, scalars, list(keys)) if keys else df.crossJoin(F.broadcast(scalars))
 
 
 def surge_flags(df: DataFrame, rate: str = R.RATE, keys: Sequence[str] = ()) -> DataFrame:
@@ -57,7 +57,7 @@ def build_features(fused: DataFrame, *, keys: Sequence[str] = (), latency: str |
     indexed = materialise(fused if "idx" in fused.columns else time_index(fused, keys=keys))
     scalars = indexed.groupBy(*keys).agg(
         F.max(R.RATE).alias("_top"), F.max_by(R.RATE, "timestamp").alias("_final"))
-    scalars = scalars.join(exact_median(indexed, R.RATE, keys, "_median"), keys) if keys else \
+    scalars = null_safe_join(scalars, exact_median(indexed, R.RATE, keys, "_median"), keys, "left") if keys else \
         scalars.crossJoin(exact_median(indexed, R.RATE, keys, "_median"))
     r = F.col(R.RATE)
     load = F.coalesce(F.when(F.col("_top") > 0, F.try_divide(r, F.col("_top"))), F.lit(0.0))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pulsegrid.operators.ordered import null_safe_join
 from pulsegrid.plans import event_features as ef
 from pulsegrid.schema import FEATURE_COLS
 from pulsegrid.session import drop_folder, scratch
@@ -35,7 +36,7 @@ def retain_seconds(seconds: DataFrame, *, idle_ttl: int | None = None) -> DataFr
     if idle_ttl is not None:
         overall = newest.agg(F.max("_top").alias("_all"))
         newest = newest.crossJoin(F.broadcast(overall)).filter(F.col("_top") >= F.col("_all") - idle_ttl).drop("_all")
-    kept = seconds.join(newest, "endpoint").filter(F.col("sec") >= F.col("_top") - COUNT_RETENTION)
+    kept = null_safe_join(seconds, newest, ["endpoint"]).filter(F.col("sec") >= F.col("_top") - COUNT_RETENTION)
     recent = F.when(F.col("sec") >= F.col("_top") - LATENCY_RETENTION, F.col("last_latency"))
     return kept.select("endpoint", "sec", "cnt", recent.alias("last_latency"))
 
@@ -75,9 +76,9 @@ def feature_batch(output: str, state: str, *, late: str | None = None, late_afte
         known = spark.read.parquet(f"{output}/batch_id={batch_id}").select("endpoint", "seq", "req_rate_1m", "total_60s")
         if history is not None:
             known = known.unionByName(history)
-        known = known.join(alive, "endpoint", "left_semi")
+        known = null_safe_join(known, alive, ["endpoint"])
         ends = known.groupBy("endpoint").agg((F.max("seq") - ef.KEPT_RATES).alias("_floor"))
-        rates_table.after(batch_id, known.join(ends, "endpoint").filter(F.col("seq") > F.col("_floor")).drop("_floor"))
+        rates_table.after(batch_id, null_safe_join(known, ends, ["endpoint"]).filter(F.col("seq") > F.col("_floor")).drop("_floor"))
         events.unpersist()
 
     return run

@@ -28,10 +28,10 @@ def test_forecaster_bounds(spark):
     pdf = pd.DataFrame({"timestamp": pd.date_range("2024-01-01", periods=n, freq="min"), "a": a, "b": rng.normal(size=n),
                         "future_req_rate_5m": 3 * a + rng.normal(0, 5, n)})
     df = spark.createDataFrame(pdf)
-    model = ML.fit_forecaster(df, features=["a", "b"], maxIter=10, maxDepth=4)
+    model = ML.fit_forecaster(df, features=["a", "b"], trees=30, depth=4)
     out = model.predict(df)
     rows = out.toPandas()
-    assert (rows["lower"] <= rows["upper"]).all()
+    assert (rows["lower"] <= rows["main"]).all() and (rows["main"] <= rows["upper"]).all()
     inside = rows["future_req_rate_5m"].between(rows["lower"], rows["upper"]).mean()
     assert 0.5 < inside < 0.99
     assert ML.forecast_error(out).first()["mae"] < 20

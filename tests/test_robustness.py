@@ -75,7 +75,7 @@ def test_models_keep_rows_and_can_be_stored(spark):
     pdf = pd.DataFrame({"timestamp": t, "a": rng.normal(size=400), "b": rng.normal(size=400)})
     pdf["future_req_rate_5m"] = 3 * pdf["a"] + 10
     df = spark.createDataFrame(pdf)
-    model = ML.fit_forecaster(df, features=["a", "b"], maxIter=3, maxDepth=3)
+    model = ML.fit_forecaster(df, features=["a", "b"], trees=3, depth=3)
     holes = df.withColumn("a", F.when(F.minute("timestamp") % 2 == 0, F.col("a")))
     predicted = model.predict(holes)
     assert predicted.count() == 400 and predicted.where("main IS NULL OR lower > upper").count() == 0
