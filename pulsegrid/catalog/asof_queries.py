@@ -14,7 +14,7 @@ RECENT, FRESH = 180, 900  # seconds that a vector, or a measurement, counts
 @query("k03b_vector_as_of_minute", f"""WITH {EVC_SQL},
   m AS (SELECT endpoint, ms, max(event_id) AS event_id, arg_max(latency_ms, event_id) AS latency_ms FROM ev GROUP BY endpoint, ms),
   g AS (SELECT endpoint, unnest(range(min(sec) // 60, max(sec) // 60 + 5)) * 60000 AS due FROM ev GROUP BY endpoint)
-  SELECT g.endpoint, epoch_ms(due) AS minute, CASE WHEN due - ms <= {RECENT * 1000} THEN event_id END AS event_id,
+  SELECT g.endpoint, epoch_ms(due) AS minute, CASE WHEN due - ms <= {RECENT * 1000} THEN event_id::VARCHAR END AS event_id,
     {r6(f'CASE WHEN due - ms <= {RECENT * 1000} THEN latency_ms END')} AS latency_ms
   FROM g ASOF LEFT JOIN m ON g.endpoint = m.endpoint AND g.due >= m.ms""")
 def k03b(spark, sf):
@@ -24,7 +24,7 @@ def k03b(spark, sf):
     grid = ev.groupBy("endpoint").agg(first.alias("first"), last.alias("last")).select(
         "endpoint", F.explode(F.expr("sequence(first, last + interval 4 minutes, interval 1 minute)")).alias("minute"))
     found = asof_join(grid, ev.withColumn("id", F.col("event_id")), ["endpoint"], ts="minute", values=["id", "latency_ms"], tie=["event_id"], tolerance=RECENT)
-    return tidy(found.select("endpoint", "minute", F.col("id").alias("event_id"), "latency_ms"))
+    return tidy(found.select("endpoint", "minute", F.col("id").cast("string").alias("event_id"), "latency_ms"))
 
 
 @query("t08c_infra_as_of", f"""WITH {EVC_SQL},
