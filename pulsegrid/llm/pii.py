@@ -75,10 +75,16 @@ def _emails(text: str) -> Iterator[Span]:
         at = text.find("@", max(at + 1, end))
 
 
+def at_most_255(digits: str) -> bool:
+    """Whatever the number of leading zeros."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """By kind in the fixed order, then by start."""
     out = list(_emails(text)) if "@" in text else []
-    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p) < 20 and int(p) <= 255 for p in m.group().split("."))]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(at_most_255(p) for p in m.group().split("."))]
     for m in CARD.finditer(text):
         d = only_digits(m.group())
         if 13 <= len(d) <= 19 and luhn(d):

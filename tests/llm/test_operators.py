@@ -421,6 +421,8 @@ def test_base_spans_are_the_patterns():
         text = "".join(rng.choice("0123456789..  --++@@ab%()") for _ in range(rng.randint(1, 40)))
         assert pii.base_spans(text) == list(plain_spans(text))
     assert pii.base_spans("1" * 200_000 + "-" * 50_000 + "a" * 200_000) == []
+    zeros = "0" * 9000
+    assert pii.base_spans(f"{zeros}1.2.3.{zeros}255") == [("ip", 0, 18009)] and pii.base_spans(f"{zeros}1.2.3.{zeros}256") == []
 
 
 def pii_samples():
