@@ -55,8 +55,11 @@ parts AS (
   SELECT page_id, url, html, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
 links AS (
-  SELECT url, unnest([regexp_extract(regexp_extract(html, '(?i)<link[^>]*rel=["'']?canonical["'']?[^>]*>'), '(?i)href=["'']?([^"''>\s]+)', 1),
-    regexp_extract(regexp_extract(html, '(?i)<meta[^>]*http-equiv=["'']?refresh["'']?[^>]*>'), '(?i)url=["'']?([^"''>\s;]+)', 1),
+  SELECT url, unnest(list_transform(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)<!--.*?(?:-->|\z)', '', 'g'), '(?i)<(?:link|meta)\s[^>]*>'), lambda t:
+    CASE WHEN regexp_matches(t, '(?is)^<link\s.*\brel\s*=\s*("([^"]*\s)?canonical(\s[^"]*)?"|''([^'']*\s)?canonical(\s[^'']*)?''|canonical[\s/>])')
+           THEN regexp_extract(t, '(?i)\shref\s*=\s*["'']?([^"''>\s]+)', 1)
+         WHEN regexp_matches(t, '(?is)^<meta\s.*\bhttp-equiv\s*=\s*["'']?refresh["''\s/>]')
+           THEN regexp_extract(t, '(?i)\scontent\s*=\s*["'']?\s*0*(?:\.0*)?\s*[;,]\s*url\s*=\s*["'']?([^"''>\s;]+)', 1) END) || [
     regexp_replace(regexp_replace(regexp_replace(url, '[?](utm_[a-z]+|fbclid|gclid)=[^&#]*(#|$)', '', 'g'), '(?s)#.*$', ''), '^http://', 'https://')]) AS target
   FROM pages WHERE contains(url, '://')),
 edges AS (

@@ -28,10 +28,12 @@ from pulsegrid.llm.components import components
 from pulsegrid.llm.store import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL = r"""(?i)<link[^>]*rel=["']?canonical["']?[^>]*>"""
-HREF = r"""(?i)href=["']?([^"'>\s]+)"""
-REFRESH = r"""(?i)<meta[^>]*http-equiv=["']?refresh["']?[^>]*>"""
-TARGET = r"""(?i)url=["']?([^"'>\s;]+)"""
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+TAG = r"(?i)<(?:link|meta)\s[^>]*>"
+CANONICAL = r"""(?is)^<link\s.*\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"""
+HREF = r"""(?i)\shref\s*=\s*["']?([^"'>\s]+)"""
+REFRESH = r"""(?is)^<meta\s.*\bhttp-equiv\s*=\s*["']?refresh["'\s/>]"""
+TARGET = r"""(?i)\scontent\s*=\s*["']?\s*0*(?:\.0*)?\s*[;,]\s*url\s*=\s*["']?([^"'>\s;]+)"""  # after no delay
 TRACKING = "^(utm_[a-z]+|fbclid|gclid)="
 
 
@@ -85,11 +87,13 @@ def resolved(target: Column, url: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """``(a, b)`` urls of the same content: canonical links, immediate redirects, normal forms of both ends of these and of all urls."""
-    url, html = F.col("url"), F.col("html")
-    targets = F.array(
-        resolved(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1), url),
-        resolved(F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1), url))
+    """``(a, b)`` urls of the same content: canonical links, immediate redirects, normal forms of both ends of these and of all urls.
+
+    All links of a page count, with ``canonical`` among the words of ``rel``; a refresh after a delay and what stands in a comment don't."""
+    url = F.col("url")
+    tags = F.regexp_extract_all(F.regexp_replace("html", COMMENT, ""), F.lit(TAG), F.lit(0))
+    found = F.transform(tags, lambda t: F.when(t.rlike(CANONICAL), F.regexp_extract(t, HREF, 1)).when(t.rlike(REFRESH), F.regexp_extract(t, TARGET, 1)))
+    targets = F.transform(F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda t: t.isNotNull()), lambda t: resolved(t, url))
     ends = F.array_append(targets, url)
     links = F.concat(F.transform(targets, lambda b: F.struct(url.alias("a"), b.alias("b"))),
                      F.transform(ends, lambda a: F.struct(a.alias("a"), normal_form(a).alias("b"))))
