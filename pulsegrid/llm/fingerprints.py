@@ -12,7 +12,7 @@ until nothing is left; if something stays, both sketches are built again with fo
 likeness of two texts is the Jaccard index that follows from the sizes and the number of digests peeled.
 All pairs of a batch are peeled together, in array operations.
 
-Sketches hold sums, so equal texts have equal fingerprints whatever the batch. ``fingerprint`` is the smallest
+Written cells have counts of 32 bits, sums of 64 and checksums of 32. Sketches hold sums, so equal texts have equal fingerprints whatever the batch. ``fingerprint`` is the smallest
 sketch with the number of paragraphs in front.
 
 * null text: empty, no paragraphs; two texts without paragraphs have likeness 1, one without and one with 0;
@@ -31,7 +31,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import text as tx
@@ -176,7 +175,7 @@ def fingerprints(d: tuple[np.ndarray, np.ndarray]) -> list[str]:
     size = np.diff(bounds)
     counts, sums, checks = sketches(digest, np.repeat(np.arange(n), size), 1, n, CELLS)
     cells = np.concatenate([a.view(np.uint8).reshape(-1, a.itemsize) for a in (
-        np.minimum(counts, 65535).astype("<u2"), sums.astype("<u8"), (checks & LOW).astype("<u4"))], axis=1)
+        counts.astype("<u4"), sums.astype("<u8"), (checks & LOW).astype("<u4"))], axis=1)
     rows = cells.reshape(n, -1)
     return [f"{k}:{base64.b64encode(r.tobytes()).decode()}" for k, r in zip(size.tolist(), rows, strict=True)]
 
@@ -217,7 +216,7 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Ids are cut into ranges of about ``RANGE`` texts at their quantiles. A text meets its successor in its range;
     to each range a copy of the first text of the next one is added, so texts are shuffled once and nothing is
-    written in between. Driver: a number per range. Broadcast: a number and a text per range.
+    written in between. Driver and broadcast: a number per range.
     """
     first = -(1 << 63)  # null ids come first
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -235,9 +234,9 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.withColumn("range", range_of("key"))
     least = rows.groupBy("range").agg(F.min("key").alias("key"))
     heads = stored(rows.join(F.broadcast(least), ["range", "key"]).groupBy("range").agg(F.min("text").alias("text")), "heads")
-    follows = F.lead("text").over(W.orderBy("range"))  # a row per range
+    follows = heads.select((F.col("range") - 1).alias("range"), F.col("text").alias("follows"))  # only the first range can be empty
     begin = heads.orderBy("range").limit(1).select(F.col("text").alias("begin"))
-    copies = heads.select("range", follows.alias("follows")).crossJoin(F.broadcast(begin)).select(  # a single row on one side
+    copies = heads.select("range").join(follows, "range", "left").crossJoin(F.broadcast(begin)).select(  # a single row on one side
         F.lit(None).cast("long").alias("doc_id"), F.coalesce("follows", "begin").alias("text"), F.lit(0).cast("long").alias("key"),
         "range", F.lit(1).alias("copy"))
     ordered = (rows.withColumn("copy", F.lit(0)).unionByName(copies).repartition(ranges, "range")
