@@ -246,7 +246,8 @@ def pack(cut: DataFrame, *, window: int = WINDOW, group: int = GROUP) -> DataFra
     """Sequences for pieces of at most ``window`` tokens; sequence ids are group * 2^36 + window number."""
     cut = stored(cut, "pieces")  # thin rows; the number of groups depends on how many there are
     groups = max(1, -(-cut.count() // group))
-    dealt: Column = F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups))
+    row = F.monotonically_increasing_id()  # of the table just written: repeated and null ids are dealt like any others
+    dealt: Column = F.pmod(F.xxhash64(row), F.lit(groups))
     ordered = (cut.withColumn("bin_group", dealt).repartition("bin_group")
                .sortWithinPartitions("bin_group", F.desc("length"), "doc_id", "start", "ids_crc32"))
     return ordered.mapInArrow(_pack_groups(window), PACKED)
