@@ -1,5 +1,6 @@
 """The ten operators next to brute force, on small, awkward and random inputs."""
 
+import base64
 import collections
 import fractions
 import hashlib
@@ -399,6 +400,17 @@ def test_aliases_by_normal_forms_and_relative_links(spark):
     assert {r["page_id"] for r in collected(urls.judge(pages, urls.rules(spark, RULES))) if r["verdict"] == "block"} == set(range(1, 8))
 
 
+def test_links_that_are_aliases(spark):
+    bad = "http://b.net/es/p"
+    htmls = [f'<meta http-equiv=refresh content="600; url={bad}">', f'<!-- <link rel="canonical" href="{bad}"> -->', f'<!-- open <link rel=canonical href={bad}>',
+             f'<link rel="notcanonical" href="{bad}">', f'<link href="{bad}" rel="stylesheet">', f'<p>rel=canonical href={bad}</p>',  # up to here none is an alias
+             f'<META content="0.0;URL={bad}" http-equiv="Refresh">', f'<link rel="alternate\ncanonical" href="{bad}">',
+             f'<link rel=canonical href="https://else.org/"><link rel=\'canonical\' href=\'{bad}\'/>', f'<!-- a --><link\nrel=canonical href={bad}>']
+    rows = [(k, f"https://s{k}.org/x", h) for k, h in enumerate(htmls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"] for r in collected(urls.judge(pages, urls.rules(spark, RULES))) if r["verdict"] == "block"} == {6, 7, 8, 9}
+
+
 # ---- 7 ----
 
 PLAIN = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -574,6 +586,20 @@ def test_sketches_against_sets(spark, monkeypatch, documents, nothing):
     assert fingerprints.fingerprint(nothing).count() == 0
 
 
+def test_written_counts_are_whole():
+    n = 600_000  # about 75,000 to a cell
+    (written,) = fingerprints.fingerprints((np.arange(n, dtype=np.uint64), np.array([0, n])))
+    cells = np.frombuffer(base64.b64decode(written.split(":")[1]), np.dtype([("count", "<u4"), ("sum", "<u8"), ("check", "<u4")]))
+    assert len(cells) == fingerprints.CELLS and cells["count"].sum() == fingerprints.HASHES * n and cells["count"].max() > 65_535
+
+
+def test_nameless_pieces_are_dealt_to_all_groups(spark):
+    cut = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(700).cast("long").alias("length"),
+                                   F.lit(7).cast("long").alias("ids_crc32"), F.lit(700).cast("long").alias("doc_tokens"))
+    got = collections.Counter(r["sequence_id"] >> 36 for r in packing.pack(cut, group=500).collect())
+    assert len(got) == 4 and sum(got.values()) == 2000 and max(got.values()) < 700
+
+
 def test_peeling_recovers_the_differing_digests():
     rng = np.random.default_rng(2)
     digest = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64))
