@@ -495,6 +495,15 @@ def _unfinished(regions: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(labelled.join(mixed, "region"), "unfinished")
 
 
+def _with_links(links: DataFrame, labels: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links and their components; those that were there, where nothing is new."""
+    new = stored(new, "links")
+    if new.isEmpty():
+        return links, labels
+    links = links.union(new)
+    return links, components(links)
+
+
 def link_components(docs: DataFrame, join: Join = Join(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row: components of the graph of all similar pairs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -531,11 +540,10 @@ def link_components(docs: DataFrame, join: Join = Join(), *, id_col: str = "doc_
         parts = todo.where("1 = 0").select("region", "doc")
         if not many.isEmpty():
             pivot_links, parts, whole = _voronoi(docs, many.select("region", "doc", "size"), join)
-            links = stored(links.union(new).union(pivot_links), "links")
-            labels = components(links)
-            new = _joined_in_blocks(docs, _unfinished(whole, labels), join)
-        links = stored(links.union(new), "links")
-        labels = components(links)
+            links, labels = _with_links(links, labels, new.union(pivot_links))
+            whole = _unfinished(whole, labels)
+            new = whole.where("1 = 0").select(F.col("doc").alias("a"), F.col("doc").alias("b")) if whole.isEmpty() else _joined_in_blocks(docs, whole, join)
+        links, labels = _with_links(links, labels, new)
         todo = _unfinished(parts, labels)
     named = (thin.join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left")
              .withColumn("node", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep"))))
