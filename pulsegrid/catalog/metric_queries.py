@@ -262,3 +262,31 @@ def s19(spark, sf):
         "total_rows", "total_columns", F.col("date_range.start").alias("start"), "date_range.span_days",
         "timestamp_continuity.total_gaps", "timestamp_continuity.max_gap_seconds", "duplicate_timestamps",
         "outlier_ratio", only["rows"].alias("source_rows"), only["percent"].alias("percent"), "null_free"))
+
+
+@query("s19b_report_of_orders", f"""WITH m AS (SELECT o_orderdate AS timestamp, o_orderstatus AS source, CASE WHEN o_totalprice >= 20000 THEN o_totalprice END AS r,
+    row_number() OVER (ORDER BY o_orderdate, CASE WHEN o_totalprice >= 20000 THEN o_totalprice END NULLS FIRST) AS idx FROM orders), {_OUTLIER},
+  g AS (SELECT before, after, epoch(before) - epoch(after) AS s FROM (SELECT timestamp AS before, lag(timestamp) OVER (ORDER BY timestamp) AS after FROM m)
+    WHERE epoch(before) - epoch(after) > 86400),
+  listed AS (SELECT *, row_number() OVER (ORDER BY before) AS k FROM g)
+  SELECT source, count(*) AS source_rows, {r6('round(100.0 * count(*) / (SELECT count(*) FROM m), 2)')} AS percent,
+    (SELECT count(*) FROM m) AS total_rows, 2::BIGINT AS total_columns,
+    (SELECT {r6('round((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 86400e6, 2)')} FROM m) AS span_days,
+    (SELECT count(*) FROM g) AS total_gaps, (SELECT {r6('coalesce(round(max(s), 1), 0)')} FROM g) AS max_gap_seconds,
+    (SELECT {r6('coalesce(sum(s), 0)')} FROM listed WHERE k <= 20) AS listed_seconds,
+    (SELECT count(*) - count(DISTINCT timestamp) FROM m) AS duplicate_timestamps, (SELECT {r6('outlier_ratio')} FROM o) AS outlier_ratio,
+    (SELECT count(*) FROM m WHERE r IS NULL) AS null_values FROM m GROUP BY source""")
+def s19b(spark, sf):
+    from pulsegrid.catalog.inputs import table
+
+    price = F.col("o_totalprice").cast("double")
+    series = table(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp").alias("timestamp"), F.when(price >= 20000, price).alias("value"),
+                                               F.col("o_orderstatus").alias("source"))
+    r = Q.report(series.drop("source"), contributions(series.select("source")), interval="12h")
+    found = F.filter("null_counts", lambda c: c["column"] == "value")
+    listed = F.aggregate("timestamp_continuity.gaps", F.lit(0.0), lambda total, g: total + g["gap_seconds"])
+    return tidy(r.select(
+        F.explode("source_contributions").alias("c"), "total_rows", "total_columns", "date_range.span_days", "timestamp_continuity.total_gaps",
+        "timestamp_continuity.max_gap_seconds", listed.alias("listed_seconds"), "duplicate_timestamps", "outlier_ratio",
+        F.coalesce(F.try_element_at(found, F.lit(1))["nulls"], F.lit(0).cast("long")).alias("null_values"))
+        .select("c.source", F.col("c.rows").alias("source_rows"), "c.percent", "*").drop("c"))
