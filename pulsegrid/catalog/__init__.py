@@ -6,7 +6,7 @@ import importlib
 
 from pulsegrid.catalog import registry
 
-_FAMILIES = ("stream_features", "series_queries", "rolling_queries", "source_queries", "decision_queries", "metric_queries", "model_queries", "streaming_queries", "asof_queries")
+_FAMILIES = ("stream_features", "series_queries", "rolling_queries", "source_queries", "decision_queries", "metric_queries", "model_queries", "streaming_queries", "asof_queries", "control_queries")
 
 
 def _load() -> None:

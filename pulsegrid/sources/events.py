@@ -17,13 +17,18 @@ OFFSET_BITS = 44  # 2^44 records to a partition
 INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 
 
-def event_stream(spark: SparkSession, fmt: str = "kafka", path: str | None = None, **options: str) -> DataFrame:
-    """Streaming ``(event_id, value, record_time)`` from a topic (``subscribe=...``) or a folder of JSON lines.
+TOPIC_ARCHIVE = "partition int, offset long, key string, value string, timestamp timestamp"
+
+
+def event_stream(spark: SparkSession, fmt: str = "kafka", path: str | None = None, *, schema: str | None = None, **options: str) -> DataFrame:
+    """Streaming ``(event_id, value, record_time)`` from a topic (``subscribe=...``), a folder of JSON lines (``text``), or a
+    topic's records kept as files (``parquet`` with ``schema=TOPIC_ARCHIVE``).
 
     A topic's ids come from partition and offset, which order the records of a client and never change; a
     record of a folder has the hash of its file and text.
     """
     reader = spark.readStream.format(fmt).options(**options)
+    reader = reader.schema(schema) if schema else reader
     raw = reader.load(path) if path else reader.load()
     time = F.col("timestamp") if "timestamp" in raw.columns else F.current_timestamp()
     value = F.col("value").cast("string")
