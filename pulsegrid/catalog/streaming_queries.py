@@ -88,6 +88,41 @@ def t13(spark, sf):
     return tidy(metrics.with_rates(newest))
 
 
+SLIDING = 300_000  # length of the sliding windows
+_SLIDING_HIST = HIST_SQL[HIST_SQL.index("count(*) FILTER"):].split(" FROM ev")[0]
+
+
+def _sliding_sql(rows: str, key: str, counts: str, delay: int) -> str:
+    """Windows begun every minute that the watermark, ``delay`` behind the newest row, has passed."""
+    return f"""copied AS (SELECT *, unnest(range(ms // 60000 - 4, ms // 60000 + 1)) * 60000 AS b FROM {rows}),
+  hist AS (SELECT epoch_ms(b) AS window_start, {key}, {counts} FROM copied
+    WHERE b + {SLIDING} <= (SELECT max(ms) - {delay} FROM {rows}) GROUP BY ALL)"""
+
+
+@query("t13b_sliding_metrics_stream", f"""WITH {EVC_SQL}, {_sliding_sql("ev", "endpoint", _SLIDING_HIST + ", count(*) FILTER (status >= 500) AS errors", 600_000)}
+  SELECT window_start, endpoint, le_inf AS requests, errors, {r6('le_inf / 300.0')} AS rate, {r6('errors / 300.0')} AS error_rate,
+    {r6('errors / le_inf::DOUBLE')} AS error_ratio, {r6(_quantile_sql(0.95))} AS latency_ms FROM hist""")
+def t13b(spark, sf):
+    """Increase, rates and quantile of the last five minutes, every minute: two stateful steps in one stream."""
+    ev = event_stream(spark, sf, SPEEDUP).withColumn("latency_ms", F.col("latency_ms") * 7)
+    out, cp = scratch(spark, "sliding"), scratch(spark, "cp")
+    _run(metrics.start_append_stream(metrics.sliding_metrics(ev), out, cp, available_now=True))
+    return tidy(metrics.with_rates(spark.read.parquet(out), 300.0))
+
+
+@query("t13c_limited_hits_stream", f"""WITH RECURSIVE {LIMITED_SQL}, over AS (SELECT * FROM lim WHERE window_count > {LIMIT_TEST}),
+  {_sliding_sql("over", "client_id", "count(*) AS hits", 30_000)} SELECT * FROM hist""")
+def t13c(spark, sf):
+    """The limiter's stream and, behind it, the stream that counts what it rejected."""
+    ev = event_stream(spark, sf, 6000)
+    path = F.when(F.col("endpoint") == "signup", "/health").otherwise(F.concat(F.lit("/api/"), "endpoint"))
+    decided, state, out = (scratch(spark, n) for n in ("decisions", "windows", "hits"))
+    _run(limiter.start_limit_stream(ev.withColumn("path", path), decided, state, scratch(spark, "cp"), limit=LIMIT_TEST, available_now=True))
+    decisions = spark.readStream.schema(spark.read.parquet(decided).schema).parquet(decided)
+    _run(metrics.start_append_stream(metrics.limited_hits_stream(decisions, watermark="30 seconds"), out, scratch(spark, "cp"), available_now=True))
+    return tidy(spark.read.parquet(out))
+
+
 @query("t14_store_upsert_stream", f"""
   SELECT event_type AS endpoint, date_trunc('hour', ts) AS timestamp, {r6('arg_max(value, event_id)')} AS value FROM events GROUP BY 1, 2""")
 def t14(spark, sf):

@@ -63,35 +63,49 @@ def rate_of_change(name: str = "rate_of_change", value: str = RATE) -> Feature:
 
 
 def autocorrelation(name: str = "autocorr_lag1", value: str = RATE, *, pairs: int = 60,
-                    full: bool = False) -> Feature:
+                    full: bool = False, keys: Sequence[str] = ()) -> Feature:
     """Lag-1 correlation over the last ``pairs`` pairs; 0 with fewer than two (or, when ``full``,
-    than all) of them, and 0 for a flat stretch. Moments are taken about the mean (Spark's own aggregates),
-    so the level of the series doesn't matter."""
+    than all) of them, and 0 for a flat stretch. Moments are taken about the means of two panes and merged: O(1) per row for any
+    number of pairs, and the level of the series doesn't matter."""
     x, y = F.col("_ac_x"), F.col("_ac_y")
     first = {"_ac_y": lambda w: F.lag(value, 1).over(w),
              "_ac_x": lambda w: F.when(F.lag(value, 1).over(w).isNotNull(), F.col(value))}
-    parts = {"_ac_n": F.count(y), "_ac_c": F.covar_pop(x, y), "_ac_vx": F.var_pop(x), "_ac_vy": F.var_pop(y), "_ac_x0": F.min(x), "_ac_x1": F.max(x),
-             "_ac_y0": F.min(y), "_ac_y1": F.max(y)}
-    varies = (F.col("_ac_n") >= 2) & (F.col("_ac_x1") > F.col("_ac_x0")) & (F.col("_ac_y1") > F.col("_ac_y0"))
-    if full:
-        varies = varies & (F.col("_ac_n") >= pairs)
-    r = F.try_divide(F.col("_ac_c"), F.sqrt("_ac_vx") * F.sqrt("_ac_vy"))
-    corr = F.when(varies, F.coalesce(r, F.lit(0.0))).otherwise(F.lit(0.0))
-    return Feature([first, {k: _rows(v, pairs) for k, v in parts.items()}, {name: lambda w: corr}],
-                   pairs + 1, helpers=["_ac_x", "_ac_y", *parts])
+    moments = {"n": F.count(y), "mx": F.avg(x), "my": F.avg(y), "c": F.covar_pop(x, y), "vx": F.var_pop(x), "vy": F.var_pop(y),
+               "x0": F.min(x), "x1": F.max(x), "y0": F.min(y), "y1": F.max(y)}
+
+    def merge(new, old, joined):
+        was = {k: F.when(joined, old[k]) for k in moments}
+        na, nb = (F.coalesce(s["n"], F.lit(0)).cast("double") for s in (new, was))
+        n, share = na + nb, F.coalesce(F.try_divide(na * nb, na + nb), F.lit(0.0))
+        dx, dy = (F.coalesce(was[m] - new[m], F.lit(0.0)) for m in ("mx", "my"))
+        c, vx, vy = (na * F.coalesce(new[k], F.lit(0.0)) + nb * F.coalesce(was[k], F.lit(0.0)) + d * share
+                     for k, d in (("c", dx * dy), ("vx", dx * dx), ("vy", dy * dy)))
+        varies = (n >= (pairs if full else 2)) & (n >= 2)
+        for axis in "xy":
+            varies = varies & (F.greatest(new[axis + "1"], was[axis + "1"]) > F.least(new[axis + "0"], was[axis + "0"]))
+        r = F.try_divide(c, F.sqrt(vx) * F.sqrt(vy))
+        return F.when(varies, F.coalesce(r, F.lit(0.0))).otherwise(F.lit(0.0))
+
+    panes = _paned({name: pairs}, keys, moments, merge)
+    return Feature([first, *panes.stages], pairs + 1, helpers=["_ac_x", "_ac_y", *panes.helpers])
 
 
 def lead_value(name: str = "future", value: str = RATE, steps: int = 5) -> Feature:
     return Feature([{name: lambda w: F.lead(value, steps).over(w)}], leading=steps)
 
 
-def future_mean(name: str = "future", value: str = RATE, rows: int = 300) -> Feature:
-    """Mean of the next ``rows`` rows; NULL where fewer are left."""
-    def mean(w):
-        ahead = w.rowsBetween(1, rows)
-        return F.when(F.count(F.lit(1)).over(ahead) == rows, F.avg(value).over(ahead))
-
-    return Feature([{name: mean}], leading=rows)
+def future_mean(name: str = "future", value: str = RATE, rows: int = 300, *, keys: Sequence[str] = ()) -> Feature:
+    """Mean of the next ``rows`` rows; NULL where fewer are left. The mean of the rows up to each row, merged from two panes, is
+    looked up ``rows`` rows ahead: O(1) per row."""
+    def merge(new, old, joined):
+        before = F.when(joined, old["s"])
+        total = F.coalesce(new["s"] + before, new["s"], before)
+        return F.try_divide(total, new["n"] + F.coalesce(F.when(joined, old["n"]), F.lit(0)))
+
+    trailing = f"_{name}_trailing"
+    panes = _paned({trailing: rows}, keys, {"n": F.count(value), "s": F.sum(value)}, merge)
+    ahead = {name: lambda w: F.lead(trailing, rows).over(w)}
+    return Feature([*panes.stages, ahead], leading=rows, helpers=[trailing, *panes.helpers])
 
 
 def count_means(sizes: dict[str, int], value: str) -> Feature:

@@ -77,7 +77,7 @@ def build_features(fused: DataFrame, *, keys: Sequence[str] = (), latency: str |
         R.rolling_max({"req_max_5m": 5, "req_max_15m": 15}),
         R.ewma({"ewma_03": 0.3, "ewma_07": 0.7}, keys=keys),
         R.rate_of_change(),
-        R.autocorrelation(),
+        R.autocorrelation(keys=keys),
         R.lead_value("_ahead"),
         keys=keys, rows=rows)
     limit = F.greatest(F.lit(SURGE_FLOOR), F.col("_median") * SURGE_FACTOR)
