@@ -10,9 +10,8 @@ from pulsegrid.catalog.series_queries import EVS, H1, M1, dense_sql, event_serie
 from pulsegrid.catalog.stream_features import REACH, calendar_sql, ewma_sql
 from pulsegrid.functions.calendar import calendar_features
 from pulsegrid.operators import rolling as R
-from pulsegrid.operators.ordered import null_safe_join
 from pulsegrid.operators import series as S
-from pulsegrid.plans.training import build_features, future_rate
+from pulsegrid.plans.training import build_features, future_rate, second_features
 from pulsegrid.schema import FEATURE_COLS, LABEL_COLS
 from pulsegrid.session import materialise
 
@@ -89,19 +88,6 @@ def w09(spark, sf):
     return tidy(out.select("timestamp", "future"))
 
 
-def _seconds(spark, sf):
-    """Dense per-second counts and mean latency per endpoint (gaps keep the last latency)."""
-    ev = request_events(spark, sf, compress=True)
-    base = ev.select("endpoint", F.col("ts").alias("timestamp"), F.col("latency_ms").alias("value"))
-    ones = base.withColumn("value", F.lit(1).cast("long"))
-    counts = S.resample(ones, "1s", "sum", keys=["endpoint"]).select(
-        "endpoint", "timestamp", "idx", F.col("value").cast("long").alias("req_count"))
-    latency = S.handle_missing(
-        S.resample(base, "1s", "mean", keys=["endpoint"]), "ffill", keys=["endpoint"]).select(
-        "endpoint", "timestamp", F.col("value").alias("latency"))
-    return null_safe_join(counts, latency, ["endpoint", "timestamp"], exact=["timestamp"])
-
-
 @query("w10_second_features", f"""
   WITH {EVC_SQL}, c AS (SELECT endpoint, sec, count(*) AS n, avg(latency_ms) AS lat FROM ev GROUP BY ALL),
   g AS (SELECT endpoint, unnest(range(min(sec), max(sec) + 1)) AS sec FROM c GROUP BY endpoint),
@@ -114,14 +100,7 @@ def _seconds(spark, sf):
     {", ".join(f"{r6(f'coalesce(stddev_samp(lat) OVER (PARTITION BY endpoint ORDER BY sec ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW), 0)')} AS latency_std_{k // 60}m" for k in (300, 900))}
   FROM s""")
 def w10(spark, sf):
-    out = R.apply(
-        _seconds(spark, sf),
-        R.count_means({f"req_rate_{k // 60}m": k for k in (60, 300, 900, 1800)}, "req_count"),
-        R.wide_max({f"req_max_{k // 60}m": k for k in (300, 900)}, "req_count", keys=["endpoint"]),
-        R.wide_std({f"latency_std_{k // 60}m": k for k in (300, 900)}, "latency", keys=["endpoint"]),
-        keys=["endpoint"])
-    cols = [c for c in out.columns if c.startswith(("req_rate", "req_max", "latency_std"))]
-    return tidy(out.select("endpoint", "timestamp", *[F.col(c).cast("double").alias(c) for c in cols]))
+    return tidy(second_features(request_events(spark, sf, compress=True)))
 
 
 _CAL0 = calendar_sql("timestamp", 0)

@@ -93,23 +93,19 @@ def dense_grid(bounds: DataFrame, keys: Sequence[str], step: int, first: str = "
         *keys, (F.col("_f") + F.col("idx") * F.lit(step * MICROS)).alias("_bin"), "idx")
 
 
-def resample(df: DataFrame, interval: str = "1min", agg: str = "sum", *, keys: Sequence[str] = (),
-             ts: str = "timestamp", value: str = "value", dense: bool = True) -> DataFrame:
-    """Left-closed bins labelled by their left edge, counted from midnight of the series' first day,
-    with every bin between the first and the last. An empty bin is 0 for ``sum``, NULL otherwise.
-    Adds ``idx``, the bin's position in the series.
+def _bins(df: DataFrame, interval: str, keys: Sequence[str], ts: str, value: str, dense: bool) -> DataFrame:
+    """Sum, extremes, and counts of rows and values of every bin; ``_n`` and ``_k`` are NULL in an empty one.
 
     Values are first combined on the finest grid that nests in both the day and the interval, so
     what is shuffled and joined afterwards is one row per bin.
     """
     keys, step = list(keys), interval_seconds(interval)
-    agg = agg if agg in AGGREGATIONS else "sum"
     fine = math.gcd(step, DAY)
     micros = F.unix_micros(ts)
     grid = F.floor(micros / F.lit(fine * MICROS)) * F.lit(fine * MICROS)
     # one row per bin, written down: bounds and values both read it, the source is scanned once
     parts = materialise(df.groupBy(*keys, grid.alias("_bin")).agg(
-        F.sum(value).alias("_s"), F.count(value).alias("_k"), F.min(value).alias("_min"), F.max(value).alias("_max")))
+        F.sum(value).alias("_s"), F.count(value).alias("_k"), F.count(F.lit(1)).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max")))
     bounds = parts.groupBy(*keys).agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"))
     if fine != step:
         day = F.lit(DAY * MICROS)
@@ -124,19 +120,36 @@ def resample(df: DataFrame, interval: str = "1min", agg: str = "sum", *, keys: S
         # one anchor row per series; the partial sums joined to it are one row per fine bin
         joined = null_safe_join(parts, anchor, keys) if keys else parts.crossJoin(F.broadcast(anchor))
         parts = joined.groupBy(*keys, edge("_bin").alias("_bin")).agg(
-            F.sum("_s").alias("_s"), F.sum("_k").alias("_k"), F.min("_min").alias("_min"), F.max("_max").alias("_max"))
+            *[F.sum(c).alias(c) for c in ("_s", "_k", "_n")], F.min("_min").alias("_min"), F.max("_max").alias("_max"))
         bounds = anchored.select(*keys, edge("_lo").alias("_lo"), edge("_hi").alias("_hi"))
+    return null_safe_join(dense_grid(bounds, keys, step), parts, [*keys, "_bin"], "left") if dense else parts
+
+
+def resample(df: DataFrame, interval: str = "1min", agg: str = "sum", *, keys: Sequence[str] = (),
+             ts: str = "timestamp", value: str = "value", dense: bool = True) -> DataFrame:
+    """Left-closed bins labelled by their left edge, counted from midnight of the series' first day,
+    with every bin between the first and the last. An empty bin is 0 for ``sum``, NULL otherwise.
+    Adds ``idx``, the bin's position in the series.
+    """
     result = {
         "sum": F.coalesce("_s", F.lit(0.0)),
         "mean": F.try_divide("_s", "_k"),
         "min": F.col("_min"),
         "max": F.col("_max"),
-    }[agg]
-    bins = null_safe_join(dense_grid(bounds, keys, step), parts, [*keys, "_bin"], "left") if dense else parts
+    }[agg if agg in AGGREGATIONS else "sum"]
+    bins = _bins(df, interval, keys, ts, value, dense)
     return bins.select(*keys, F.timestamp_micros("_bin").alias("timestamp"), result.alias("value"),
                        *(["idx"] if dense else []))
 
 
+def count_and_mean(df: DataFrame, interval: str, *, keys: Sequence[str] = (), ts: str = "timestamp", value: str = "value",
+                   count: str = "count", mean: str = "mean") -> DataFrame:
+    """Rows and mean value of every bin, from one scan and on one grid; an empty bin has 0 rows and no mean."""
+    bins = _bins(df, interval, keys, ts, value, True)
+    return bins.select(*keys, F.timestamp_micros("_bin").alias("timestamp"), F.coalesce("_n", F.lit(0)).alias(count),
+                       F.try_divide("_s", "_k").alias(mean), "idx")
+
+
 def handle_missing(df: DataFrame, policy: str = "drop", *, keys: Sequence[str] = ()) -> DataFrame:
     """``drop`` (also any unknown name), ``zero``, ``ffill`` (then backwards for a leading gap) or
     ``interpolate`` (linear between neighbours; a leading or trailing gap takes the nearest value)."""

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.calendar import calendar_features
 from pulsegrid.functions.numeric import clip
 from pulsegrid.operators import rolling as R
-from pulsegrid.operators.ordered import null_safe_join, time_index
+from pulsegrid.operators.ordered import fill_from_neighbours, null_safe_join, time_index
 from pulsegrid.operators.quality import report
 from pulsegrid.operators.quantiles import exact_median
-from pulsegrid.operators.series import fuse
+from pulsegrid.operators.series import count_and_mean, fuse
 from pulsegrid.schema import FEATURE_COLS, LABEL_COLS
 from pulsegrid.session import materialise
 from pulsegrid.sources.manifest import contributions, ingest, load_manifest
@@ -88,6 +88,24 @@ def build_features(fused: DataFrame, *, keys: Sequence[str] = (), latency: str |
     }).select(*keys, "timestamp", *FEATURE_COLS, *LABEL_COLS)
 
 
+def second_features(events: DataFrame, *, key: str = "endpoint", ts: str = "ts", latency: str = "latency_ms",
+                    rows: int | None = None) -> DataFrame:
+    """Features of a dense series of seconds per endpoint: mean request counts, maxima and deviations of the latency over
+    windows of one minute to half an hour. A second without requests keeps the last latency. A NULL endpoint is one too."""
+    grid = count_and_mean(events, "1s", keys=[key], ts=ts, value=latency, count="req_count", mean="latency")
+    near = fill_from_neighbours(grid, "latency", keys=[key])
+    filled = near.withColumn("latency", F.coalesce("_pv", "_nv")).drop("_pv", "_pt", "_nv", "_nt")
+    named = {k: f"{k // 60}m" for k in (60, 300, 900, 1800)}
+    out = R.apply(
+        filled,
+        R.count_means({f"req_rate_{m}": k for k, m in named.items()}, "req_count"),
+        R.wide_max({f"req_max_{named[k]}": k for k in (300, 900)}, "req_count", keys=[key]),
+        R.wide_std({f"latency_std_{named[k]}": k for k in (300, 900)}, "latency", keys=[key]),
+        keys=[key], rows=rows)
+    cols = [c for c in out.columns if c.startswith(("req_rate", "req_max", "latency_std"))]
+    return out.select(key, "timestamp", *[F.col(c).cast("double").alias(c) for c in cols])
+
+
 def build_training_table(spark: SparkSession, manifest: str | dict) -> tuple[DataFrame, DataFrame]:
     """Manifest to ``(features and labels, quality report)``. Writes both where the manifest names
     paths; the report looks at the fused series."""
