@@ -203,7 +203,10 @@ def rate_limit(requests: DataFrame, *, limit: int = LIMIT, window_ms: int = WIND
             yield _frame(parts, ["_client", "_ms", "_anchor"])
 
     def arranged(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-        return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+        # dealt by a column of its own: Spark leaves a repartition out where a join has dealt by the same keys before, and
+        # may later replace that join by a broadcast, after which a group's rows lie in several partitions
+        dealt = df.withColumn("_deal", F.xxhash64(*keys)).repartition("_deal")
+        return dealt.sortWithinPartitions(*keys, *order).drop("_deal")
 
     one, several = ["_client", "_chunk"], ["_client", "_group"]
     steps = materialise(arranged(times.drop("_open"), one, "_ms").mapInPandas(

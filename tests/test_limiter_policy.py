@@ -51,6 +51,21 @@ def test_chunks_do_not_change_decisions(spark, chunk_ms, chunks):
     assert run_limiter(spark, rows, limit=5, chunk_ms=chunk_ms, chunks=chunks)["allowed"].tolist() == plain(rows, 5)
 
 
+def test_joins_replanned_while_running_keep_clients_whole(spark):
+    """A join that turns out small while running is made a broadcast that reads shuffled rows where they lie."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = busy_rows(6)
+        assert run_limiter(spark, rows, limit=5)["allowed"].tolist() == plain(rows, 5)
+        assert run_limiter(spark, rows, limit=5, chunk_ms=60_000, chunks=3)["allowed"].tolist() == plain(rows, 5)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
 def test_missing_client_or_path_is_limited(spark):
     rows = [(0, None, "/api/x", 1), (1, None, None, 2), (2, "", "/api/x", 3), (3, "c", None, 4), (4, None, "/health", 5)]
     df = spark.createDataFrame(rows, "event_id long, client_id string, path string, ms long")
