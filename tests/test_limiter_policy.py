@@ -1,5 +1,7 @@
 """Rate limiter and scaling policy against hand-written sequences and plain models."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import decisions as D
 from pulsegrid.operators import limiter
+from pulsegrid.operators.metrics import limited_hits
 from pulsegrid.session import scratch
 from pulsegrid.streaming import limiter as stream
 
@@ -52,8 +55,9 @@ def test_chunks_do_not_change_decisions(spark, chunk_ms, chunks):
 
 
 def test_joins_replanned_while_running_keep_clients_whole(spark):
-    """A join that turns out small while running is made a broadcast that reads shuffled rows where they lie."""
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+    """A join whose smaller side (windows, not requests) turns out small while running is made a broadcast that reads
+    the shuffled requests where they lie."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "50KB",
                 "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     for name, value in settings.items():
         spark.conf.set(name, value)
@@ -95,6 +99,29 @@ def test_stream_in_parts_equals_whole(spark, batch_rows):
     assert [r["allowed"] for r in got] == [True, *plain(rows[:-1], 5)]
 
 
+def test_stream_replanned_while_running_keeps_clients_whole(spark):
+    """The same for micro-batches, and for the hits that are counted behind them."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "50KB",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    rows = sorted(busy_rows(8), key=lambda r: r[3])
+    out, state = scratch(spark, "decisions"), scratch(spark, "windows")
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        step = stream.limit_batch(out, state, limit=5)
+        for batch_id, part in enumerate([rows[:1500], rows[1500:]]):
+            df = spark.createDataFrame(part, "event_id long, client_id string, path string, ms long")
+            step(df.withColumn("ts", F.timestamp_millis("ms")).drop("ms"), batch_id)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    decisions = stream.read_decisions(spark, out)
+    assert [r["allowed"] for r in decisions.orderBy("event_id").collect()] == plain(rows, 5)
+    expected = Counter((ms // 300_000 * 300, client) for (_, client, _, ms), passed in zip(sorted(rows), plain(rows, 5)) if not passed)
+    hits = limited_hits(decisions).select(F.unix_seconds("window_start").alias("at"), "client_id", "hits").collect()
+    assert {(r["at"], r["client_id"]): r["hits"] for r in hits} == expected
+
+
 SEQUENCE = [(0, 1600, "SCALE_OUT", 3), (30, 1600, "COOLDOWN", 3), (60, 1600, "SCALE_OUT", 4),
             (120, 100, "HOLD", 4), (239, 100, "HOLD", 4), (240, 100, "SCALE_IN", 2)]
 
