@@ -23,13 +23,20 @@ def requests(spark, sf):
     return ev.withColumns({"path": F.concat(F.lit("/api/"), "endpoint"), "latency_ms": F.round("latency_ms")})
 
 
-def topic(spark, sf):
-    """The requests as records of a topic with one partition, and a broken message after every fiftieth of them."""
-    sent = E.messages(requests(spark, sf).withColumn("status", F.col("status").cast("int")))
+def topic(spark, sf, arrived=None):
+    """The requests as records of a topic with one partition, and a broken message after every fiftieth of them. ``arrived`` tells
+    from the time of a request whether to take it: others are left out before a message is written."""
+    given = requests(spark, sf)
+    if arrived is not None:
+        given = given.where(arrived(F.col("ts")))
+    # dealt anew, as a stretch of time may lie in a few parts of the log only
+    sent = E.messages(given.repartition("event_id").withColumn("status", F.col("status").cast("int")))
     time = F.timestamp_millis(F.get_json_object("value", "$.ts").cast("long"))
-    good = sent.select(F.lit(0).alias("partition"), F.col("event_id").alias("offset"), "key", "value", time.alias("timestamp"))
-    broken = good.where("offset % 50 = 0").withColumns({"partition": F.lit(1), "value": F.lit('{"ts":')})
-    return good.unionByName(broken)
+    good = F.struct(F.lit(0).alias("partition"), "value")
+    broken = F.struct(F.lit(1).alias("partition"), F.lit('{"ts":').alias("value"))
+    records = sent.select(F.col("event_id").alias("offset"), "key", time.alias("timestamp"), F.explode(
+        F.when(F.col("event_id") % 50 == 0, F.array(good, broken)).otherwise(F.array(good))).alias("_r"))
+    return records.select("_r.partition", "offset", "key", "_r.value", "timestamp")
 
 
 def predict(vectors):
@@ -73,12 +80,14 @@ def run_system(spark, sf, model=predict) -> dict[str, str]:
     """Messages arrive and the clock ticks in turns; both streams stop after each turn and start again from their checkpoints."""
     use_utc(spark)
     at = {n: scratch(spark, n) for n in ("topic", "ticks", "vectors", "store", "features", "quarantine", "audit", "scheduler", "cp1", "cp2")}
-    records, edges = topic(spark, sf), _edges(spark, sf)
+    edges = _edges(spark, sf)
     for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        cycle = control.cycle_of(F.col("timestamp"))
-        # an event at the very begin of a cycle is seen by it: rounds end just after a tick
-        arrived = (F.unix_micros("timestamp") > F.lit((lo - 1) * CYCLE * control.MICROS)) & (F.unix_micros("timestamp") <= F.lit((hi - 1) * CYCLE * control.MICROS))
-        records.where(arrived if k else arrived | (cycle < lo)).write.mode("append").parquet(at["topic"])
+        def arrived(ts, k=k, lo=lo, hi=hi):
+            # an event at the very begin of a cycle is seen by it: rounds end just after a tick
+            within = (F.unix_micros(ts) > F.lit((lo - 1) * CYCLE * control.MICROS)) & (F.unix_micros(ts) <= F.lit((hi - 1) * CYCLE * control.MICROS))
+            return within if k else within | (control.cycle_of(ts) < lo)
+
+        topic(spark, sf, arrived).write.mode("append").parquet(at["topic"])
         stream = E.event_stream(spark, "parquet", at["topic"], schema=E.TOPIC_ARCHIVE)
         done = control.start_topic_stream(stream, at["vectors"], at["store"], at["features"], at["cp1"], quarantine=at["quarantine"], available_now=True)
         done.awaitTermination()

@@ -58,7 +58,9 @@ def topic_batch(vectors: str, store: str, state: str, *, quarantine: str | None
     featured = feature_batch(vectors, state, sink=store_vectors(store), **options)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        good, malformed = split_malformed(materialise(decode(batch)))  # parsed once, read by both
+        # parsed once, read by both; of a usable message only the event is kept
+        kept = decode(batch).withColumn("value", F.when(F.col("malformed"), F.col("value")))
+        good, malformed = split_malformed(materialise(kept.select("event_id", "ts", "endpoint", "latency_ms", "malformed", "value", "record_time")))
         if quarantine is not None:
             write_batch(malformed.select("event_id", "value", "record_time"), quarantine, batch_id)
         featured(good, batch_id)

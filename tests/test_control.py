@@ -147,3 +147,27 @@ def test_messages_go_through_a_folder(spark, tmp_path):
     sinks.start_message_stream(sinks.notifications(decided), str(tmp_path / "cp4"), fmt="json", path=str(tmp_path / "told"), available_now=True).awaitTermination()
     told = spark.read.json(str(tmp_path / "told"))
     assert told.count() == spark.read.parquet(audit).where("action_type = 'DISPATCH'").count() > 0
+
+
+@needs_tables
+def test_stretches_of_the_topic_make_the_whole(spark):
+    """Each round writes its own messages only, the broken ones included, and all rounds together all of them."""
+    columns = ["partition", "offset", "key", "value", "timestamp"]
+    whole = Q.topic(spark, SF).select(columns)
+    middle = whole.agg(F.timestamp_millis(F.avg(F.unix_millis("timestamp")).cast("long"))).first()[0]
+    early, later = Q.topic(spark, SF, lambda ts: ts <= F.lit(middle)), Q.topic(spark, SF, lambda ts: ts > F.lit(middle))
+    assert early.where(F.col("timestamp") > F.lit(middle)).isEmpty() and later.where(F.col("timestamp") <= F.lit(middle)).isEmpty()
+    both = early.unionByName(later).select(columns)
+    assert both.count() == whole.count() and both.exceptAll(whole).isEmpty()
+    assert early.where("partition = 1").count() > 0 and later.where("partition = 1").count() > 0
+
+
+def test_usable_messages_are_not_kept_as_text(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(control, "materialise", lambda df: kept.append(df) or df)
+    rows = [(1, '{"ts": 1704067200000, "endpoint": "/api/a", "latency_ms": 5}', T0), (2, '{"ts":', T0)]
+    step = control.topic_batch(*[str(tmp_path / n) for n in ("vectors", "store", "state")], quarantine=str(tmp_path / "quarantine"))
+    step(spark.createDataFrame(rows, "event_id long, value string, record_time timestamp"), 0)
+    assert [r["value"] for r in kept[0].orderBy("event_id").collect()] == [None, '{"ts":']
+    assert [r["value"] for r in spark.read.parquet(str(tmp_path / "quarantine")).collect()] == ['{"ts":']
+    assert [r["event_id"] for r in control.read_store(spark, str(tmp_path / "store")).collect()] == [1]
