@@ -252,14 +252,15 @@ def _distinct_sets(regions: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with an id in ``ids``. A bit map of fixed size (2^22 bits, 65,536 rows) keeps most other
-    texts from being shuffled; what it lets through by chance the join drops."""
+    """Rows of ``docs`` with an id in ``ids``, which are distinct. A bit map of fixed size (2^22 bits, 65,536 rows) keeps most
+    other texts from being shuffled; what it lets through by chance the join drops."""
     slot = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 22))
     bits = (ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")))
     near = (docs.withColumn("slot", slot).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(bits), "word")
             .where(F.expr("shiftright(bits, cast(slot & 63 as int)) & 1 = 1")).select("doc_id", "text"))
-    return near.join(ids, "doc_id", "left_semi")
+    # no semi join: Spark moves one below the bit map's join, and then shuffles all texts
+    return near.join(ids, "doc_id")
 
 
 def _measure(words: int) -> Callable:

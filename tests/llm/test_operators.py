@@ -149,6 +149,21 @@ def test_rarest_shingles_meet_for_every_similar_pair(spark):
     assert len(similar) > 50 and met.issuperset(similar)
 
 
+def test_jaccard_join_moves_only_texts_that_are_asked_for(spark):
+    """The documents meet the bit map before the join by id, also where the ids are too many to be broadcast."""
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(60)] + [(None, "nameless"), (7, "again")], "doc_id long, text string")
+    ids = docs.where("doc_id % 20 = 7").select("doc_id").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = jaccard.texts_of(docs, ids)
+        joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+        assert sorted(map(tuple, found.collect())) == [(7, "again"), (7, "text 7"), (27, "text 27"), (47, "text 47")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "word" in joins[1] and "doc_id" in joins[0] and "word" not in joins[0]
+
+
 def test_jaccard_join_of_awkward_documents(documents, nothing):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     got = collected(jaccard.link_components(documents))
