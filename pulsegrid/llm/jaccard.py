@@ -50,7 +50,7 @@ from pulsegrid.llm.components import components
 from pulsegrid.llm.store import drop, stored, stored_at
 
 SHARD = 10_000_000  # bytes of text whose documents are represented together, about
-ENTRIES = 3_000_000  # slice contents to a bucket, about
+ENTRIES = 1_000_000  # slice contents to a bucket, about
 RATIO = 1.5  # of the sizes in a class
 SURPLUS = 0.15  # share of its slices that a document has in common with any similar one, at least
 PIVOTS = 8
