@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: five stages, each over all that the one before kept.
 
 Every stage is a call of one operator of ``pulsegrid.llm``. Between stages the rows are written as Parquet and
-read again. All but the last return the columns of ``documents``.
+read again. All but the last return the columns of ``documents``. Python gets at most 1,000 texts at once.
 """
 
 from __future__ import annotations
@@ -12,18 +12,21 @@ from pyspark.sql import functions as F
 from pulsegrid.llm import jaccard, mixing, packing, pii, quality
 from pulsegrid.llm.queries import vocabulary
 from pulsegrid.llm.store import stored
+from pulsegrid.session import use_small_batches
 
 NEAR = jaccard.Join(words=5, least=80, of=100)
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose best grade is likely enough, by ratings of a sample; toxic and poor ones go."""
+    use_small_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.selected(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of similar ones: that with the smallest id, null last. Rows without words are groups of their own."""
+    use_small_batches(spark)
     plain = [f"column_{k}" for k in range(len(docs.columns))]  # whatever the columns are called
     named = dict(zip(docs.columns, plain, strict=True))
     rows = stored(docs.toDF(*plain).withColumn("row_id", F.monotonically_increasing_id()), "rows")  # ids repeat, rows don't
@@ -36,6 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; ``n_chars`` follows the text."""
+    use_small_batches(spark)
     out = pii.redacted(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -50,6 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens; sequence ids follow the mixed order."""
+    use_small_batches(spark)
     return packing.pack_in_order(docs, vocabulary())
 
 

@@ -41,6 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +51,10 @@ from pulsegrid.llm.components import components
 from pulsegrid.llm.store import drop, stored, stored_at
 
 SHARD = 10_000_000  # bytes of text whose documents are represented together, about
-ENTRIES = 1_000_000  # slice contents to a bucket, about
+ENTRIES = 250_000  # slice contents to a bucket, about
+SLICE = 250_000  # bytes of text that are split into words at once, about
+OUTPUT = 1_000_000  # bytes of a batch that a shard sends, about; a single row may have more
+PASSES = 8  # over the contents of a shard, each with every eighth bucket
 RATIO = 1.5  # of the sizes in a class
 SURPLUS = 0.15  # share of its slices that a document has in common with any similar one, at least
 PIVOTS = 8
@@ -157,6 +161,19 @@ def _rows(docs=(), blobs=(), regions=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["docs", "bucket", "n", "keys", "ids", "region", "doc"])
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``OUTPUT`` bytes: the JVM holds a batch as a whole, outside its heap."""
+    size = np.full(len(batch), 64)  # of the columns of fixed width
+    for column in batch.columns:
+        if pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy()
+        elif pa.types.is_list(column.type):
+            size += 32 * pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    ends = np.concatenate([[0], np.cumsum(size)])
+    for i, j in tx.slices(ends, OUTPUT):
+        yield batch.slice(i, j - i)
+
+
 def _shared(key: np.ndarray, doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """``(key, doc)`` of the keys with several documents, and which entry stands for each key."""
     order = np.lexsort((doc, key))
@@ -188,10 +205,19 @@ class _Open:
                 self.reps[h1, h2][0] = min(doc, self.reps[h1, h2][0])
 
     def rows(self) -> Iterator[pa.RecordBatch]:
+        kinds = ["doc_id", "n_shingles", "h1", "h2"]
+        yield from _parts(_rows([dict(zip(kinds, d, strict=True)) for d in self.docs]))
         reps = list(self.reps.values())
-        key = np.concatenate([k for _, k in reps] or [np.zeros(0, tx.U64)])
-        doc = np.repeat(np.array([d for d, _ in reps], np.int64), [len(k) for _, k in reps])
-        regions, heads = _shared(key, doc)  # other shards need to know that a key is here, not how often
+        keys = np.concatenate([k for _, k in reps] or [np.zeros(0, tx.U64)])
+        docs = np.repeat(np.array([d for d, _ in reps], np.int64), [len(k) for _, k in reps])
+        buckets = ((keys >> tx.U64(48)) % tx.U64(self.buckets)).astype(np.int32)
+        for k in range(PASSES):
+            own = buckets % PASSES == k
+            yield from _parts(self.regions(keys[own], docs[own]))
+
+    def regions(self, key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        """Regions inside the shard, and by bucket what other shards need to know: that a key is here, not how often."""
+        regions, heads = _shared(key, doc)
         key, doc = key[heads], doc[heads]
         bucket = ((key >> tx.U64(48)) % tx.U64(self.buckets)).astype(np.int64)
         order = np.lexsort((doc, bucket))
@@ -200,8 +226,7 @@ class _Open:
         for b in np.unique(bucket).tolist():
             at, to = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
             blobs.append((b, to - at, key[at:to].tobytes(), _planes(doc[at:to])))
-        kinds = ["doc_id", "n_shingles", "h1", "h2"]
-        yield _rows([dict(zip(kinds, d, strict=True)) for d in self.docs], blobs, regions)
+        return _rows((), blobs, regions)
 
 
 def _code(join: Join, buckets: int) -> Callable:
@@ -210,18 +235,19 @@ def _code(join: Join, buckets: int) -> Callable:
         shard = _Open(slicer, buckets)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for i, j, w in tx.batches_of_words(batch.column(1)):
+            for i, j, w in tx.batches_of_words(batch.column(1), limit=SLICE):
                 shard.add(ids[i:j], w)
                 if shard.bytes >= SHARD:
                     yield from shard.rows()
                     shard = _Open(slicer, buckets)
         if shard.docs:
             yield from shard.rows()
-    return run
+    return tx.tidy(run)
 
 
 def _meet(_, table):
     """Regions of one bucket: documents of different shards with the same content of a slice."""
+    tx.release()
     key = np.concatenate([np.frombuffer(b, tx.U64) for b in table.column("keys").to_pylist()])
     doc = np.concatenate([_from_planes(b) for b in table.column("ids").to_pylist()])
     regions, _ = _shared(key, doc)
@@ -235,8 +261,8 @@ def _alike(regions: DataFrame, sizes: DataFrame, join: Join) -> tuple[DataFrame,
     and but for the empty ones the two are together in the regions of these.
     """
     bounds = join.bounds()
-    rows = [(c, *join.slices(c, bounds)) for c in range(len(bounds) - 1)]
-    classes = regions.sparkSession.createDataFrame(rows, "part int, slices long, spare long")  # some dozens
+    rows = zip(*((c, *join.slices(c, bounds)) for c in range(len(bounds) - 1)), strict=True)  # some dozens
+    classes = regions.sparkSession.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in rows], ["c", "slices", "spare"])).withColumn("part", F.col("c").cast("int"))
     part = F.col("region").bitwiseAND(F.lit(127)).cast("int")
     counted = regions.withColumn("part", part).groupBy("doc", "part").agg(F.count(F.lit(1)).alias("shared"))
     apart = F.floor(F.col("n_shingles") * (join.of - join.least) / join.least)
@@ -247,8 +273,9 @@ def _alike(regions: DataFrame, sizes: DataFrame, join: Join) -> tuple[DataFrame,
 
 def _distinct_sets(regions: DataFrame) -> DataFrame:
     """One of the regions with the same documents, if these are several."""
-    sets = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("docs")).where("n > 1")
-    return regions.join(sets.groupBy("n", "docs").agg(F.min("region").alias("region")).select("region"), "region", "left_semi")
+    sets = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"),
+                                         F.bit_xor(F.xxhash64("doc", F.lit(17))).alias("y")).where("n > 1")
+    return regions.join(sets.groupBy("n", "x", "y").agg(F.min("region").alias("region")).select("region"), "region", "left_semi")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -269,7 +296,7 @@ def _measure(words: int) -> Callable:
         for batch in batches:  # rows come sorted: pivot, chunk, then the pivot's own texts first
             b, chunk, member, a = (batch.column(c).to_pylist() for c in ("b", "chunk", "member", "a"))
             out = [[] for _ in range(4)]
-            for i, j, w in tx.batches_of_words(batch.column("text")):
+            for i, j, w in tx.batches_of_words(batch.column("text"), limit=SLICE):
                 for k, s in zip(range(i, j), shingle_sets(w, words), strict=True):
                     if (b[k], chunk[k]) != group:
                         group, pivots = (b[k], chunk[k]), []
@@ -281,7 +308,7 @@ def _measure(words: int) -> Callable:
                         for column, value in zip(out, (a[k], b[k], both, len(s) + len(p) - both), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b", "both", "union"])
-    return run
+    return tx.tidy(run)
 
 
 def measured(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
@@ -321,22 +348,23 @@ def _sharded(join: Join, buckets: int) -> Callable:
         shard, docs, sets, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for i, j, w in tx.batches_of_words(batch.column(1)):
+            for i, j, w in tx.batches_of_words(batch.column(1), limit=SLICE):
                 for doc, s in zip(ids[i:j], shingle_sets(w, join.words), strict=True):
                     if len(s):
                         docs.append(doc)
                         sets.append(s)
                 size += len(w.data)
-                if size >= SHARD and sets:
-                    yield rows(shard, docs, sets)
+                if size >= SHARD // 4 and sets:  # a shard's sets are one row
+                    yield from _parts(rows(shard, docs, sets))
                     shard, docs, sets, size = shard + 1, [], [], 0
         if sets:
-            yield rows(shard, docs, sets)
-    return run
+            yield from _parts(rows(shard, docs, sets))
+    return tx.tidy(run)
 
 
 def _repeated(_, table):
     """For each shard, its shingles of one bucket that several texts have, and how many do."""
+    tx.release()
     keys = [np.frombuffer(b, tx.U64) for b in table.column("keys").to_pylist()]
     shard = np.repeat(table.column("shard").to_numpy(), [len(k) for k in keys])
     keys, counts = np.concatenate(keys), np.concatenate([np.frombuffer(b, np.int64) for b in table.column("counts").to_pylist()])
@@ -353,6 +381,7 @@ def _repeated(_, table):
 def _prefixes(join: Join) -> Callable:
     """The rarest shingles of each text of a shard: one more than a similar text can lack."""
     def run(_, shard, repeated):
+        tx.release()
         known = np.concatenate([np.frombuffer(b, tx.U64) for b in repeated.column("keys").to_pylist()] or [np.zeros(0, tx.U64)])
         texts = np.concatenate([np.frombuffer(b, np.int64) for b in repeated.column("counts").to_pylist()] or [np.zeros(0, np.int64)])
         order = np.argsort(known)
@@ -389,9 +418,10 @@ def _lists(docs: DataFrame, ids: DataFrame, join: Join) -> DataFrame:
 
 def _leaf(join: Join) -> Callable:
     def run(_, table):
+        tx.release()
         table = table.sort_by("doc")
         rows = {c: table.column(c).to_pylist() for c in ("doc", "component", "block", "inside")}
-        sets = [s for _, _, w in tx.batches_of_words(table.column("text").combine_chunks()) for s in shingle_sets(w, join.words)]
+        sets = [s for _, _, w in tx.batches_of_words(table.column("text").combine_chunks(), limit=SLICE) for s in shingle_sets(w, join.words)]
         size, block = np.array([len(s) for s in sets]), np.array(rows["block"])
         unique, ids = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(len(sets)), size)
@@ -523,8 +553,8 @@ def link_components(docs: DataFrame, join: Join = Join(), *, id_col: str = "doc_
     regions, regions_path = stored_at(regions, "regions")
     drop(docs, coded_path)
     alike, alike_path = _alike(regions, sizes, join)
-    labels = docs.sparkSession.createDataFrame([], "node long, component long")
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    none = docs.sparkSession.range(0)  # a table made of Python rows would start workers of its own
+    labels, links = (none.select(*(F.col("id").alias(c) for c in names)) for names in (("node", "component"), ("a", "b")))
     todo = _unfinished(_distinct_sets(alike), labels)
     for path in (regions_path, alike_path):
         drop(docs, path)

@@ -174,7 +174,7 @@ def pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
     """One row per full window and per remainder of each document; with its document's ``place`` if that is given."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        *([] if place is None else [place.cast("long").alias("place")]))
-    return rows.mapInArrow(_pieces(vocabulary, window, separator), PIECES if place is None else PIECES + ", place long")
+    return rows.mapInArrow(tx.tidy(_pieces(vocabulary, window, separator)), PIECES if place is None else PIECES + ", place long")
 
 
 class OpenWindows:

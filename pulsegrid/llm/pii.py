@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm import text as tx
 from pulsegrid.llm.store import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -375,5 +376,5 @@ def redacted(docs: DataFrame, weights: np.ndarray | None = None, *, text_col: st
     """The documents with personal data replaced in their texts; all other columns as they are."""
     order = [F.lit(0).alias("_first"), F.col(text_col), *[F.col(c) for c in docs.columns if c != text_col]]
     own = docs.select(*order)
-    out = own.mapInArrow(_redact(fit(docs, text_col=text_col) if weights is None else weights), own.schema)
+    out = own.mapInArrow(tx.tidy(_redact(fit(docs, text_col=text_col) if weights is None else weights)), own.schema)
     return out.select(*docs.columns)

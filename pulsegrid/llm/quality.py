@@ -205,4 +205,4 @@ def _select(model: Model, keep: float, at: int) -> Callable:
 
 def selected(docs: DataFrame, model: Model, *, keep: float = KEEP, text_col: str = "text") -> DataFrame:
     """The documents that are kept, as they are."""
-    return docs.mapInArrow(_select(model, keep, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(tx.tidy(_select(model, keep, docs.columns.index(text_col))), docs.schema)

@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import components, fingerprints, jaccard, language_model, mixing, packing, pii, quality, urls, vectors, warc
+from pulsegrid.llm import text as tx
 from pulsegrid.llm.queries import RULES, vocabulary
 from pulsegrid.session import scratch
 
@@ -164,6 +165,35 @@ def test_jaccard_join_moves_only_texts_that_are_asked_for(spark):
     assert "word" in joins[1] and "doc_id" in joins[0] and "word" not in joins[0]
 
 
+def test_a_shard_is_sent_in_small_batches():
+    """The JVM holds a batch as a whole outside its heap, and keeps room for it."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 300)) for _ in range(1500)]
+    texts += [t + " end" for t in texts[:40]] + texts[:3]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    join = jaccard.Join(5, 80, 100)
+    sent = list(jaccard._code(join, jaccard.BUCKETS)(iter([batch])))
+    assert max(b.nbytes for b in sent) < 2_000_000 < sum(b.nbytes for b in sent)
+    rows = [r for b in sent for r in b.to_pylist()]
+    assert sorted(d["doc_id"] for r in rows for d in r["docs"] or []) == list(range(len(texts)))
+    holders = collections.defaultdict(set)
+    for d, s in enumerate(s for _, _, w in tx.batches_of_words(batch.column(1)) for s in jaccard.shingle_sets(w, 5)):
+        for key in jaccard.Slicer(join).keys(s).tolist():
+            holders[key].add(d if d < 1540 else d - 1540)  # exact copies are the first of them
+    keys = [(r["bucket"], k) for r in rows if r["keys"] for k in np.frombuffer(r["keys"], np.uint64).tolist()]
+    assert sorted(k for _, k in keys) == sorted(holders) and all((k >> 48) % jaccard.BUCKETS == b for b, k in keys)
+    regions = {(r["region"] & (1 << 64) - 1, r["doc"]) for r in rows if r["region"] is not None}
+    assert regions == {(k, d) for k, some in holders.items() if len(some) > 1 for d in some}
+
+
+def test_workers_give_unused_memory_back(monkeypatch):
+    done = []
+    monkeypatch.setattr(tx, "release", lambda: done.append(1))
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["a b c d", "a b c d e"])], ["doc_id", "text"])
+    sent = list(jaccard._code(jaccard.Join(), 16)(iter([batch])))
+    assert sent and len(done) == len(sent) + 1
+
+
 def test_jaccard_join_of_awkward_documents(documents, nothing):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     got = collected(jaccard.link_components(documents))

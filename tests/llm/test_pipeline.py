@@ -49,6 +49,20 @@ def test_stages_of_awkward_documents(spark, documents, nothing):
         assert docs.columns[0] == "doc_id"
 
 
+def test_python_gets_few_texts_at_once(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(key), spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("70", "70")):
+            for name in ("quality_classifier", "ngram_jaccard_join", "pii", "packing"):
+                spark.conf.set(key, given)
+                stages[name](spark, docs.limit(40), SF)
+                assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_sequences_follow_the_mix(spark):
     sizes = {"hot": 3000, "b": 1000, "c": 1000, "d": 1000}
     rows = [(i, "some words of a text " * (20 + i % 37), "en", s, 0) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
